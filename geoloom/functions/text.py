@@ -58,25 +58,33 @@ def _strip(t: Column) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, not once per use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_meta(text: Column) -> Column:
     """S10. Drop reasoning blocks, up to three planning openers, labels and markup.
 
     What is left of a text of 30 characters or more must itself have 30,
     else a fixed notice stands in for it.
     """
+    def skip_opener(t: Column) -> Column:
+        gap = F.instr(t, "\n\n")
+        after = bind(_strip(F.substr(t, gap)), lambda a: F.when(F.length(a) >= MIN_CHARS, a))
+        return F.when(t.rlike(PLANNING) & (gap > 0), F.coalesce(after, t)).otherwise(t)
+
     t = _strip(F.regexp_replace(F.regexp_replace(text, THINK_CLOSED, ""), THINK_OPEN, ""))
     for _ in range(3):
-        gap = F.instr(t, "\n\n")
-        after = _strip(F.substr(t, gap))
-        skip = t.rlike(PLANNING) & (gap > 0) & (F.length(after) >= MIN_CHARS)
-        t = F.when(skip, after).otherwise(t)
+        t = bind(t, skip_opener)
     t = _strip(F.regexp_replace(t, PARAGRAPH, ""))
     t = F.regexp_replace(t, r"(?m)^\s{0,3}#{1,6}\s+", "")
     t = F.regexp_replace(t, r"\*\*(.+?)\*\*", "$1")
     t = F.regexp_replace(t, r"(?m)^\s*[-*]\s+", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return (F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "")
-            .when((F.length(t) < MIN_CHARS) & (F.length(text) >= MIN_CHARS), UNFINISHED).otherwise(t))
+    n = F.coalesce(F.length(text), F.lit(0))
+    return F.when(n == 0, "").otherwise(bind(t, lambda x: F.when(
+        (F.length(x) < MIN_CHARS) & (n >= MIN_CHARS), UNFINISHED).otherwise(x)))
 
 
 # Phrases that claim a tool run which did not happen, and the nudge marker.
