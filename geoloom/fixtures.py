@@ -87,6 +87,18 @@ VIEWS = {
                CAST(n_chars AS BIGINT) AS version, concat('{"n":', CAST(n_chars AS VARCHAR(12)), '}') AS state_json
         FROM documents""",
     "fx_reply": "SELECT conv_id, turn, role, text FROM conversations",
+    # replies with reasoning blocks, openers, labels, markup and claims put in by turn
+    "fx_marked": """
+        SELECT conv_id, turn, role, CASE turn % 8
+            WHEN 0 THEN concat('<think>plan', chr(10), 'more</think>', chr(10), text)
+            WHEN 1 THEN concat('Please stand by. <Reasoning>never closed ', text)
+            WHEN 2 THEN concat('Let me write this.', chr(10), chr(10), text)
+            WHEN 3 THEN concat('Okay, here', chr(39), 's it.', chr(10), chr(10), 'I', chr(39), 'll draft it now', chr(10), chr(10), text)
+            WHEN 4 THEN concat('Paragraph 1: ', text, chr(10), '  paragraph 22 - Job ID: ab12cd34 ', text)
+            WHEN 5 THEN concat('## Heading', chr(10), '**bold** word ', text, chr(10), '- item one', chr(10), '* item two')
+            WHEN 6 THEN concat(text, chr(10), chr(10), chr(10), chr(10), 'I am now running the tool. ', text)
+            ELSE concat(text, CASE WHEN role = 'system' THEN ' PHANTOM TOOL CALL DETECTED.' ELSE '' END) END AS text
+        FROM conversations""",
     # uploads: one file name per page, its extension and leading bytes chosen by the id
     "fx_file": """
         SELECT page_id AS file_id,

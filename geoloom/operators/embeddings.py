@@ -118,9 +118,13 @@ def embedding_query(emb: DataFrame, geo: DataFrame, lon: Column | None = None, l
     """K1. Query vector per raster: the mean of the valid patches in a window around a
     point, the raster's centre by default; the mean of all valid patches if none is there."""
     half = window // 2
-    cx = F.col("west") + F.col("dx") * (F.col("width") - 1) / 2 if lon is None else lon
-    cy = F.col("north") - F.col("dy") * (F.col("height") - 1) / 2 if lat is None else lat
-    at = geo.select(KEY, lonlat_to_rc(cx, cy, "west", "north", "dx", "dy", "height", "width").alias("_a"))
+    if lon is None or lat is None:
+        def middle(n: str) -> Column:
+            return F.least(F.bround(F.col(n) / 2), F.col(n) - 1).cast("int")
+
+        at = geo.select(KEY, F.struct(middle("height").alias("r"), middle("width").alias("c")).alias("_a"))
+    else:
+        at = geo.select(KEY, lonlat_to_rc(lon, lat, "west", "north", "dx", "dy", "height", "width").alias("_a"))
     valid = emb.where(~V.is_nodata(F.col("embedding")))
     near = valid.join(at, KEY).where(
         (F.abs(F.col("r") - F.col("_a.r")) <= half) & (F.abs(F.col("c") - F.col("_a.c")) <= half))

@@ -120,7 +120,7 @@ def few_shot_logistic(t: Tables):
     return M.few_shot_logistic(patches(t), _matched(t))
 
 
-_CENTRE = """ctr AS (SELECT raster_id, CAST(round_even((max(r)) / 2.0, 0) AS INT) AS r0, CAST(round_even((max(c)) / 2.0, 0) AS INT) AS c0 FROM g GROUP BY 1),
+_CENTRE = """ctr AS (SELECT raster_id, CAST(round_even((max(r) + 1) / 2.0, 0) AS INT) AS r0, CAST(round_even((max(c) + 1) / 2.0, 0) AS INT) AS c0 FROM g GROUP BY 1),
 wn AS (SELECT g.* FROM g JOIN ctr USING (raster_id) WHERE NOT nodata AND abs(r - r0) <= 1 AND abs(c - c0) <= 1), vd AS (SELECT * FROM g WHERE NOT nodata)"""
 _QUERY = f"""{_CENTRE}, lq AS {mean_sql('wn', 'raster_id', 'l')}, gq AS {mean_sql('vd', 'raster_id', 'q0')},
 nq AS (SELECT raster_id, count(*) AS n_window FROM wn GROUP BY 1),
