@@ -129,14 +129,18 @@ def window_status(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
                         .otherwise("ok")))
 
 
-def score_windows(px: DataFrame, keys: Sequence[str], win: int, scorer, schema: str) -> DataFrame:
-    """K19. Run ``scorer(pandas frame of one window) -> pandas frame`` on every window.
+def score_windows(px: DataFrame, keys: Sequence[str], win: int, scorer, schema: str, batch: int = 8) -> DataFrame:
+    """K19. Run a model over every window, many windows at a time.
 
-    ``(r, c)`` is unique within a raster, so a group has at most ``win * win`` rows.
+    ``scorer`` takes a pandas frame with the pixels of up to ``batch * batch``
+    windows, told apart by ``wr`` and ``wc``, and gives one row per window. As
+    ``(r, c)`` is unique within a raster, a call sees at most
+    ``(batch * win) ** 2`` pixels, whatever the size of the raster.
     """
     tagged = (px.withColumn("wr", F.floor(F.col("r") / win).cast("int"))
               .withColumn("wc", F.floor(F.col("c") / win).cast("int")))
-    return tagged.groupBy(*keys, "wr", "wc").applyInPandas(scorer, schema)
+    return tagged.groupBy(*keys, F.floor(F.col("wr") / batch).alias("_br"), F.floor(F.col("wc") / batch).alias("_bc")
+                          ).applyInPandas(scorer, schema)
 
 
 def land_cover(px: DataFrame, classes: DataFrame, year: int = 2021, fallback: int = 2020) -> DataFrame:
@@ -187,7 +191,7 @@ _SERIES = {"ndvi_median": 0.5, "ndvi_p10": 0.1, "ndvi_p90": 0.9}
 
 
 def _series(px: DataFrame, scenes: DataFrame, spine: DataFrame, max_cloud: float,
-            keep: Column, empty: str) -> DataFrame:
+            keep: Column, empty: str, totals: bool = False) -> DataFrame:
     best = first_per(scenes, ["aoi_id", "month"], [F.asc("cloud_cover"), F.asc("scene_id")])
     base = spine.join(best, ["aoi_id", "month"], "left")
     usable = base.where(F.col("cloud_cover") <= max_cloud).select("aoi_id", "month", "scene_id")
@@ -196,14 +200,16 @@ def _series(px: DataFrame, scenes: DataFrame, spine: DataFrame, max_cloud: float
         keep & (F.col("b04") > 0) & (F.col("b08") > 0), ndvi(F.col("b04"), F.col("b08"))))
     stats = exact_stats(value, ["aoi_id", "month"], "ndvi", _SERIES).withColumnsRenamed(
         {"n": "n_pixels", "mean": "ndvi_mean"}).drop("min", "max")
-    totals = value.groupBy("aoi_id", "month").agg(F.count(F.lit(1)).alias("total_pixels"))
-    out = base.join(totals, ["aoi_id", "month"], "left").join(stats, ["aoi_id", "month"], "left")
+    out = base.join(stats, ["aoi_id", "month"], "left")
+    if totals:
+        n = value.groupBy("aoi_id", "month").agg(F.count(F.lit(1)).alias("total_pixels"))
+        out = out.join(n, ["aoi_id", "month"], "left").withColumn(
+            "total_pixels", F.coalesce("total_pixels", F.lit(0)).cast("bigint"))
     return (out.withColumn("status",
                            F.when(F.col("scene_id").isNull(), "no_scene")
                            .when(F.col("cloud_cover") > max_cloud, "too_cloudy")
                            .when(F.col("n_pixels").isNull(), empty).otherwise("ok"))
-            .withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0)).cast("bigint"))
-            .withColumn("total_pixels", F.coalesce("total_pixels", F.lit(0)).cast("bigint")))
+            .withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0)).cast("bigint")))
 
 
 def ndvi_timeseries(px: DataFrame, scenes: DataFrame, aois: DataFrame, anchor: Column,
@@ -214,7 +220,7 @@ def ndvi_timeseries(px: DataFrame, scenes: DataFrame, aois: DataFrame, anchor: C
     where there is no scene, too much cloud or no valid pixel.
     """
     spine = month_spine(aois, anchor, months, max_months)
-    return _series(px, scenes, spine, max_cloud, F.lit(True), "empty").drop("total_pixels")
+    return _series(px, scenes, spine, max_cloud, F.lit(True), "empty")
 
 
 def mask_by_class(px: DataFrame, class_px: DataFrame, keep: Sequence[int], height: int, width: int) -> DataFrame:
@@ -240,7 +246,7 @@ def ndvi_masked(px: DataFrame, class_px: DataFrame, scenes: DataFrame, aois: Dat
     """D5. D4 over the pixels of chosen classes of the area's class raster."""
     masked = mask_by_class(px.withColumn(KEY, F.col("aoi_id")), class_px, keep, *grid).drop(KEY)
     spine = month_spine(aois, anchor, months, max_months)
-    return _series(masked, scenes, spine, max_cloud, F.col("in_class"), "no_class_pixels")
+    return _series(masked, scenes, spine, max_cloud, F.col("in_class"), "no_class_pixels", totals=True)
 
 
 def timeseries_summary(ts: DataFrame) -> DataFrame:
@@ -272,8 +278,8 @@ def band_stretch_bounds(px: DataFrame, keys: Sequence[str], bands: Sequence[str]
 
     All bands go through one pass as rows, and every valid pixel counts.
     """
-    long = px.select(*keys, F.explode(F.map_from_arrays(
-        F.array(*[F.lit(b) for b in bands]), F.array(*[F.col(b).cast("double") for b in bands]))).alias("band", "v"))
+    long = px.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands])))
     got = exact_stats(long.where(F.col("v") != 0), [*keys, "band"], "v", {"lo": 0.02, "hi": 0.98})
     return got.select(*keys, "band", "lo",
                       F.when(F.col("hi") - F.col("lo") < 1e-9, F.col("lo") + 1).otherwise(F.col("hi")).alias("hi"))

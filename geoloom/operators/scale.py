@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.session import cut_lineage
+
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1,
               rank: str | None = None) -> DataFrame:
@@ -44,6 +46,10 @@ def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
         .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bin", order_bin(F.col("_v")))
     )
+    # the join below would add these tests to one side only; with them on both
+    # sides the counts are the same plan twice and their shuffle is made once
+    for key in [*keys, "_bin"]:
+        counted = counted.where(F.col(key).isNotNull())
     run = Window.partitionBy(*keys).orderBy("_bin")
     whole = Window.partitionBy(*keys)
     bins = (
@@ -123,6 +129,23 @@ def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Col
     return out.drop(*[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
 
 
+def row_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows numbered from 0 in order, over all of them, without one task seeing them all.
+
+    The sort leaves each partition with a range; rows count inside their
+    partition, and the sizes of the partitions, a short list, give the offsets.
+    The sorted rows are written out first, so a retry cannot renumber them.
+    """
+    placed = cut_lineage(df.orderBy(*order).withColumn("_row_m", F.monotonically_increasing_id()))
+    rows = (placed.withColumn("_row_p", F.shiftright("_row_m", 33))
+            .withColumn("_row_i", F.col("_row_m").bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = rows.groupBy("_row_p").agg(F.count(F.lit(1)).alias("_row_n"))
+    before = Window.orderBy("_row_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_row_p", F.coalesce(F.sum("_row_n").over(before), F.lit(0)).alias("_row_o"))
+    return (rows.join(offsets, "_row_p").withColumn(name, F.col("_row_o") + F.col("_row_i"))
+            .select(*df.columns, name))
+
+
 def cover_cells(west: Column, south: Column, east: Column, north: Column, deg: float) -> Column:
     """The grid cells a box touches, as an array of ``(cx, cy)``."""
     def cells(lo: Column, hi: Column) -> Column:

@@ -112,10 +112,12 @@ def merge_providers(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def cache_key(scene: Column, box: Sequence[Column], gsd: Column, band: Column, version: str) -> Column:
-    """A20. Key of one cached band window."""
+    """A20. Key of one cached band window; numbers go in with six places."""
+    def six(x: Column) -> Column:
+        return x.cast("decimal(18,6)").cast("string")
+
     return F.substring(F.sha2(F.concat_ws(
-        "|", F.lit(version), scene.cast("string"), *[F.format_string("%.6f", b) for b in box],
-        F.format_string("%.6f", gsd), band), 256), 1, 16)
+        "|", F.lit(version), scene.cast("string"), *[six(b) for b in box], six(gsd), band), 256), 1, 16)
 
 
 def cache_plan(needed: DataFrame, cached: DataFrame) -> DataFrame:

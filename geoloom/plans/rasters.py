@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -271,12 +272,10 @@ HEAD = ((0.4, -0.1, 3.0), (-0.2, 0.2, -1.0), (0.1, 0.05, 0.5))
 
 def linear_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
     """Mean-pooled window features times the head; class and score of the best row."""
-    x4, x8 = pdf["b04"].mean() / 1000, pdf["b08"].mean() / 1000
-    scores = [a * x4 + b * x8 + k for a, b, k in HEAD]
-    best = max(range(len(scores)), key=lambda i: (scores[i], -i))
-    head = pdf[["scene_id", "wr", "wc"]].head(1).copy()
-    head["class_id"], head["score"] = best, scores[best]
-    return head
+    mean = pdf.groupby(["scene_id", "wr", "wc"], sort=False)[["b04", "b08"]].mean() / 1000
+    scores = np.stack([a * mean["b04"] + b * mean["b08"] + k for a, b, k in HEAD])
+    mean["class_id"], mean["score"] = scores.argmax(axis=0), scores.max(axis=0)
+    return mean.reset_index()[["scene_id", "wr", "wc", "class_id", "score"]]
 
 
 @query("K19", "score_windows", """

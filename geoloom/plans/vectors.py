@@ -149,8 +149,8 @@ def similarity_smooth(t: Tables):
     return M.similarity(patches(t), _query(t), 1.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("F8", "cosine01", f"""WITH {_G}, q AS (SELECT raster_id, e AS q FROM g WHERE r = 0 AND c = 1)
-SELECT g.raster_id, r, c, CASE WHEN nodata THEN 0 ELSE round(({cos_sql('e', 'q')} + 1) / 2, 6) END AS s FROM g JOIN q USING (raster_id)""")
+@query("F8", "cosine01", f"""WITH {_G}, q AS (SELECT raster_id, e AS q, nodata AS qn FROM g WHERE r = 0 AND c = 1)
+SELECT g.raster_id, r, c, CASE WHEN nodata THEN 0 WHEN qn THEN 0.5 ELSE round(({cos_sql('e', 'q')} + 1) / 2, 6) END AS s FROM g JOIN q USING (raster_id)""")
 def cosine01(t: Tables):
     q = patches(t).where("r = 0 AND c = 1").select("raster_id", F.col("embedding").alias("q"))
     return patches(t).join(q, "raster_id").select("raster_id", "r", "c", F.round(V.cosine01(F.col("embedding"), F.col("q")), 6).alias("s"))
