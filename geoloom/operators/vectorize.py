@@ -131,62 +131,97 @@ def region_table(regions: DataFrame, gsd: float, min_px: int = 4) -> DataFrame:
             .where(F.col("pixel_count") >= min_px).withColumn("area_m2", F.col("pixel_count") * F.lit(gsd * gsd)))
 
 
-def region_rings(regions: DataFrame) -> DataFrame:
+def _block_paths(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sides of one block's pixels, chained as far as the block goes.
+
+    Each side gets the first side of its chain and its place in it. A ring
+    that closes inside the block is cut at its smallest side.
+    """
+    rows = []
+    for side in range(4):
+        t = pdf[pdf[f"turn{side}"] > 0]
+        turn, r, c = t[f"turn{side}"].to_numpy(), t["r"].to_numpy().astype(np.int64), t["c"].to_numpy().astype(np.int64)
+        dr = np.select([turn == 1, turn == 2], [0, STEP[side][0]], STEP[side][0] + OUT[side][0])
+        dc = np.select([turn == 1, turn == 2], [0, STEP[side][1]], STEP[side][1] + OUT[side][1])
+        ds = np.select([turn == 1, turn == 2], [1, 0], 3)
+        rows.append(pd.DataFrame({
+            KEY: t[KEY].to_numpy(), "region": t["region"].to_numpy(), "id": (r * ROW + c) * 4 + side,
+            "next": ((r + dr) * ROW + c + dc) * 4 + (side + ds) % 4, "side": np.int32(side), "corner": turn != 2,
+            # the corner at the end of the side, clockwise
+            "x": (c + (1, 1, 0, 0)[side]).astype(np.int32), "y": (r + (0, 1, 1, 0)[side]).astype(np.int32)}))
+    out = pd.concat(rows).sort_values("id", ignore_index=True)
+    ids, nxt = out["id"].to_numpy(), out["next"].to_numpy()
+    n = len(ids)
+    at = np.minimum(np.searchsorted(ids, nxt), n - 1)
+    inside = ids[at] == nxt
+    prev = np.full(n, -1)
+    prev[at[inside]] = np.nonzero(inside)[0]
+
+    def back(prev: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        jump, start, steps, low = prev.copy(), np.arange(n), np.zeros(n, dtype=np.int64), np.arange(n)
+        for _ in range(n.bit_length() + 1):
+            go = jump >= 0
+            if not go.any():
+                break
+            k = jump[go]
+            low[go] = np.minimum(low[go], low[k])
+            # a start whose own chain has ended adds its steps and takes over
+            steps[go] += steps[k] + 1
+            start[go] = start[k]
+            jump[go] = jump[k]
+        return jump, start, steps, low
+
+    jump, _, _, low = back(prev)
+    ring = jump >= 0
+    if ring.any():
+        prev[np.unique(low[ring])] = -1
+    _, start, steps, _ = back(prev)
+    out["entry"], out["pos"] = ids[start], steps
+    return out
+
+
+_SIDES = (f"{KEY} int, region long, id long, next long, side int, corner boolean, x int, y int, entry long, pos long")
+
+
+def region_rings(regions: DataFrame, block: int = 256) -> DataFrame:
     """K14, third part. Corner vertices of every region's rings, in order.
 
     The side that follows a side depends on three pixels only and is known from
-    the labelling, so a ring is a linked list. In each round a side looks twice
-    as far ahead and keeps the smallest side seen and how far off it is; when
-    nothing changes, that is the ring's first side, and the distance to it is
-    the position. Rows: ``raster_id region ring vtx x y hole``; ``x`` and ``y``
-    count pixel corners.
+    the labelling, so a ring is a linked list. Chains inside a block are made
+    first, in memory. Chains then look twice as many chains ahead in each round
+    and keep the smallest side seen and how far off it is; when nothing
+    changes, that is the ring's first side, and the distance gives the position
+    of every vertex. Rows: ``raster_id region ring vtx x y hole``; ``x`` and
+    ``y`` count pixel corners.
     """
-    sides = regions.select(KEY, "region", "r", "c", F.posexplode(F.array(*[f"turn{s}" for s in range(4)]))
-                           .alias("side", "turn")).where(F.col("turn") > 0)
-
-    def pick(table: list[int]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in table]), F.col("side"))
-
-    step_r, step_c = pick([s[0] for s in STEP]), pick([s[1] for s in STEP])
-    out_r, out_c = pick([s[0] for s in OUT]), pick([s[1] for s in OUT])
-    turn = F.col("turn")
-    nr = F.col("r") + F.when(turn == 1, 0).when(turn == 2, step_r).otherwise(step_r + out_r)
-    nc = F.col("c") + F.when(turn == 1, 0).when(turn == 2, step_c).otherwise(step_c + out_c)
-    ns = F.pmod(F.col("side") + F.when(turn == 1, 1).when(turn == 2, 0).otherwise(3), F.lit(4))
-
-    def code(r: Column, c: Column, s: Column) -> Column:
-        # at most 2^29 rows and 2^31 columns
-        return (r.cast("bigint") * ROW + c) * 4 + s
-
-    # the corner at the end of each side, clockwise
-    x = F.col("c") + pick([1, 1, 0, 0])
-    y = F.col("r") + pick([0, 1, 1, 0])
-    base = sides.select(KEY, "region", code(F.col("r"), F.col("c"), F.col("side")).alias("id"),
-                        code(nr, nc, ns).alias("next"), (turn != 2).alias("corner"),
-                        x.alias("x"), y.alias("y"))
-    base = cut_lineage(base)
-    walk = base.select(KEY, "id", F.col("next").alias("ptr"), F.col("id").alias("low"), F.lit(0).cast("bigint").alias("off"))
-    span = 1
-    while True:
-        far = walk.select(KEY, F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"),
-                          F.col("low").alias("_low"), F.col("off").alias("_off"))
+    turns = [f"turn{s}" for s in range(4)]
+    edge = regions.where(F.greatest(*turns) > 0).select(KEY, "region", "r", "c", *turns)
+    sides = cut_lineage(edge.groupBy(KEY, F.floor(F.col("r") / block).alias("_br"), F.floor(F.col("c") / block).alias("_bc"))
+                        .applyInPandas(_block_paths, _SIDES))
+    # the sum of x over downward sides less that over upward ones is the area; holes are negative
+    area = F.when(F.col("side") == 1, F.col("x")).when(F.col("side") == 3, -F.col("x")).otherwise(0)
+    chains = cut_lineage(sides.groupBy(KEY, "entry").agg(
+        F.count(F.lit(1)).alias("len"), F.min("id").alias("low"), F.min_by("pos", "id").alias("off"),
+        F.max_by("next", "pos").alias("ptr"), F.sum(area).alias("area")))
+    closed = F.col("ptr") == F.col("entry")
+    walk = chains.where(~closed).select(KEY, "entry", "ptr", "low", "off", F.col("len").alias("span"))
+    changed = walk.limit(1).count()
+    while changed:
+        far = walk.select(KEY, F.col("entry").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"),
+                          F.col("off").alias("_off"), F.col("span").alias("_span"))
         better = F.col("_low") < F.col("low")
         new = cut_lineage(walk.join(far, [KEY, "ptr"]).select(
-            KEY, "id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"),
-            F.when(better, F.col("_off") + span).otherwise(F.col("off")).alias("off"), better.alias("_new")))
+            KEY, "entry", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"),
+            F.when(better, F.col("_off") + F.col("span")).otherwise(F.col("off")).alias("off"),
+            (F.col("span") + F.col("_span")).alias("span"), better.alias("_new")))
         changed = new.where("_new").limit(1).count()
-        walk, span = new.drop("_new"), span * 2
-        if not changed:
-            break
-    size = walk.groupBy(KEY, "low").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (base.join(walk.select(KEY, "id", "low", "off"), [KEY, "id"]).join(size, [KEY, "low"])
-              .withColumn("vtx", F.pmod(F.col("n") - F.col("off"), F.col("n"))))
-    # a side adds y * dx; clockwise rings (with y down) come out positive
-    corners = ranked.where("corner").select(KEY, "region", F.col("low").alias("ring"), "vtx", "x", "y")
-    side = F.pmod(F.col("id"), F.lit(4))
-    turn_area = F.sum(F.when(side == 1, F.col("x")).when(side == 3, -F.col("x")).otherwise(0))
-    hole = ranked.groupBy(KEY, F.col("low").alias("ring")).agg((turn_area < 0).alias("hole"))
-    return corners.join(hole, [KEY, "ring"])
+        walk = new.drop("_new")
+    heads = (chains.where(closed).select(KEY, "entry", "low", "off").unionByName(walk.select(KEY, "entry", "low", "off")))
+    whole = (chains.select(KEY, "entry", "len", "area").join(heads, [KEY, "entry"]).groupBy(KEY, F.col("low").alias("ring"))
+             .agg(F.sum("len").alias("n"), (F.sum("area") < 0).alias("hole")))
+    placed = heads.withColumnRenamed("low", "ring").join(whole, [KEY, "ring"])
+    return (sides.where("corner").select(KEY, "region", "entry", "pos", "x", "y").join(placed, [KEY, "entry"])
+            .select(KEY, "region", "ring", F.pmod(F.col("pos") - F.col("off"), F.col("n")).alias("vtx"), "x", "y", "hole"))
 
 
 def close_rings(rings: DataFrame, keys: list[str]) -> DataFrame:
@@ -279,9 +314,9 @@ def _simplify_rounds(rings: DataFrame, tol: float) -> DataFrame:
     return kept.join(size, "poly_id", "left_semi")
 
 
-def outline(regions: DataFrame, table: DataFrame, gsd: float, tol: float = 0.0) -> DataFrame:
+def outline(regions: DataFrame, table: DataFrame, gsd: float, tol: float = 0.0, block: int = 256) -> DataFrame:
     """K14. Outlines in metres of the listed regions, simplified when a tolerance is given."""
-    rings = region_rings(regions).join(table.select(KEY, "region"), [KEY, "region"], "left_semi")
+    rings = region_rings(regions, block).join(table.select(KEY, "region"), [KEY, "region"], "left_semi")
     rings = rings.withColumn("poly_id", F.concat_ws(":", KEY, "ring"))
     named = rings.select("poly_id", KEY, "region", "hole").distinct()
     shape = close_rings(rings.select("poly_id", "vtx", (F.col("x") * gsd).cast("double").alias("lon"),

@@ -228,7 +228,7 @@ s AS (SELECT g.raster_id, region, g.r, g.c, (SELECT count(*) FROM cell n WHERE n
 SELECT raster_id, region, CAST(sum(4 - same) AS BIGINT) AS perimeter, CAST(count(*) AS BIGINT) AS area FROM s GROUP BY raster_id, region HAVING count(*) >= 4""")
 def region_outlines(t: Tables):
     regions = V.connected_regions(t.fx_class, block=16)
-    shape = V.outline(regions, V.region_table(regions, 1.0), 1.0)
+    shape = V.outline(regions, V.region_table(regions, 1.0), 1.0, block=16)
     edges = P.ring_edges(shape).join(shape.where("vtx = 0").select("poly_id", "raster_id", "region"), "poly_id")
     return edges.groupBy("raster_id", "region").agg(
         F.sum(F.abs(F.col("lon2") - F.col("lon1")) + F.abs(F.col("lat2") - F.col("lat1"))).cast("bigint").alias("perimeter"),

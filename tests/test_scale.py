@@ -187,7 +187,7 @@ def test_rings_enclose_their_regions(spark, raster, block):
     regions = connected_regions(px, block)
     size = {r["region"]: r["pixel_count"] for r in region_table(regions, 1.0, 1).collect()}
     rings = {}
-    for r in region_rings(regions).collect():
+    for r in region_rings(regions, block).collect():
         rings.setdefault((r["region"], r["ring"]), []).append((r["vtx"], r["x"], r["y"], r["hole"]))
     area = {}
     for (region, _), pts in rings.items():
