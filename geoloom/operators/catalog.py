@@ -222,7 +222,7 @@ def composite_url(specs: DataFrame, base: str) -> DataFrame:
 def histogram_block(hist: DataFrame, names: DataFrame) -> DataFrame:
     """S12. A class histogram as lines of text per raster; ``hist`` is the output of D2."""
     line = F.format_string("- %s (id=%d): %.2f%% (%d pixels)", "name", "class_id", "percent", "n_pixels")
-    named = (hist.join(F.broadcast(names), "class_id", "left")
+    named = (hist.join(names, "class_id", "left")
              .withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id")))))
     # at most top_n lines per raster
     got = named.groupBy("raster_id", "total_pixels", "n_present").agg(

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,9 @@ def pool_tokens(tokens: DataFrame) -> DataFrame:
 
 def _gathered(protos: DataFrame, max_classes: int = 1024) -> DataFrame:
     """The prototypes of a raster as one array; more classes than the limit is an error."""
-    # a class list is a legend: it is counted before it is gathered
-    n = protos.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(
+    # one more than the limit is enough to see that there are too many
+    some = first_per(protos.select(KEY, "class_id", "prototype"), [KEY], [F.asc("class_id")], max_classes + 1)
+    n = some.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(
         F.struct("class_id", "prototype")).alias("_p"))
     checked = F.when(F.col("_n") <= max_classes, F.array_sort("_p")).otherwise(
         F.raise_error(F.lit(f"more than {max_classes} classes")))
@@ -179,8 +182,8 @@ def embedding_export(chunks: DataFrame, grid: DataFrame, gsd: float) -> DataFram
 def principal_axes(emb: DataFrame, k: int) -> DataFrame:
     """Mean vector and top ``k`` axes per raster, from the valid patches.
 
-    Every batch of rows gives its count, sum and product matrix, so what is
-    shuffled is ``dim * dim`` numbers per raster and task and not the vectors.
+    Every task adds up the product matrix of its rows (with a leading 1, so that
+    counts and sums are in it), and only these matrices are shuffled, row by row.
     Axis signs are fixed by making the largest part of each axis positive.
     """
     valid = emb.where(~V.is_nodata(F.col("embedding"))).select(KEY, V.doubles(F.col("embedding")).alias("v"))
@@ -199,13 +202,11 @@ def principal_axes(emb: DataFrame, k: int) -> DataFrame:
         if sums:
             yield _moment_rows(sums)
 
-    parts = valid.mapInPandas(partial, f"{KEY} int, i int, j int, m double")
-    total = parts.groupBy(KEY, "i", "j").agg(F.sum("m").alias("m"))
+    parts = valid.mapInPandas(partial, f"{KEY} int, i int, m array<double>")
+    total = parts.groupBy(KEY, "i").agg(vector_to_array(Summarizer.sum(array_to_vector("m"))).alias("m"))
 
     def axes(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["i"].max())
-        full = np.zeros((d + 1, d + 1))
-        full[pdf["i"], pdf["j"]] = pdf["m"]
+        full = np.stack(pdf.sort_values("i")["m"].to_numpy())
         n = full[0, 0]
         mean = full[0, 1:] / n
         cov = full[1:, 1:] / n - np.outer(mean, mean)
@@ -221,12 +222,9 @@ def principal_axes(emb: DataFrame, k: int) -> DataFrame:
 
 
 def _moment_rows(sums: dict) -> pd.DataFrame:
-    out = []
-    for rid, m in sums.items():
-        i, j = np.indices(m.shape)
-        out.append(pd.DataFrame({KEY: np.int32(rid), "i": i.ravel().astype(np.int32),
-                                 "j": j.ravel().astype(np.int32), "m": m.ravel()}))
-    return pd.concat(out)
+    """One row per raster and row of its matrix."""
+    return pd.concat([pd.DataFrame({KEY: np.int32(rid), "i": np.arange(len(m), dtype=np.int32), "m": list(m)})
+                      for rid, m in sums.items()])
 
 
 def project(emb: DataFrame, axes: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,11 +32,14 @@ def class_totals(conf: DataFrame) -> DataFrame:
 
 
 def _with_total(rows: DataFrame, mean_of: str, mean_as: str, only: Column | None = None) -> DataFrame:
-    """Attach the mean of a column over the classes and the overall accuracy, as scalars."""
+    """Attach the mean of a column over the classes and the overall accuracy.
+
+    There is one row per class here, so the window over all rows is small.
+    """
     chosen = F.col(mean_of) if only is None else F.when(only, F.col(mean_of))
-    mean = rows.agg(F.avg(chosen).alias("m")).scalar()
-    acc = rows.agg((F.sum("tp") / F.sum("ref_n")).alias("a")).scalar()
-    return rows.withColumn(mean_as, mean).withColumn("accuracy", acc)
+    classes = Window.partitionBy()
+    return (rows.withColumn(mean_as, F.avg(chosen).over(classes))
+            .withColumn("accuracy", F.sum("tp").over(classes) / F.sum("ref_n").over(classes)))
 
 
 def iou_metrics(conf: DataFrame, every_class: bool = False) -> DataFrame:

@@ -71,12 +71,12 @@ def reflectance_checks(px: DataFrame, keys: Sequence[str], bands: Sequence[str],
 
 def decode_classes(counts: DataFrame, classes: DataFrame, on: str) -> DataFrame:
     """C4. Names and colours of known codes; unknown codes are dropped."""
-    return counts.join(F.broadcast(classes), on)
+    return counts.join(classes, on)
 
 
 def with_legend(px: DataFrame, legend: DataFrame, on: str = "class_id", grey: str = "#888888") -> DataFrame:
     """C5. Legend columns, with a grey and a ``class_i`` name where it has none."""
-    return (px.join(F.broadcast(legend), on, "left")
+    return (px.join(legend, on, "left")
             .withColumn("color", F.coalesce("color", F.lit(grey)))
             .withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), F.col(on)))))
 
@@ -231,7 +231,7 @@ def mask_by_class(px: DataFrame, class_px: DataFrame, keep: Sequence[int], heigh
     """
     size = raster_size(class_px)
     cells = (class_px.where(F.col("class_id").isin(list(keep)))
-             .select(KEY, F.col("r").alias("_cr"), F.col("c").alias("_cc"), F.lit(True).alias("_in")).distinct())
+             .select(KEY, F.col("r").alias("_cr"), F.col("c").alias("_cc")).distinct().withColumn("_in", F.lit(True)))
     at = (px.join(size, KEY, "left")
           .withColumn("_cr", source_index(F.col("r"), F.col("height"), height))
           .withColumn("_cc", source_index(F.col("c"), F.col("width"), width)))
@@ -268,7 +268,7 @@ def present_classes(px: DataFrame, limit: int = 256) -> DataFrame:
 
 def class_rows(classes: DataFrame, scores: DataFrame, by: str = "score") -> DataFrame:
     """D28. Every legend class with its score, present ones first, in display order."""
-    rows = F.broadcast(classes).join(scores, "class_id", "left").withColumn("present", F.col("score").isNotNull())
+    rows = classes.join(scores, "class_id", "left").withColumn("present", F.col("score").isNotNull())
     order = [F.desc("present"), F.desc_nulls_last("score") if by == "score" else F.asc("name"), F.asc("class_id")]
     return rows.orderBy(*order)
 

@@ -86,19 +86,15 @@ def provider_fallback(primary: DataFrame, secondary: DataFrame, key: str, forced
 
 def rename_bands(assets: DataFrame, names: DataFrame) -> DataFrame:
     """C19. Provider band names to ``B0X``; names without an entry are left out."""
-    return assets.join(F.broadcast(names), "asset").drop("asset")
+    return assets.join(names, "asset").drop("asset")
 
 
 def complete_scenes(assets: DataFrame, bands: Sequence[str]) -> DataFrame:
     """B7, I4. Per scene: the wanted bands it lacks and whether it is usable."""
     want = F.array(*[F.lit(b) for b in bands])
-    # at most one entry per wanted band reaches the list
-    held = (assets.where(F.col("band").isin(list(bands))).groupBy("scene_id")
-            .agg(F.collect_set("band").alias("_have")))
-    every = assets.select("scene_id").distinct()
-    return (every.join(held, "scene_id", "left")
-            .withColumn("missing", F.array_sort(F.array_except(
-                want, F.coalesce("_have", F.array().cast("array<string>")))))
+    # only wanted bands enter the set, so it holds at most that many
+    held = assets.groupBy("scene_id").agg(F.collect_set(F.when(F.col("band").isin(list(bands)), F.col("band"))).alias("_have"))
+    return (held.withColumn("missing", F.array_sort(F.array_except(want, F.col("_have"))))
             .select("scene_id", "missing", (F.size("missing") == 0).alias("usable")))
 
 

@@ -315,7 +315,7 @@ cv AS (SELECT pid, count(*) AS n_classes, arg_max(class_id, n * 100 - class_id)
 def aoi_report(t: Tables):
     sites = t.fx_point.select(F.col("pid").alias("aoi_id"), F.col("lon").alias("west"), F.col("lat").alias("south"),
                               (F.col("lon") + 0.5).alias("east"), (F.col("lat") + 0.5).alias("north"))
-    hist = R.class_histogram(t.fx_class.where("class_id < 8"), 8).join(F.broadcast(legend_dim(t).select("class_id")), "class_id")
+    hist = R.class_histogram(t.fx_class.where("class_id < 8"), 8).join(legend_dim(t).select("class_id"), "class_id")
     cover = (sites.select("aoi_id", (F.col("aoi_id") % 3).cast("int").alias("raster_id")).join(hist, "raster_id")
              .select("aoi_id", F.col("class_id").alias("name"), (F.col("n_pixels") * 100 - F.col("class_id")).alias("percent")))
     coverage = G.project_coverage(sites, t.fx_box).select("aoi_id", F.col("r_name").alias("region"))

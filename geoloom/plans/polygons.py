@@ -213,13 +213,13 @@ reg AS (SELECT cell.raster_id, cell.r, cell.c, cell.class_id, min(src) AS region
 
 @query("K14", "connected_regions", f"WITH {_REGIONS} SELECT raster_id, r, c, class_id, region FROM reg")
 def connected_regions(t: Tables):
-    return V.connected_regions(t.fx_class, block=16).select("raster_id", "r", "c", "class_id", "region")
+    return V.connected_regions(t.fx_class, block=32).select("raster_id", "r", "c", "class_id", "region")
 
 
 @query("K14", "region_table", f"""WITH {_REGIONS} SELECT raster_id, region, any_value(class_id) AS class_id, count(*) AS pixel_count, min(r) AS r_min, min(c) AS c_min,
   max(r) AS r_max, max(c) AS c_max, CAST(count(*) * 100 AS DOUBLE) AS area_m2 FROM reg GROUP BY raster_id, region HAVING count(*) >= 4""")
 def region_table(t: Tables):
-    return V.region_table(V.connected_regions(t.fx_class, block=16), 10.0)
+    return V.region_table(V.connected_regions(t.fx_class, block=32), 10.0)
 
 
 @query("K14", "region_outlines", f"""WITH {_REGIONS},
@@ -227,8 +227,8 @@ s AS (SELECT g.raster_id, region, g.r, g.c, (SELECT count(*) FROM cell n WHERE n
         AND abs(n.r - g.r) + abs(n.c - g.c) = 1) AS same FROM reg g)
 SELECT raster_id, region, CAST(sum(4 - same) AS BIGINT) AS perimeter, CAST(count(*) AS BIGINT) AS area FROM s GROUP BY raster_id, region HAVING count(*) >= 4""")
 def region_outlines(t: Tables):
-    regions = V.connected_regions(t.fx_class, block=16)
-    shape = V.outline(regions, V.region_table(regions, 1.0), 1.0, block=16)
+    regions = V.connected_regions(t.fx_class, block=32)
+    shape = V.outline(regions, V.region_table(regions, 1.0), 1.0, block=32)
     edges = P.ring_edges(shape).join(shape.where("vtx = 0").select("poly_id", "raster_id", "region"), "poly_id")
     return edges.groupBy("raster_id", "region").agg(
         F.sum(F.abs(F.col("lon2") - F.col("lon1")) + F.abs(F.col("lat2") - F.col("lat1"))).cast("bigint").alias("perimeter"),

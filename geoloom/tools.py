@@ -56,7 +56,7 @@ def check_calls(calls: DataFrame, required: Mapping[str, tuple[str, ...]] | None
     parsed = F.from_json("args", "map<string,string>", {"mode": "PERMISSIVE"})
     wants = F.when(F.col("_need") == "", F.array().cast("array<string>")).otherwise(F.split("_need", ","))
     lacks = F.array_except(wants, F.map_keys("_a"))
-    return (calls.join(F.broadcast(tools), "name", "left").withColumn("_a", parsed)
+    return (calls.join(tools, "name", "left").withColumn("_a", parsed)
             .withColumn("missing", F.array_join(F.when(F.col("_a").isNotNull(), lacks), ","))
             .withColumn("status", F.when(F.col("_need").isNull(), "unknown_tool")
                         .when(F.col("_a").isNull() | (F.col("missing") != ""), "bad_arguments").otherwise("ok"))
