@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.fixtures import Tables, values_sql
+from geoloom.functions import geo as X
 from geoloom.functions import temporal as D
 from geoloom.functions.text import sign_href
 from geoloom.operators import grids as G
@@ -236,7 +237,29 @@ def check_aoi_size(t: Tables):
                                                          "status", "max_area_km2")
 
 
-@query("E3", "resolve_grid")
+def _utm_sql(lon: str, lat: str, zone: str) -> tuple[str, str]:
+    """Easting and northing by the same published series, as SQL text."""
+    d = f"radians({lon} - ({zone} * 6 - 183))"
+    e = X._E2 ** 0.5
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians({lat}))))"
+    xi, eta = f"atan2({t}, cos({d}))", f"asinh(sin({d}) / sqrt({t} * {t} + cos({d}) * cos({d})))"
+    x = eta + "".join(f" + {a!r}::DOUBLE * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(X._ALPHA, 1))
+    y = xi + "".join(f" + {a!r}::DOUBLE * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(X._ALPHA, 1))
+    scale = f"{X._K0 * X._RECT!r}::DOUBLE"
+    return f"(500000 + {scale} * ({x}))", f"({scale} * ({y}) + CASE WHEN {lat} < 0 THEN 1e7 ELSE 0 END)"
+
+
+def _grid_sql() -> str:
+    corners = [_utm_sql(x, y, "zone") for x in ("west", "east") for y in ("south", "north")]
+    xs, ys = ", ".join(c[0] for c in corners), ", ".join(c[1] for c in corners)
+    return f"""WITH b AS (SELECT pid, lon AS west, lat AS south, lon + 0.05::DOUBLE AS east, lat + 0.03::DOUBLE AS north FROM fx_point WHERE abs(lat) < 80),
+z AS (SELECT *, CAST(least(60, greatest(1, floor(((west + east) / 2 + 180) / 6) + 1)) AS INT) AS zone FROM b),
+u AS (SELECT pid, zone, least({xs}) AS x0, greatest({xs}) AS x1, least({ys}) AS y0, greatest({ys}) AS y1 FROM z),
+n AS (SELECT *, CAST(greatest(1, round_even(abs(x1 - x0) / 10, 0)) AS INT) AS w, CAST(greatest(1, round_even(abs(y1 - y0) / 10, 0)) AS INT) AS h FROM u)
+SELECT pid, zone, greatest(4, w - w % 4) AS width, greatest(4, h - h % 4) AS height, round(x0, 3) AS x_min, round(y1, 3) AS y_max FROM n"""
+
+
+@query("E3", "resolve_grid", _grid_sql())
 def resolve_grid(t: Tables):
     sites = t.fx_point.where("abs(lat) < 80").select(
         "pid", F.col("lon").alias("west"), F.col("lat").alias("south"),
