@@ -91,11 +91,10 @@ def rename_bands(assets: DataFrame, names: DataFrame) -> DataFrame:
 
 def complete_scenes(assets: DataFrame, bands: Sequence[str]) -> DataFrame:
     """B7, I4. Per scene: the wanted bands it lacks and whether it is usable."""
-    want = F.array(*[F.lit(b) for b in bands])
-    # only wanted bands enter the set, so it holds at most that many
-    held = assets.groupBy("scene_id").agg(F.collect_set(F.when(F.col("band").isin(list(bands)), F.col("band"))).alias("_have"))
-    return (held.withColumn("missing", F.array_sort(F.array_except(want, F.col("_have"))))
-            .select("scene_id", "missing", (F.size("missing") == 0).alias("usable")))
+    # one flag per wanted band stays in the hash aggregate; a set per scene would not
+    flags = assets.groupBy("scene_id").agg(*[F.bool_or(F.col("band") == b).alias(f"_{b}") for b in bands])
+    lacks = F.array_compact(F.array(*[F.when(~F.coalesce(f"_{b}", F.lit(False)), b) for b in sorted(bands)]))
+    return flags.select("scene_id", lacks.alias("missing")).withColumn("usable", F.size("missing") == 0)
 
 
 def merge_providers(parts: dict[str, DataFrame]) -> DataFrame:

@@ -317,7 +317,8 @@ def _simplify_rounds(rings: DataFrame, tol: float) -> DataFrame:
 def outline(regions: DataFrame, table: DataFrame, gsd: float, tol: float = 0.0, block: int = 256) -> DataFrame:
     """K14. Outlines in metres of the listed regions, simplified when a tolerance is given."""
     rings = region_rings(regions, block).join(table.select(KEY, "region"), [KEY, "region"], "left_semi")
-    rings = rings.withColumn("poly_id", F.concat_ws(":", KEY, "ring"))
+    # read several times below
+    rings = cut_lineage(rings.withColumn("poly_id", F.concat_ws(":", KEY, "ring")))
     named = rings.select("poly_id", KEY, "region", "hole").distinct()
     shape = close_rings(rings.select("poly_id", "vtx", (F.col("x") * gsd).cast("double").alias("lon"),
                                      (-F.col("y") * gsd).cast("double").alias("lat")), ["poly_id"])
