@@ -24,8 +24,8 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: in
 
 
 def order_bin(v: Column) -> Column:
-    """A bin number that never decreases with ``v``; about 0.1 % wide, any range."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * 1000) * 1024)).cast("bigint")
+    """A bin number that never decreases with ``v``; about 0.1 % wide, any range, infinities too."""
+    return (F.signum(v) * F.floor(F.least(F.log1p(F.abs(v) * 1000) * 1024, F.lit(1e6)))).cast("bigint")
 
 
 def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
@@ -34,9 +34,11 @@ def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
 
     ``percentile`` holds all distinct values of a group in one task. Here equal
     values are counted before the shuffle, counts per order-preserving bin say
-    which bins hold the wanted ranks, and only those bins are sorted. A group
-    spreads over thousands of bins, so no task sees more than one bin of it.
-    Quantiles are linear between ranks. Null and NaN do not count.
+    which bins hold the wanted ranks, and only those bins are looked into. They
+    are cut once more between their own extremes, for values that crowd into
+    one bin, and only the parts with a wanted rank are sorted.
+    Quantiles are linear between ranks. Null and NaN do not count; rows with a
+    null key belong to no group.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -70,16 +72,26 @@ def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
     def hi(p: float) -> Column:
         return F.ceil(F.lit(p) * (F.col("n") - 1))
 
-    holds = None
-    for p in probs.values():
-        for rank in (lo(p), hi(p)):
-            hit = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bn"))
-            holds = hit if holds is None else holds | hit
-    wanted = bins.where(holds).select(*keys, "_bin", "_before", *facts)
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v")
+    def holds(before: str, size: str) -> Column:
+        out = F.lit(False)
+        for p in probs.values():
+            for rank in (lo(p), hi(p)):
+                out = out | ((rank >= F.col(before)) & (rank < F.col(before) + F.col(size)))
+        return out
+
+    wanted = bins.where(holds("_before", "_bn")).select(*keys, "_bin", "_before", "_bmin", "_bmax", *facts)
+    share = (F.col("_v") - F.col("_bmin")) / (F.col("_bmax") - F.col("_bmin"))
+    inside = (counted.join(wanted, [*keys, "_bin"])
+              .withColumn("_part", F.when(F.col("_bmax") > F.col("_bmin"), F.floor(share * 4095)).otherwise(0)))
+    upto = Window.partitionBy(*keys, "_bin").orderBy("_part")
+    parts = (inside.groupBy(*keys, "_bin", "_part")
+             .agg(F.sum("_n").alias("_pn"), F.max("_before").alias("_b0"), F.max("n").alias("n"))
+             .withColumn("_pbefore", F.col("_b0") + F.sum("_pn").over(upto) - F.col("_pn"))
+             .where(holds("_pbefore", "_pn")).select(*keys, "_bin", "_part", "_pbefore"))
+    order = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v")
     ranked = (
-        counted.join(wanted, [*keys, "_bin"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+        inside.join(parts, [*keys, "_bin", "_part"])
+        .withColumn("_end", F.col("_pbefore") + F.sum("_n").over(order))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
 

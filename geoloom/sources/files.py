@@ -67,10 +67,19 @@ def sniff_magic(head_hex: Column) -> Column:
 
 
 def read_heads(spark: SparkSession, path: str) -> DataFrame:
-    """Path, name, size and leading bytes of the files under a folder."""
-    return (spark.read.format("binaryFile").load(path)
-            .select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
-                    F.hex(F.substring("content", 1, 16)).alias("head_hex")))
+    """Path, name, size and leading bytes of the files under a folder.
+
+    A file over the size cap is refused anyway and is listed without being read:
+    the test on its length reaches the source, and its content is not asked for.
+    """
+    found = spark.read.format("binaryFile").load(path)
+
+    def row(head: Column) -> list[Column]:
+        return [F.col("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
+                head.alias("head_hex")]
+
+    return (found.where(F.col("length") <= MAX_BYTES).select(*row(F.hex(F.substring("content", 1, 16))))
+            .unionByName(found.where(F.col("length") > MAX_BYTES).select(*row(F.lit("")))))
 
 
 def quarantine_mismatch(files: DataFrame) -> DataFrame:

@@ -42,6 +42,16 @@ def test_exact_stats(hot, parts):
             assert got[k][name] == pytest.approx(np.quantile(vals, p), rel=1e-12, abs=1e-12)
 
 
+def test_exact_stats_of_crowded_and_endless_values(spark):
+    """All values within a millionth of each other, and infinities."""
+    rng = np.random.default_rng(9)
+    close = 1.7e9 + rng.random(3000)
+    rows = [(1, float(v)) for v in close] + [(2, float("inf")), (2, float("-inf")), (2, 3.0)]
+    got = {r["key"]: r for r in scale.exact_stats(spark.createDataFrame(rows, "key int, v double"), ["key"], "v", {"p": 0.3, "m": 0.5}).collect()}
+    assert got[1]["p"] == pytest.approx(np.quantile(close, 0.3), rel=1e-15)
+    assert got[2]["m"] == 3.0 and got[2]["n"] == 3
+
+
 def test_exact_stats_without_keys(hot):
     rows, df = hot
     vals = [v for _, _, v in rows if v is not None and not math.isnan(v)]
