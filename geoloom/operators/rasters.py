@@ -139,8 +139,9 @@ def score_windows(px: DataFrame, keys: Sequence[str], win: int, scorer, schema:
     """
     tagged = (px.withColumn("wr", F.floor(F.col("r") / win).cast("int"))
               .withColumn("wc", F.floor(F.col("c") / win).cast("int")))
+    # Spark counts the arguments of a function, which an object with __call__ is not
     return tagged.groupBy(*keys, F.floor(F.col("wr") / batch).alias("_br"), F.floor(F.col("wc") / batch).alias("_bc")
-                          ).applyInPandas(scorer, schema)
+                          ).applyInPandas(lambda pdf: scorer(pdf), schema)
 
 
 def land_cover(px: DataFrame, classes: DataFrame, year: int = 2021, fallback: int = 2020) -> DataFrame:

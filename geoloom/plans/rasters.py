@@ -294,6 +294,28 @@ def score_windows(t: Tables):
     return got.withColumn("score", F.round("score", 6))
 
 
+class GreenestPixel:
+    """A model a caller brings; it is sent to the workers once per task and called per batch of windows."""
+
+    def __init__(self, floor: float) -> None:
+        self.floor = floor
+
+    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        index = ((pdf["b08"] - pdf["b04"]) / (pdf["b08"] + pdf["b04"])).clip(lower=self.floor)
+        best = index.groupby([pdf["scene_id"], pdf["wr"], pdf["wc"]], sort=False).max()
+        return best.rename("score").reset_index()
+
+
+@query("U3", "user_model", """
+WITH cell AS (SELECT scene_id, r, c, avg(b04) AS b04, avg(b08) AS b08 FROM fx_px GROUP BY ALL)
+SELECT scene_id, CAST(floor(r / 16.0) AS INT) AS wr, CAST(floor(c / 16.0) AS INT) AS wc,
+       round(max(greatest(-0.5::DOUBLE, (b08 - b04) / (b08 + b04))), 6) AS score FROM cell GROUP BY ALL""")
+def user_model(t: Tables):
+    cell = t.fx_px.groupBy("scene_id", "r", "c").agg(F.avg("b04").alias("b04"), F.avg("b08").alias("b08"))
+    got = R.score_windows(cell, ["scene_id"], 16, GreenestPixel(-0.5), "scene_id bigint, wr int, wc int, score double")
+    return got.withColumn("score", F.round("score", 6))
+
+
 @query("D16", "present_classes", """
 SELECT raster_id, string_agg(class_id, ',' ORDER BY class_id) AS class_ids
 FROM (SELECT DISTINCT raster_id, class_id FROM fx_class WHERE class_id >= 0) GROUP BY raster_id""")

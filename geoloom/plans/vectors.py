@@ -333,6 +333,19 @@ def scale_average(t: Tables):
     return mean.select("r", "c", "class_id", *r6("confidence"))
 
 
+# The classes a caller brings: id, name and colour.
+USER_CLASSES = [(0, "Orchard", "#7fbf7b"), (1, "Quarry", "#a6611a"), (2, "Pond", "#2c7bb6")]
+
+
+@query("U2", "user_classes", f"""WITH {_G}, {_LABELS}, {_USED}, {_PROTO}, {_ANCHOR}, {_PROB}
+SELECT raster_id, name, color, count(*) AS pixel_count, round(avg(prob), 3) AS avg_confidence
+FROM zs JOIN {values_sql(USER_CLASSES)} uc(class_id, name, color) ON uc.class_id = zs.class_id GROUP BY ALL""")
+def user_classes(t: Tables):
+    named = t.values("class_id, name, color", USER_CLASSES)
+    got = M.zero_shot_summary(_zero_shot(t)).join(named, "class_id")
+    return got.select("raster_id", "name", "color", "pixel_count", "avg_confidence")
+
+
 # The prompt templates.
 TEMPLATES = ["itap of a {}.", "a bad photo of a {}.", "a origami {}.", "a photo of the large {}.", "a {} in a video game.",
              "art of the {}.", "a photo of the small {}.", "a photo of many {}.", "a photo of {}s."]
