@@ -219,22 +219,30 @@ def composite_url(specs: DataFrame, base: str) -> DataFrame:
     return s.withColumn("tile_url", F.when(~bad, url)).withColumn("error", F.when(bad, "no_assets")).drop("_b", "_r", "_c")
 
 
-def histogram_block(hist: DataFrame, names: DataFrame) -> DataFrame:
+# The wording of the fact lines.
+HISTOGRAM_HEAD = ("PIXEL HISTOGRAM OVER THE AOI (ground truth from the rendered raster; %d total pixels, "
+                  "%d classes present out of %d):")
+HISTOGRAM_LINE = "- %s (id=%d): %s%% (%d pixels)"
+STATS_HEAD = "SCALAR STATS OVER THE AOI (ground truth from the rendered raster; %d valid pixels):"
+STATS_LINES = [("mean", "mean"), ("min", "min"), ("p10", "p10"), ("p50 (median)", "p50"), ("p90", "p90"), ("max", "max")]
+
+
+def histogram_block(hist: DataFrame, names: DataFrame, num_classes: int) -> DataFrame:
     """S12. A class histogram as lines of text per raster; ``hist`` is the output of D2."""
-    line = F.format_string("- %s (id=%d): %.2f%% (%d pixels)", "name", "class_id", "percent", "n_pixels")
     named = (hist.join(names, "class_id", "left")
              .withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id")))))
+    line = F.format_string(HISTOGRAM_LINE, "name", "class_id", F.col("percent").cast("string"), "n_pixels")
     # at most top_n lines per raster
     got = named.groupBy("raster_id", "total_pixels", "n_present").agg(
         F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_l"))
-    head = F.format_string("%d pixels, %d classes present", "total_pixels", "n_present")
+    head = F.format_string(HISTOGRAM_HEAD, "total_pixels", "n_present", F.lit(num_classes))
     return got.select("raster_id", F.concat_ws("\n", head, F.transform("_l", lambda x: x["line"])).alias("block"))
 
 
 def stats_block(stats: DataFrame, units: str) -> DataFrame:
     """S12. Scalar statistics as lines of text per raster; ``stats`` is the output of D3."""
-    lines = [F.format_string(f"- {n}: %.3f {units}", n) for n in ("mean", "min", "p10", "p50", "p90", "max")]
-    return stats.select("raster_id", F.concat_ws("\n", F.format_string("%d valid pixels", "valid_pixels"), *lines).alias("block"))
+    lines = [F.concat(F.lit(f"- {label}: "), F.col(c).cast("string"), F.lit(f" {units}")) for label, c in STATS_LINES]
+    return stats.select("raster_id", F.concat_ws("\n", F.format_string(STATS_HEAD, "valid_pixels"), *lines).alias("block"))
 
 
 def demo_catalog(pairs: DataFrame) -> DataFrame:

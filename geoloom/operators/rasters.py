@@ -74,8 +74,15 @@ def decode_classes(counts: DataFrame, classes: DataFrame, on: str) -> DataFrame:
     return counts.join(classes, on)
 
 
-def with_legend(px: DataFrame, legend: DataFrame, on: str = "class_id", grey: str = "#888888") -> DataFrame:
-    """C5. Legend columns, with a grey and a ``class_i`` name where it has none."""
+def with_legend(px: DataFrame, legend: DataFrame, on: str = "class_id", grey: str = "#888888",
+                num_classes: int | None = None) -> DataFrame:
+    """C5. Legend columns, with a grey and a ``class_i`` name where it has none.
+
+    With ``num_classes`` a legend of any other length is not trusted and left out.
+    """
+    if num_classes is not None:
+        size = legend.agg(F.count(F.lit(1)).alias("n")).scalar()
+        legend = legend.where(size == num_classes)
     return (px.join(legend, on, "left")
             .withColumn("color", F.coalesce("color", F.lit(grey)))
             .withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), F.col(on)))))
@@ -206,10 +213,14 @@ def _series(px: DataFrame, scenes: DataFrame, spine: DataFrame, max_cloud: float
         n = value.groupBy("aoi_id", "month").agg(F.count(F.lit(1)).alias("total_pixels"))
         out = out.join(n, ["aoi_id", "month"], "left").withColumn(
             "total_pixels", F.coalesce("total_pixels", F.lit(0)).cast("bigint"))
+    hazy = F.format_string(f"scene cloud cover %.1f%% exceeds {max_cloud:.0f}%% threshold", F.col("cloud_cover"))
     return (out.withColumn("status",
                            F.when(F.col("scene_id").isNull(), "no_scene")
                            .when(F.col("cloud_cover") > max_cloud, "too_cloudy")
                            .when(F.col("n_pixels").isNull(), empty).otherwise("ok"))
+            .withColumn("detail", F.when(F.col("status") == "no_scene", "no scene in this month")
+                        .when(F.col("status") == "too_cloudy", hazy)
+                        .when(F.col("status") == "no_class_pixels", "no pixel of the chosen classes this month"))
             .withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0)).cast("bigint")))
 
 

@@ -131,6 +131,16 @@ def region_table(regions: DataFrame, gsd: float, min_px: int = 4) -> DataFrame:
             .where(F.col("pixel_count") >= min_px).withColumn("area_m2", F.col("pixel_count") * F.lit(gsd * gsd)))
 
 
+def region_features(table: DataFrame, legend: DataFrame, num_classes: int) -> DataFrame:
+    """K14. Regions of known classes with name, colour (grey where the legend has none) and rounded area."""
+    from geoloom.operators.rasters import with_legend
+
+    known = table.where((F.col("class_id") >= 0) & (F.col("class_id") < num_classes))
+    return with_legend(known, legend).select(
+        KEY, "region", "class_id", F.col("name").alias("class_name"), "color",
+        F.round("area_m2", 1).alias("area_m2"), "pixel_count").orderBy(F.desc("area_m2"), KEY, "region")
+
+
 def _block_paths(pdf: pd.DataFrame) -> pd.DataFrame:
     """The sides of one block's pixels, chained as far as the block goes.
 

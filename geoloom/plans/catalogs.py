@@ -175,13 +175,17 @@ def project_state(t: Tables):
     return t.fx_project.select("id", s["n"].alias("n"), F.to_json(s).alias("text"))
 
 
-@query("A16", "write_timeseries_csv", PR._D4 + "SELECT status, count(*) AS n, CAST(sum(n_pixels) AS BIGINT) AS pixels FROM ts GROUP BY status")
+@query("A16", "write_timeseries_csv", PR._D4 + """SELECT status, count(*) AS n, CAST(sum(n_pixels) AS BIGINT) AS pixels, strftime(min(month), '%Y-%m') AS first_month,
+  min(CASE status WHEN 'no_scene' THEN 'no scene in this month' WHEN 'too_cloudy' THEN printf('scene cloud cover %.1f%% exceeds 10%% threshold', cloud_cover) END) AS detail
+FROM ts GROUP BY status""")
 def write_timeseries_csv(t: Tables):
     path = W.scratch_path(t.spark, "series")
     W.write_timeseries_csv(PR._timeseries(t), path)
-    got = t.spark.read.csv(path, header=True, schema="aoi_id int, month date, status string, scene_id bigint, cloud_cover double, ndvi_mean double,"
-                           " ndvi_median double, ndvi_p10 double, ndvi_p90 double, n_pixels bigint")
-    return got.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_pixels").alias("pixels"))
+    got = t.spark.read.csv(path, header=True, schema="aoi_id int, month string, status string, scene_id bigint, scene_datetime string,"
+                           " scene_cloud_cover double, ndvi_mean double, ndvi_median double, ndvi_p10 double, ndvi_p90 double,"
+                           " n_pixels bigint, detail string")
+    return got.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_pixels").alias("pixels"),
+                                     F.min("month").alias("first_month"), F.min("detail").alias("detail"))
 
 
 @query("A17", "write_raster", "SELECT raster_id, CAST(class_id AS INT) AS value, count(*) AS n, 7 AS tags FROM fx_class GROUP BY 1, 2")
@@ -360,16 +364,16 @@ def parse_model_name(t: Tables):
 
 
 @query("S12", "evidence_block", f"""WITH h AS ({PR.HISTOGRAM} QUALIFY rank <= 5)
-SELECT raster_id, concat(printf('%d pixels, %d classes present', any_value(total_pixels), any_value(n_present)), chr(10),
-  string_agg(printf('- %s (id=%d): %.2f%% (%d pixels)', coalesce(name, concat('class_', class_id)), class_id, percent, n_pixels), chr(10) ORDER BY rank)) AS block
+SELECT raster_id, concat(printf('{K.HISTOGRAM_HEAD}', any_value(total_pixels), any_value(n_present), 8), chr(10),
+  string_agg(concat('- ', coalesce(name, concat('class_', class_id)), ' (id=', class_id, '): ', percent, '% (', n_pixels, ' pixels)'), chr(10) ORDER BY rank)) AS block
 FROM h LEFT JOIN {LEGEND_SQL} USING (class_id) GROUP BY raster_id""")
 def evidence_block(t: Tables):
-    return K.histogram_block(R.class_histogram(t.fx_class, 8, 5), legend_dim(t).select("class_id", "name"))
+    return K.histogram_block(R.class_histogram(t.fx_class, 8, 5), legend_dim(t).select("class_id", "name"), 8)
 
 
-@query("S12", "stats_block", """SELECT raster_id, concat(printf('%d valid pixels', count(*)), chr(10), printf('- mean: %.3f m', avg(scalar)), chr(10), printf('- min: %.3f m', min(scalar)), chr(10),
-  printf('- p10: %.3f m', quantile_cont(scalar, 0.1)), chr(10), printf('- p50: %.3f m', quantile_cont(scalar, 0.5)), chr(10), printf('- p90: %.3f m', quantile_cont(scalar, 0.9)), chr(10),
-  printf('- max: %.3f m', max(scalar))) AS block FROM fx_class GROUP BY raster_id""")
+@query("S12", "stats_block", f"""SELECT raster_id, concat(printf('{K.STATS_HEAD}', count(*)), chr(10), '- mean: ', round(avg(scalar), 3), ' m', chr(10), '- min: ', round(min(scalar), 3), ' m', chr(10),
+  '- p10: ', round(quantile_cont(scalar, 0.1), 3), ' m', chr(10), '- p50 (median): ', round(quantile_cont(scalar, 0.5), 3), ' m', chr(10),
+  '- p90: ', round(quantile_cont(scalar, 0.9), 3), ' m', chr(10), '- max: ', round(max(scalar), 3), ' m') AS block FROM fx_class GROUP BY raster_id""")
 def stats_block(t: Tables):
     return K.stats_block(R.scalar_stats(t.fx_class, "scalar"), "m")
 

@@ -8,7 +8,7 @@ from geoloom.fixtures import Tables
 from geoloom.functions import geo as X
 from geoloom.operators import polygons as P
 from geoloom.operators import vectorize as V
-from geoloom.plans.rasters import r6
+from geoloom.plans.rasters import LEGEND_SQL, legend_dim, r6
 from geoloom.registry import query
 
 _EDGES = """e AS (SELECT poly_id, vtx, lon AS lon1, lat AS lat1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM fx_ring
@@ -222,6 +222,14 @@ def region_table(t: Tables):
     return V.region_table(V.connected_regions(t.fx_class, block=32), 10.0)
 
 
+@query("K14", "region_features", f"""WITH {_REGIONS} SELECT raster_id, region, class_id, name AS class_name, coalesce(any_value(color), '#888888') AS color,
+  CAST(count(*) * 100 AS DOUBLE) AS area_m2, count(*) AS pixel_count FROM reg LEFT JOIN {LEGEND_SQL} USING (class_id) WHERE class_id < 4
+GROUP BY raster_id, region, class_id, name HAVING count(*) >= 4""")
+def region_features(t: Tables):
+    table = V.region_table(V.connected_regions(t.fx_class, block=32), 10.0)
+    return V.region_features(table, legend_dim(t), 4)
+
+
 @query("K14", "region_outlines", f"""WITH {_REGIONS},
 s AS (SELECT g.raster_id, region, g.r, g.c, (SELECT count(*) FROM cell n WHERE n.raster_id = g.raster_id AND n.class_id = g.class_id
         AND abs(n.r - g.r) + abs(n.c - g.c) = 1) AS same FROM reg g)

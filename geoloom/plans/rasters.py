@@ -76,7 +76,7 @@ SELECT raster_id, r, c, class_id, coalesce(color, '#888888') AS color,
        coalesce(name, concat('class_', class_id)) AS name
 FROM fx_class LEFT JOIN {LEGEND_SQL} USING (class_id)""")
 def with_legend(t: Tables):
-    return R.with_legend(t.fx_class.drop("scalar"), legend_dim(t))
+    return R.with_legend(t.fx_class.drop("scalar"), legend_dim(t), num_classes=len(LEGEND))
 
 
 @query("D1", "land_cover", f"""

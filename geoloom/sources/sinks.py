@@ -25,13 +25,17 @@ def write_geojson(features: DataFrame, path: str, **provenance: str) -> None:
     features.select(F.to_json(feature).alias("value")).write.text(path)
 
 
-SERIES_COLUMNS = ["aoi_id", "month", "status", "scene_id", "cloud_cover", "ndvi_mean", "ndvi_median", "ndvi_p10",
-                  "ndvi_p90", "n_pixels"]
+# The columns of a series file, after the area.
+SERIES_COLUMNS = ["month", "status", "scene_id", "scene_datetime", "scene_cloud_cover", "ndvi_mean", "ndvi_median",
+                  "ndvi_p10", "ndvi_p90", "n_pixels", "detail"]
 
 
 def write_timeseries_csv(series: DataFrame, path: str) -> None:
-    """A16. All months, failed ones too, in fixed column order."""
-    series.select(*SERIES_COLUMNS).write.csv(path, header=True)
+    """A16. All months, failed ones too, in fixed column order. A scene's date is written where ``dt`` is known."""
+    dt = F.col("dt") if "dt" in series.columns else F.lit(None).cast("string")
+    named = (series.withColumn("scene_datetime", dt).withColumnRenamed("cloud_cover", "scene_cloud_cover")
+             .withColumn("month", F.date_format("month", "yyyy-MM")))
+    named.select("aoi_id", *SERIES_COLUMNS).write.csv(path, header=True)
 
 
 def write_raster(px: DataFrame, path: str, value: str, classes: DataFrame | None = None, block: int = 256,

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,6 +10,6 @@ from geoloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="geoloom-test-")})
+    s = local_session(8)
     yield s
     s.stop()

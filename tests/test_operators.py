@@ -176,6 +176,14 @@ def test_colors(spark):
     assert one(spark, color.class_rgba(F.lit(-1), ["#000000"]))["alpha"] == 0
 
 
+def test_legend_of_another_length_is_left_out(spark):
+    px = spark.createDataFrame([(1, 0)], "raster_id int, class_id int")
+    legend = spark.createDataFrame([(0, "Forest", "#00ff00")], "class_id int, name string, color string")
+    assert rasters.with_legend(px, legend, num_classes=1).collect()[0]["name"] == "Forest"
+    row = rasters.with_legend(px, legend, num_classes=2).collect()[0]
+    assert (row["name"], row["color"]) == ("class_0", "#888888")
+
+
 def test_land_cover_percents(spark):
     px = spark.createDataFrame([(1, 2021, 10)] * 6 + [(1, 2021, 40)] * 3 + [(1, 2021, 77)] + [(1, 2021, 0)] * 5 + [(2, 2020, 80)], "aoi_id int, year int, code int")
     names = spark.createDataFrame([(10, "Tree", "#1"), (40, "Crop", "#2"), (80, "Water", "#3")], "code int, name string, color string")
