@@ -372,10 +372,10 @@ p AS (SELECT raster_id, r, c, h, w, class_id, CASE WHEN class_id = -1 THEN 0 ELS
 k0 AS (SELECT CAST(i AS INT) AS k, exp(-0.5 * (i / 1.5) * (i / 1.5)) AS g FROM range(-6, 7) t(i)),
 k AS (SELECT k, g / (SELECT sum(g) FROM k0) AS g FROM k0),
 hz AS (SELECT a.raster_id, a.r, a.c, a.h, a.class_id, sum(g * b.v) AS v FROM p a CROSS JOIN k JOIN p b ON b.raster_id = a.raster_id AND b.r = a.r
-       AND b.c = CASE WHEN a.c + k < 0 THEN -1 - a.c - k WHEN a.c + k >= a.w THEN 2 * a.w - 1 - a.c - k ELSE a.c + k END GROUP BY ALL)
+       AND b.c = CASE WHEN ((a.c + k) % (2 * a.w) + 2 * a.w) % (2 * a.w) < a.w THEN ((a.c + k) % (2 * a.w) + 2 * a.w) % (2 * a.w) ELSE 2 * a.w - 1 - ((a.c + k) % (2 * a.w) + 2 * a.w) % (2 * a.w) END GROUP BY ALL)
 SELECT a.raster_id, a.r, a.c, CASE WHEN a.class_id = -1 THEN NULL ELSE round(sum(g * b.v), 6) END AS scalar
 FROM hz a CROSS JOIN k JOIN hz b ON b.raster_id = a.raster_id AND b.c = a.c
- AND b.r = CASE WHEN a.r + k < 0 THEN -1 - a.r - k WHEN a.r + k >= a.h THEN 2 * a.h - 1 - a.r - k ELSE a.r + k END
+ AND b.r = CASE WHEN ((a.r + k) % (2 * a.h) + 2 * a.h) % (2 * a.h) < a.h THEN ((a.r + k) % (2 * a.h) + 2 * a.h) % (2 * a.h) ELSE 2 * a.h - 1 - ((a.r + k) % (2 * a.h) + 2 * a.h) % (2 * a.h) END
 GROUP BY a.raster_id, a.r, a.c, a.class_id""")
 def smooth_raster(t: Tables):
     px = t.fx_class.withColumn("scalar", F.when(F.col("class_id") != -1, F.col("scalar")))

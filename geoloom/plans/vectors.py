@@ -147,9 +147,9 @@ def similarity(t: Tables):
 _BLUR = """k0 AS (SELECT CAST(i AS INT) AS k, exp(-0.5 * (i / 1.5) * (i / 1.5)) AS g FROM range(-6, 7) t(i)), kn AS (SELECT k, g / (SELECT sum(g) FROM k0) AS g FROM k0),
 dm AS (SELECT raster_id, max(r) + 1 AS h, max(c) + 1 AS w FROM g GROUP BY 1),
 hz AS (SELECT a.raster_id, a.r, a.c, h, a.nodata, sum(kn.g * b.s) AS s FROM sm a JOIN dm USING (raster_id) CROSS JOIN kn JOIN sm b ON b.raster_id = a.raster_id AND b.r = a.r
-  AND b.c = CASE WHEN a.c + k < 0 THEN -1 - a.c - k WHEN a.c + k >= w THEN 2 * w - 1 - a.c - k ELSE a.c + k END GROUP BY ALL)
+  AND b.c = CASE WHEN ((a.c + k) % (2 * w) + 2 * w) % (2 * w) < w THEN ((a.c + k) % (2 * w) + 2 * w) % (2 * w) ELSE 2 * w - 1 - ((a.c + k) % (2 * w) + 2 * w) % (2 * w) END GROUP BY ALL)
 SELECT a.raster_id, a.r, a.c, CASE WHEN a.nodata THEN 0 ELSE round(sum(kn.g * b.s), 6) END AS similarity FROM hz a CROSS JOIN kn JOIN hz b ON b.raster_id = a.raster_id AND b.c = a.c
-  AND b.r = CASE WHEN a.r + k < 0 THEN -1 - a.r - k WHEN a.r + k >= a.h THEN 2 * a.h - 1 - a.r - k ELSE a.r + k END GROUP BY a.raster_id, a.r, a.c, a.nodata"""
+  AND b.r = CASE WHEN ((a.r + k) % (2 * a.h) + 2 * a.h) % (2 * a.h) < a.h THEN ((a.r + k) % (2 * a.h) + 2 * a.h) % (2 * a.h) ELSE 2 * a.h - 1 - ((a.r + k) % (2 * a.h) + 2 * a.h) % (2 * a.h) END GROUP BY a.raster_id, a.r, a.c, a.nodata"""
 
 
 @query("K2", "similarity_smooth", f"WITH {_G}, {_QUERY}, {_SIM}, {_BLUR}")

@@ -35,7 +35,7 @@ def test_the_check_sees_differences(spark, con):
     from dataclasses import replace
 
     q = QUERIES["b2_bbox_intersects"]
-    _, _, note = compare(spark, con, replace(q, sql=q.sql.replace("west <= 40", "west <= 41")), SMALL)
+    _, _, note = compare(spark, con, replace(q, sql=q.sql.replace("west <= 40", "west <= 140")), SMALL)
     assert note.startswith("VALUES")
     _, _, note = compare(spark, con, replace(q, sql=q.sql + " LIMIT 5"), SMALL)
     assert note.startswith("ROWS")
