@@ -106,13 +106,17 @@ def merge_providers(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def cache_key(scene: Column, box: Sequence[Column], gsd: Column, band: Column, version: str) -> Column:
-    """A20. Key of one cached band window; numbers go in with six places."""
+def cache_stem(scene: Column, box: Sequence[Column], gsd: Column, version: str) -> Column:
+    """A20. What the keys of a scene's bands have in common, made once per scene; numbers with six places."""
     def six(x: Column) -> Column:
         return x.cast("decimal(18,6)").cast("string")
 
-    return F.substring(F.sha2(F.concat_ws(
-        "|", F.lit(version), scene.cast("string"), *[six(b) for b in box], six(gsd), band), 256), 1, 16)
+    return F.concat_ws("|", F.lit(version), scene.cast("string"), *[six(b) for b in box], six(gsd))
+
+
+def cache_key(stem: Column, band: Column) -> Column:
+    """A20. Key of one cached band window."""
+    return F.substring(F.sha2(F.concat_ws("|", stem, band), 256), 1, 16)
 
 
 def cache_plan(needed: DataFrame, cached: DataFrame) -> DataFrame:

@@ -142,8 +142,9 @@ SELECT scene_id, count(h.cache_key) AS n_hit, count(*) - count(h.cache_key) AS n
   CASE WHEN count(*) = count(h.cache_key) THEN 'full' WHEN count(h.cache_key) = 0 THEN 'none' ELSE 'partial' END AS state
 FROM need LEFT JOIN have h USING (cache_key) GROUP BY scene_id""")
 def cache_plan(t: Tables):
-    need = (rename_bands(t).join(t.fx_scene, "scene_id")
-            .withColumn("cache_key", S.cache_key(F.col("scene_id"), [F.col(b) for b in S.BOX], F.lit(10.0), F.col("band"), "v1")))
+    stems = t.fx_scene.select("scene_id", "cloud_cover", S.cache_stem(
+        F.col("scene_id"), [F.col(b) for b in S.BOX], F.lit(10.0), "v1").alias("stem"))
+    need = rename_bands(t).join(stems, "scene_id").withColumn("cache_key", S.cache_key(F.col("stem"), F.col("band")))
     have = need.where((F.col("cloud_cover") < 30) | ((F.col("cloud_cover") < 60) & (F.col("band") < "B06")))
     return S.cache_plan(need.select("scene_id", "cache_key"), have.select("cache_key"))
 
