@@ -137,13 +137,13 @@ def _projects(t: Tables):
 
 
 def _upserted(t: Tables):
-    new = t.fx_project.where("id % 3 <> 1").select(
-        F.when(F.col("id") % 3 == 2, F.col("id") + 1000000).otherwise(F.col("id")).alias("id"), F.concat(F.lit("New "), "name").alias("name"),
+    new = t.fx_project.where("version >= 800").select(
+        F.when(F.col("version") >= 3000, F.col("id") + 1000000).otherwise(F.col("id")).alias("id"), F.concat(F.lit("New "), "name").alias("name"),
         "state_json", (F.col("version") + 7).alias("created_at"), (F.col("version") + 9).alias("updated_at"))
     return K.upsert_projects(_projects(t), new)
 
 
-_UPS = """nw AS (SELECT CASE WHEN id % 3 = 2 THEN id + 1000000 ELSE id END AS id, concat('New ', name) AS name, version + 7 AS created_at, version + 9 AS updated_at FROM fx_project WHERE id % 3 <> 1),
+_UPS = """nw AS (SELECT CASE WHEN version >= 3000 THEN id + 1000000 ELSE id END AS id, concat('New ', name) AS name, version + 7 AS created_at, version + 9 AS updated_at FROM fx_project WHERE version >= 800),
 up AS (SELECT coalesce(n.id, p.id) AS id, coalesce(n.name, p.name) AS name, coalesce(p.version, n.created_at) AS created_at, coalesce(n.updated_at, p.version) AS updated_at
   FROM fx_project p FULL JOIN nw n ON n.id = p.id)"""
 
@@ -208,22 +208,22 @@ def write_embeddings(t: Tables):
 
 
 @query("A19", "artifact_sweep", """
-WITH f AS (SELECT event_id, regexp_replace(concat(event_type, ' ', CAST(event_id AS VARCHAR), '.tif'), '[^A-Za-z0-9._-]', '_', 'g') AS filename, CAST(event_id AS DOUBLE) AS mt, user_id AS size FROM events),
-x AS (SELECT filename, CASE WHEN event_id % 4 = 0 THEN 'orphan' ELSE 'expired' END AS why, size FROM f WHERE mt < 5000)
+WITH f AS (SELECT event_type, regexp_replace(concat(event_type, ' ', CAST(event_id AS VARCHAR), '.tif'), '[^A-Za-z0-9._-]', '_', 'g') AS filename, CAST(event_id AS DOUBLE) AS mt, user_id AS size FROM events),
+x AS (SELECT filename, CASE WHEN event_type = 'view' THEN 'orphan' ELSE 'expired' END AS why, size FROM f WHERE mt < 5000)
 SELECT why, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM x GROUP BY why""")
 def artifact_sweep(t: Tables):
     name = K.safe_name(F.concat_ws(" ", "event_type", F.concat(F.col("event_id").cast("string"), F.lit(".tif"))))
-    files = t.events.select("event_id", name.alias("filename"), F.col("event_id").cast("double").alias("mtime"), F.col("user_id").alias("size"))
-    index = files.where("event_id % 4 <> 0").select(F.col("event_id").alias("artifact_id"), "filename", F.col("mtime").alias("created_at"))
+    files = t.events.select("event_id", "event_type", name.alias("filename"), F.col("event_id").cast("double").alias("mtime"), F.col("user_id").alias("size"))
+    index = files.where("event_type <> 'view'").select(F.col("event_id").alias("artifact_id"), "filename", F.col("mtime").alias("created_at"))
     return K.sweep_totals(K.sweep(index, files, 20000.0, 15000.0))
 
 
 @query("A21", "catalog_merge", """
 SELECT concat('hub/', CAST(p_partkey AS VARCHAR)) AS repo_id, p_size AS downloads, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS task,
-  p_brand AS tier, 'live' AS origin FROM part WHERE p_partkey % 2 = 0""")
+  p_brand AS tier, 'live' AS origin FROM part WHERE p_size > 25""")
 def catalog_merge(t: Tables):
     rid = F.concat(F.lit("hub/"), F.col("p_partkey").cast("string"))
-    live = t.part.where("p_partkey % 2 = 0").select(rid.alias("repo_id"), F.col("p_size").alias("downloads"),
+    live = t.part.where("p_size > 25").select(rid.alias("repo_id"), F.col("p_size").alias("downloads"),
                                                     F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("task"))
     static = t.part.select(rid.alias("repo_id"), F.col("p_type").alias("task"), F.col("p_brand").alias("tier"))
     return K.catalog_merge(live, static)

@@ -94,14 +94,17 @@ def provider_fallback(t: Tables):
 
 
 def _assets(t: Tables):
-    """One asset per scene and band; some scenes lack a band, chosen by the scene id."""
+    """One asset per scene and band; cloudy scenes of the secondary provider lack the last two, hazy ones one band."""
     names = F.array(*[F.lit(a) for a, _ in ALIASES])
-    return (t.fx_scene.select("scene_id", F.posexplode(names).alias("i", "asset"))
-            .where((F.col("scene_id") % 17 != F.col("i")) & (F.col("scene_id") % 31 != F.col("i"))).drop("i"))
+    gone = ((F.col("provider") == "secondary") & (F.col("cloud_cover") > 50) & (F.col("i") >= 10)) | (
+        (F.col("cloud_cover") > 90) & (F.col("i") == 7))
+    return (t.fx_scene.select("scene_id", "provider", "cloud_cover", F.posexplode(names).alias("i", "asset"))
+            .where(~gone).select("scene_id", "asset"))
 
 
 _ASSETS = f"""al AS (SELECT * FROM {values_sql([(i, a, b) for i, (a, b) in enumerate(ALIASES)])} v(i, asset, band)),
-ast AS (SELECT scene_id, asset, band FROM fx_scene, al WHERE scene_id % 17 <> i AND scene_id % 31 <> i)"""
+ast AS (SELECT scene_id, asset, band FROM fx_scene, al
+   WHERE NOT (provider = 'secondary' AND cloud_cover > 50 AND i >= 10) AND NOT (cloud_cover > 90 AND i = 7))"""
 
 
 @query("C19", "rename_bands", f"WITH {_ASSETS} SELECT scene_id, band FROM ast")
