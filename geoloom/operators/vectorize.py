@@ -89,8 +89,10 @@ def label_blocks(px: DataFrame, block: int = 256) -> DataFrame:
 def smallest_reachable(edges: DataFrame) -> DataFrame:
     """Connected components of ``(raster_id, u, v)``: each node with the smallest node it reaches.
 
-    Each round takes the smallest root among the neighbours, then the root of
-    that root, so long chains halve. A round is written out before the next.
+    In each round the nodes of one root pool the smallest root next to any of
+    them and all move to it, then to the root of that root. Whole groups merge
+    at once, so a long winding region takes few rounds. A round is written out
+    before the next.
     """
     both = edges.select(KEY, "u", "v").unionByName(edges.select(KEY, F.col("v").alias("u"), F.col("u").alias("v")))
     both = cut_lineage(both.distinct())
@@ -99,8 +101,11 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     while True:
         far = (both.join(roots.select(KEY, F.col("node").alias("v"), "root"), [KEY, "v"])
                .groupBy(KEY, F.col("u").alias("node")).agg(F.min("root").alias("_near")))
-        low = (roots.join(far, [KEY, "node"])
-               .select(KEY, "node", F.col("root").alias("_old"), F.least("root", "_near").alias("root")))
+        # pooled per root; both steps combine before the shuffle
+        pooled = (roots.join(far, [KEY, "node"]).groupBy(KEY, "root")
+                  .agg(F.least(F.min("_near"), F.col("root")).alias("_pool")))
+        low = (roots.join(pooled, [KEY, "root"])
+               .select(KEY, "node", F.col("root").alias("_old"), F.col("_pool").alias("root")))
         up = low.select(KEY, F.col("node").alias("root"), F.col("root").alias("_up"))
         new = cut_lineage(low.join(up, [KEY, "root"], "left")
                           .select(KEY, "node", "_old", F.coalesce("_up", "root").alias("root")))

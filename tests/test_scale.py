@@ -191,6 +191,22 @@ def test_regions_match_a_flood_fill(spark, raster, block):
     assert {frozenset(v) for v in got.values()} == _flood(raster)
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 3000 nodes in mixed order, many local minima, and a star."""
+    from geoloom.operators import vectorize
+
+    names = np.random.default_rng(12).permutation(3000)
+    chain = [(1, int(a), int(b)) for a, b in zip(names, names[1:])]
+    star = [(2, 0, i) for i in range(1, 500)] + [(2, 900, 901)]
+    rounds = []
+    cut = vectorize.cut_lineage
+    monkeypatch.setattr(vectorize, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    got = vectorize.smallest_reachable(spark.createDataFrame(chain + star, "raster_id int, u long, v long")).collect()
+    assert {r["root"] for r in got if r["raster_id"] == 1} == {0}
+    assert {(r["node"] >= 900, r["root"]) for r in got if r["raster_id"] == 2} == {(False, 0), (True, 900)}
+    assert len(rounds) < 16
+
+
 @pytest.mark.parametrize("block", [5, 64])
 def test_rings_enclose_their_regions(spark, raster, block):
     px = spark.createDataFrame([(1, r, c, k) for (r, c), k in raster.items()], "raster_id int, r int, c int, class_id int")
