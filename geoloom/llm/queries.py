@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -20,8 +21,45 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+@register("op4_mix_to_target_weights")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.mixing import mix
+
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 @register("op8_simhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.simhash_dedup import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@register("op10_benchmark_decontamination", f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+runs AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS run, least(10, len(w)) AS size
+  FROM items, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM runs),
+docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+found AS (
+  SELECT d.doc_id, r.item_id, i, r.size
+  FROM (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS run FROM docs, sizes, unnest(generate_series(1, len(w) - size + 1)) AS s(i)) AS d
+  JOIN runs AS r ON r.run = d.run AND r.size = d.size),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS k FROM found) GROUP BY 1),
+hits AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN hits USING (doc_id)
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.decontaminate import overlaps
+
+    found = overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    listed = F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
