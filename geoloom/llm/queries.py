@@ -28,6 +28,15 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@register("op7_packed_token_ids")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from geoloom.llm.token_files import TOKENIZER, token_digests
+
+    return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(TOKENIZER))
+
+
 @register("op8_simhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.simhash_dedup import near_duplicates
