@@ -21,6 +21,21 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def remainder(column: str, by: int):
+    """crc32 of the id as text, modulo ``by``; a null id has none."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % by
+
+
+@register("op2_quality_neighbour_votes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.quality import CUT, fit, score
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = score(docs, fit(docs, labels.where(remainder("doc_id", 5) != 0)))
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
 @register("op4_mix_to_target_weights")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.mixing import mix
@@ -28,6 +43,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@register("op6_language_by_partial_matching")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.language import fit, predict
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = predict(docs, fit(docs.where(remainder("doc_id", 4) != 2)))
+    held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @register("op7_packed_token_ids")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
