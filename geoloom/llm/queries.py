@@ -36,6 +36,40 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
+URL_RULES = (("org", "/", True), ("example.org", "/es/", False), ("example.org", "/en/1", False), ("com", "/fr/", True), ("com", "/de/", False))
+
+_RULED = """
+WITH RECURSIVE rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+parts AS (
+  SELECT row_number() OVER () AS n, page_id, coalesce(html, '') AS html,
+    lower(coalesce(regexp_extract(url, '(?s)^(.*?)://', 1), '')) AS scheme,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^[^#]*?(\\?[^#]*)', 1), '') AS query
+  FROM pages),
+own AS (
+  SELECT n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY n),
+addresses AS (
+  SELECT n, html, scheme || '://' || host || CASE path WHEN '' THEN '/' ELSE path END || query AS address FROM parts WHERE scheme <> '' OR host <> ''),
+linked AS (
+  SELECT address AS a, regexp_extract(html, '(?is)<link\\b[^>]*\\brel="canonical"[^>]*\\bhref="([a-z]+://[^"#]*)', 1) AS b FROM addresses WHERE contains(html, 'canonical')),
+edges AS (SELECT a, b FROM linked WHERE b <> '' UNION SELECT b, a FROM linked WHERE b <> ''),
+reach(a, b) AS (SELECT a, a FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+told AS (SELECT r.a AS address, o.verdict FROM reach r JOIN addresses x ON x.address = r.b JOIN own o USING (n)),
+reached AS (SELECT address FROM told GROUP BY 1 HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow'))
+SELECT p.page_id, p.host, p.path, o.rule, coalesce(o.verdict, CASE WHEN r.address IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM parts p LEFT JOIN own o USING (n) LEFT JOIN addresses x USING (n) LEFT JOIN reached r ON r.address = x.address
+"""
+
+
+@register("op3_redirect_equivalent_urls", _RULED)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.url_filter import Rule, judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), [Rule(*r) for r in URL_RULES])
+
+
 @register("op4_mix_to_target_weights")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.mixing import mix
