@@ -19,11 +19,14 @@ table.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,10 @@ FILE_IDS = 1 << 25
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 # Units kept with their ids by a worker, and the longest that is kept.
-CACHE_UNITS, CACHE_CHARS = 400_000, 48
+CACHE_UNITS, CACHE_CHARS = 600_000, 48
+LATIN = 0x250  # words of lower characters are letters to any version of Unicode
+# ASCII signs that follow a word without being part of a contraction.
+CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MANIFEST = "part int, sub int, path string, n_docs long, n_ids long"
 
 
@@ -166,19 +172,28 @@ class Reader:
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
-    A byte-level tokenizer with this splitting never joins what stands on both
-    sides of a single space between two other characters, so a text is cut
-    there and the ids of frequent units are kept. A text that holds an added
-    token's string is encoded in one piece.
+    A byte-level tokenizer with the usual splitting never joins what stands on
+    both sides of a single space between two other characters, so a text is cut
+    there and the ids of frequent units are kept. A new unit is cut further, at
+    single line ends and before closing signs, and a bare word goes to the
+    tokenizer's model. Whatever has another shape, a text with an added token's
+    string and any other kind of tokenizer go through ``encode`` in one piece.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        how = json.loads(self.tokenizer.to_str())
+        split = how.get("pre_tokenizer") or {}
+        self.splits = (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True) and not how.get("normalizer") and not how.get("post_processor") and how["model"]["type"] == "BPE"
+        # the character that stands for each byte, as the splitter itself shows it
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {b: x for c in range(LATIN) for b, x in zip(chr(c).encode(), shown.pre_tokenize_str(chr(c))[0][0])}
+        self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
 
     @staticmethod
@@ -186,6 +201,8 @@ class Encoder:
         parts = text.split(" ")
         if len(parts) == 1:
             return [text]
+        if len(text.split()) == len(parts) + text.count("\n"):  # white space comes singly and inside
+            return [parts[0], *[f" {p}" for p in parts[1:]]]
         out, glue = [parts[0]], not parts[0] or parts[0][-1].isspace()
         for p in parts[1:]:
             if glue or not p or p[0].isspace():
@@ -196,24 +213,49 @@ class Encoder:
                 glue = p[-1].isspace()
         return out
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _kept(self, unit: str) -> bytes:
+        ids = self.cache.get(unit)
+        if ids is None:
+            ids = self._new(unit)
+            if len(unit) <= CACHE_CHARS:
+                self.cache[unit] = ids
+        return ids
+
+    def _new(self, unit: str) -> bytes:
+        """Ids of a unit that isn't kept."""
+        if "\n" in unit:
+            parts = unit.split("\n")
+            inner = all(p and not p[-1].isspace() for p in parts) and not any(p[0].isspace() for p in parts[1:])
+            return self.line_end.join([self._kept(p) for p in parts]) if inner else self._whole(unit)
+        bare = unit.rstrip(CLOSING)
+        if len(bare) < len(unit) and bare and bare[-1].isalpha():
+            return self._kept(bare) + self._kept(unit[len(bare) :])
+        word = unit[1:] if unit[:1] == " " else unit
+        if word.isalpha() and max(word) < chr(LATIN):
+            shown = unit.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return self._whole(unit)
+
+    @cached_property
+    def line_end(self) -> bytes:
+        return self._whole("\n")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        cut = [[t] if any(a in t for a in self.added) else self.units(t) for t in texts]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        new = list({u for units in cut for u in units if u not in self.cache})
-        own: dict[str, bytes] = {}
-        for at in range(0, len(new), 2048):
-            part = new[at : at + 2048]
-            for u, ids in zip(part, self._ids(part)):
-                (self.cache if len(u) <= CACHE_CHARS else own)[u] = ids
-        end = np.array([END_ID], "<u4").tobytes()
-        get = self.cache.get
-        return [np.frombuffer(b"".join([get(u) or own.get(u, b"") for u in units] + [end]), "<u4") for units in cut]
+        end, get, kept = array("I", [END_ID]).tobytes(), self.cache.get, self._kept
+        out = []
+        for t in texts:
+            if not self.splits or any(a in t for a in self.added):
+                ids = [self._whole(t)]
+            else:
+                ids = [get(u) or kept(u) for u in self.units(t)]
+            if len(self.cache) > CACHE_UNITS:
+                self.cache.clear()
+            out.append(np.frombuffer(b"".join([*ids, end]), "<u4"))
+        return out
 
 
 _ENCODERS = "geoloom_llm_encoders"
