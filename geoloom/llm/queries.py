@@ -77,6 +77,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@register("op5_exact_top_k", """
+WITH whole AS (
+  SELECT row_number() OVER () AS n, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.n <> c.n WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.topk_search import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @register("op6_language_by_partial_matching")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.llm.language import fit, predict
