@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The default scalar gradient, the fallback grey and the tag palette.
+# The default scalar gradient, the palette of clusters, the colours of the default tags and the palette of others.
 DEFAULT_STOPS = [("#440154", 0.0), ("#3b528b", 0.25), ("#21918c", 0.5), ("#5ec962", 0.75), ("#fde725", 1.0)]
 CLUSTER_COLORS = ["#228b22", "#f0e68c", "#808080", "#1e90ff", "#90ee90", "#d2b48c", "#5f9ea0", "#e0f0ff"]
+TAG_COLORS = {"Forest": "#228b22", "Cropland": "#f0e68c", "Urban": "#808080", "Water": "#1e90ff", "Grassland": "#90ee90",
+              "Barren": "#d2b48c", "Wetland": "#5f9ea0", "Snow/Ice": "#f0f8ff"}
+OTHER_TAGS = ["#e11d48", "#7c3aed", "#0891b2", "#16a34a", "#ea580c", "#db2777", "#0ea5e9", "#65a30d"]
 ALPHA = 210
 
 
@@ -83,8 +86,11 @@ def tag_hash(name: Column) -> Column:
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, x: F.pmod(h * 31 + x, F.lit(4294967296)))
 
 
-def tag_color(name: Column, palette=None) -> Column:
-    """J7. A steady colour per tag."""
-    palette = palette or CLUSTER_COLORS
-    return F.get(F.array(*[F.lit(p) for p in palette]),
-                 F.pmod(tag_hash(name), F.lit(len(palette))).cast("int"))
+def tag_color(name: Column, custom: list[str] | None = None) -> Column:
+    """J7. The fixed colour of a default tag; custom tags take the other palette in turn, any other tag by its hash."""
+    palette = F.array(*[F.lit(p) for p in OTHER_TAGS])
+    known = dict(TAG_COLORS)
+    for i, tag in enumerate(custom or []):
+        known.setdefault(tag, OTHER_TAGS[i % len(OTHER_TAGS)])
+    fixed = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    return F.coalesce(fixed[name], F.get(palette, F.pmod(tag_hash(name), F.lit(len(OTHER_TAGS))).cast("int")))

@@ -78,8 +78,18 @@ def legend(t: Tables):
         published, C.rgb_to_hex(F.col("g.red"), F.col("g.green"), F.col("g.blue"))).alias("color"))
 
 
-@query("J7", "tag_color", f"""WITH t AS (SELECT p_partkey, p_name FROM part),
-h AS (SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_name, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM t)
-SELECT p_partkey, h AS hash, list_extract({C.CLUSTER_COLORS}, CAST(h % 8 AS INT) + 1) AS color FROM h""")
+# Names that are default tags, custom tags and others; the colours are written out as the labelling page has them.
+_TAGGED = "tg AS (SELECT p_partkey, CASE p_size % 12 WHEN 0 THEN 'Forest' WHEN 1 THEN 'Cropland' WHEN 2 THEN 'Urban' WHEN 3 THEN 'Water' WHEN 4 THEN 'Grassland' WHEN 5 THEN 'Barren' WHEN 6 THEN 'Wetland' WHEN 7 THEN 'Snow/Ice' WHEN 8 THEN 'Solar' WHEN 9 THEN 'Road' ELSE p_name END AS name FROM part)"
+
+
+@query("J7", "tag_color", f"""WITH {_TAGGED},
+h AS (SELECT p_partkey, name, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(name, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM tg)
+SELECT p_partkey, h AS hash, CASE name WHEN 'Forest' THEN '#228b22' WHEN 'Cropland' THEN '#f0e68c' WHEN 'Urban' THEN '#808080' WHEN 'Water' THEN '#1e90ff'
+  WHEN 'Grassland' THEN '#90ee90' WHEN 'Barren' THEN '#d2b48c' WHEN 'Wetland' THEN '#5f9ea0' WHEN 'Snow/Ice' THEN '#f0f8ff' WHEN 'Solar' THEN '#e11d48' WHEN 'Road' THEN '#7c3aed'
+  ELSE list_extract(['#e11d48', '#7c3aed', '#0891b2', '#16a34a', '#ea580c', '#db2777', '#0ea5e9', '#65a30d'], CAST(h % 8 AS INT) + 1) END AS color FROM h""")
 def tag_color(t: Tables):
-    return t.part.select("p_partkey", C.tag_hash(F.col("p_name")).alias("hash"), C.tag_color(F.col("p_name")).alias("color"))
+    size = F.col("p_size") % 12
+    tags = [*C.TAG_COLORS, "Solar", "Road"]
+    name = F.coalesce(F.get(F.array(*[F.lit(x) for x in tags]), size), F.col("p_name"))
+    return t.part.select("p_partkey", name.alias("n")).select(
+        "p_partkey", C.tag_hash(F.col("n")).alias("hash"), C.tag_color(F.col("n"), ["Solar", "Road"]).alias("color"))

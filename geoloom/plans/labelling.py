@@ -42,19 +42,37 @@ def cluster_stats(t: Tables):
         "cluster", "n", *r6("b04_mean", "b04_std", "b08_mean", "b08_std"))
 
 
-@query("F16", "spectral_class", """
+_LAND = values_sql([(1, "Forest", "#228b22"), (2, "Cropland", "#f0e68c"), (3, "Grassland", "#90ee90"), (4, "Urban", "#808080"),
+                    (5, "Water", "#1e90ff"), (6, "Barren", "#d2b48c"), (7, "Wetland", "#5f9ea0"), (8, "Snow/Ice", "#e0f0ff")]) + " AS ld(class_id, class_name, color)"
+
+
+@query("F16", "spectral_class", f"""
 WITH a AS (SELECT CAST(scene_id % 7 AS INT) AS raster_id, scene_id, CAST(month(month) AS INT) AS mo, avg(b04) AS b04, avg(cloud_cover) AS cc, avg(b08) AS b08
    FROM fx_px GROUP BY ALL),
 m AS (SELECT raster_id, scene_id, mo, b04 * 0.9::DOUBLE AS blue, b04 + cc * 30 AS green, b04 AS red, b08 * (0.2::DOUBLE + mo / 10.0::DOUBLE) AS nir FROM a),
-p AS (SELECT raster_id, quantile_cont((blue + green + red + nir) / 4, 0.75) AS p75 FROM m GROUP BY 1)
-SELECT raster_id, scene_id, mo, CASE WHEN (nir - red) / (nir + red + 1e-8) > 0.5 THEN 'Forest' WHEN (nir - red) / (nir + red + 1e-8) > 0.3 THEN 'Cropland'
+p AS (SELECT raster_id, quantile_cont((blue + green + red + nir) / 4, 0.75) AS p75 FROM m GROUP BY 1),
+x AS (SELECT raster_id, scene_id, mo, 4 AS bands, CASE WHEN (nir - red) / (nir + red + 1e-8) > 0.5 THEN 'Forest' WHEN (nir - red) / (nir + red + 1e-8) > 0.3 THEN 'Cropland'
   WHEN (nir - red) / (nir + red + 1e-8) > 0.15 THEN 'Grassland' WHEN nir < green * 0.8 THEN 'Water'
-  WHEN (blue + green + red + nir) / 4 > p75 THEN 'Urban' ELSE 'Barren' END AS class_name FROM m JOIN p USING (raster_id)""")
+  WHEN (blue + green + red + nir) / 4 > p75 THEN 'Urban' ELSE 'Barren' END AS class_name FROM m JOIN p USING (raster_id)
+UNION ALL SELECT raster_id, scene_id, mo, 3, CASE WHEN g > r AND g > b AND (r + g + b) / 3 > 50 THEN 'Forest' WHEN (r + g + b) / 3 < 30 THEN 'Water'
+  WHEN r > 150 AND g > 150 AND b > 150 THEN 'Urban' WHEN r > g THEN 'Barren' ELSE 'Grassland' END
+  FROM (SELECT *, blue / 15 - 60 AS r, green / 20 - mo * 15 AS g, red / 25 - 20 AS b FROM m)
+UNION ALL SELECT raster_id, scene_id, mo, 2, list_extract(['Forest', 'Cropland', 'Grassland', 'Urban', 'Water', 'Barren', 'Wetland', 'Snow/Ice'], CAST(scene_id % 8 AS INT) + 1) FROM m
+UNION ALL SELECT raster_id, scene_id, mo, 1, CASE WHEN v > 0.6 THEN 'Forest' WHEN v > 0.3 THEN 'Cropland' WHEN v > 0.1 THEN 'Grassland' WHEN v > -0.1 THEN 'Barren' ELSE 'Water' END
+  FROM (SELECT *, (nir - red) / (nir + red + 1e-8) AS v FROM m))
+SELECT raster_id, scene_id, mo, bands, class_id, class_name, color FROM x JOIN {_LAND} USING (class_name)""")
 def spectral_class(t: Tables):
     m = t.fx_px.groupBy((F.col("scene_id") % 7).cast("int").alias("raster_id"), "scene_id", F.month("month").alias("mo")).agg(
         (F.avg("b04") * 0.9).alias("blue"), (F.avg("b04") + F.avg("cloud_cover") * 30).alias("green"), F.avg("b04").alias("red"),
         F.avg("b08").alias("_n")).withColumn("nir", F.col("_n") * (0.2 + F.col("mo") / 10))
-    return L.spectral_class(m, ["raster_id"], ["blue", "green", "red", "nir"]).select("raster_id", "scene_id", "mo", "class_name")
+    index = (F.col("nir") - F.col("red")) / (F.col("nir") + F.col("red") + 1e-8)
+    m = m.withColumns({"cr": F.col("blue") / 15 - 60, "cg": F.col("green") / 20 - F.col("mo") * 15, "cb": F.col("red") / 25 - 20, "v": index})
+    out = None
+    for means in (["blue", "green", "red", "nir"], ["cr", "cg", "cb"], ["red", "nir"], ["v"]):
+        got = L.spectral_class(m, ["raster_id"], means, "scene_id").select(
+            "raster_id", "scene_id", "mo", F.lit(len(means)).alias("bands"), "class_id", "class_name", "color")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("F15", "confidence_from_distance", """
@@ -85,10 +103,36 @@ def _segments(t: Tables):
                              (F.col("r") * 10).alias("red"), F.col("scalar").alias("green"), (F.col("c") * 5).alias("blue"))
 
 
-@query("K16", "label_segments")
+def centre_faults(df, keys, points):
+    """Per group: rows, clusters, rows with a nearer centre than their own, and centres off the mean of their rows.
+
+    The centres are worked out anew, as the means of the rows of each cluster.
+    """
+    means = df.groupBy(*keys, "cluster").agg(F.array(*[F.avg(p) for p in points]).alias("m"))
+    listed = means.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "m")).alias("_ms"))
+    point = F.array(*[F.col(p) for p in points])
+
+    def gap(m):
+        return F.sqrt(F.aggregate(F.zip_with(point, m, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+
+    own = F.aggregate(F.transform("_ms", lambda x: F.when(x["cluster"] == F.col("cluster"), gap(x["m"])).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    least = F.array_min(F.transform("_ms", lambda x: gap(x["m"])))
+    return df.join(listed, list(keys)).withColumn("_own", own).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_labelled"), F.count_if(F.col("_own") > least + 0.05).alias("not_nearest"),
+        (F.count_distinct("cluster") > 1).alias("divided"))
+
+
+@query("K16", "label_segments", """WITH sg AS (SELECT raster_id, CAST(floor(r / 6.0) * 10 + floor(c / 9.0) AS INT) AS segment_id, count(*) AS n FROM fx_class GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT raster_id, count(*) AS n_labelled, CAST(0 AS BIGINT) AS not_nearest, count(*) > 1 AS divided, CAST(sum(n) * 100 AS DOUBLE) AS area_m2, true AS classes_match FROM sg GROUP BY 1""")
 def label_segments(t: Tables):
-    got = L.label_segments(_segments(t), ["red", "green", "blue"], ["Forest", "Urban", "Water"], 5, 100.0)
-    return L.class_summary(got)
+    from geoloom.operators.clusters import standardised
+
+    classes, bands = ["Forest", "Urban", "Water"], ["red", "green", "blue"]
+    got = L.label_segments(_segments(t), bands, classes, 5, 100.0)
+    scaled = standardised(got, ["raster_id"], bands, ["s0", "s1", "s2"])
+    match = F.bool_and(F.col("class_name") == F.get(F.array(*[F.lit(c) for c in classes]), F.col("cluster") % 3)).alias("classes_match")
+    return centre_faults(scaled, ["raster_id"], ["s0", "s1", "s2"]).join(
+        got.groupBy("raster_id").agg(F.sum("area_m2").alias("area_m2"), match), "raster_id")
 
 
 @query("D27", "tag_counts", "SELECT coalesce(nullif(class_name, 'BUILDING'), '(untagged)') AS tag, count(*) AS n FROM fx_point GROUP BY 1")
@@ -119,18 +163,40 @@ def _band_raster(t: Tables):
         (F.avg("b04") * 0.9).alias("b02"), F.avg("b04").alias("b03"), (F.avg("b04") * 1.1).alias("b04"), F.avg("b08").alias("b08"))
 
 
-@query("K9", "label_raster_kmeans")
+@query("K9", "label_raster_kmeans", """WITH p AS (SELECT CAST(scene_id % 3 AS INT) AS raster_id, r, c, avg(b04) AS a, avg(b08) AS b FROM fx_px GROUP BY ALL),
+v AS (SELECT raster_id, count(*) AS n FROM p WHERE NOT (a = 0 AND b = 0) GROUP BY 1)
+SELECT raster_id, n AS n_valid, 'ok' AS status, 4 AS n_classes, n AS n_labelled, CAST(0 AS BIGINT) AS not_nearest, true AS divided, true AS in_range, true AS known_classes FROM v""")
 def label_raster_kmeans(t: Tables):
+    from geoloom.operators.clusters import standardised
     from geoloom.session import cut_lineage
 
-    px = cut_lineage(L.label_raster_kmeans(_band_raster(t), ["b02", "b03", "b04", "b08"], 4))
-    regions = V.connected_regions(px.withColumnRenamed("cluster", "class_id"), block=32)
-    return L.class_summary(L.segment_features(px, regions, 10.0, 5))
+    bands = ["b02", "b03", "b04", "b08"]
+    got, status = L.label_raster_kmeans(_band_raster(t), bands, 4)
+    got = cut_lineage(got)
+    scaled = standardised(got.select("raster_id", "r", "c", "cluster", "_x", "_y", *bands), ["raster_id"], bands, ["s0", "s1", "s2", "s3"])
+    faults = centre_faults(scaled, ["raster_id"], ["s0", "s1", "s2", "s3", "_x", "_y"])
+    facts = got.groupBy("raster_id").agg(
+        (F.min("confidence").between(0.1, 1) & F.max("confidence").between(0.9, 1)).alias("in_range"),
+        F.bool_and(F.concat_ws("|", "class_id", "class_name", "color").isin(*[f"{a}|{b}|{c}" for a, b, c in L.SPECTRAL])).alias("known_classes"))
+    return status.join(faults, "raster_id").join(facts, "raster_id")
 
 
-@query("K10", "label_vector_kmeans")
+@query("K10", "label_vector_kmeans", """SELECT count(*) AS n_labelled, CAST(0 AS BIGINT) AS not_nearest, true AS divided, count(*) AS n_named, true AS review_matches
+FROM fx_point""")
 def label_vector_kmeans(t: Tables):
-    return L.label_vector_kmeans(t.fx_point, "pid", 6)
+    from geoloom.operators.clusters import standardised
+
+    points = t.fx_point
+    got = L.label_vector_kmeans(points, "pid", 6)
+    cluster = F.regexp_extract("auto_class", "^Cluster ([1-6])$", 1)
+    both = points.select("pid", "lon", "lat", F.col("confidence").alias("x")).join(
+        got.select("pid", "auto_class", "auto_color", "confidence", "needs_review", (cluster.cast("int") - 1).alias("cluster")), "pid").withColumn("_all", F.lit(0))
+    scaled = standardised(both, ["_all"], ["lon", "lat", "x"], ["s0", "s1", "s2"])
+    facts = both.groupBy("_all").agg(
+        F.count_if(F.col("auto_color") == F.get(F.array(*[F.lit(c) for c in L.CLUSTER_COLORS]), F.col("cluster"))).alias("n_named"),
+        # the flag is set before the confidence is rounded
+        F.bool_and((F.col("needs_review") == (F.col("confidence") < 0.6)) | (F.abs(F.col("confidence") - 0.6) < 0.001)).alias("review_matches"))
+    return centre_faults(scaled, ["_all"], ["s0", "s1", "s2"]).join(facts, "_all").drop("_all")
 
 
 @query("K11", "label_by_category", f"""WITH v AS (SELECT class_name, dense_rank() OVER (ORDER BY class_name) - 1 AS i FROM (SELECT DISTINCT class_name FROM fx_point))

@@ -237,8 +237,15 @@ def test_segment_confidence_is_per_segment_and_per_class(spark):
 
 
 def test_too_few_pixels_give_nothing(spark):
-    px = spark.createDataFrame([(1, 0, c, 1.0 + c) for c in range(9)], "raster_id int, r int, c int, a double")
-    assert labels.label_raster_kmeans(px, ["a"], 6).count() == 0
+    """A raster with too few has a status and no pixels, and takes nothing from another one."""
+    small = [(1, 0, c, 1.0 + c) for c in range(9)]
+    large = [(2, r, c, 100.0 * (c // 4) + r + 1) for r in range(10) for c in range(12)]
+    kind = "raster_id int, r int, c int, a double"
+    both, status = labels.label_raster_kmeans(spark.createDataFrame(small + large, kind), ["a"], 3)
+    alone, _ = labels.label_raster_kmeans(spark.createDataFrame(large, kind), ["a"], 3)
+    assert {(r.raster_id, r.status, r.n_classes) for r in status.collect()} == {(1, "too_few", 0), (2, "ok", 3)}
+    key = lambda df: sorted((r.raster_id, r.r, r.c, r.cluster, r.class_id, r.color, round(r.confidence, 9)) for r in df.collect())
+    assert key(both) == key(alone) and len(key(alone)) == 120
 
 
 def test_category_labels(spark):
