@@ -57,15 +57,9 @@ def pool_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy(KEY, "r", "c").agg(V.mean_vector(F.col("embedding")).alias("embedding"))
 
 
-def _gathered(protos: DataFrame, max_classes: int = 1024) -> DataFrame:
-    """The prototypes of a raster as one array; more classes than the limit is an error."""
-    # one more than the limit is enough to see that there are too many
-    some = first_per(protos.select(KEY, "class_id", "prototype"), [KEY], [F.asc("class_id")], max_classes + 1)
-    n = some.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(
-        F.struct("class_id", "prototype")).alias("_p"))
-    checked = F.when(F.col("_n") <= max_classes, F.array_sort("_p")).otherwise(
-        F.raise_error(F.lit(f"more than {max_classes} classes")))
-    return n.select(KEY, checked.alias("_p"))
+def _gathered(protos: DataFrame) -> DataFrame:
+    """The prototypes of a raster as one array in order of class; as long as the raster's legend, as are the scores of a patch."""
+    return protos.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("class_id", "prototype"))).alias("_p"))
 
 
 def score_prototypes(emb: DataFrame, protos: DataFrame) -> DataFrame:
@@ -97,23 +91,88 @@ def few_shot(emb: DataFrame, protos: DataFrame, min_similarity: float | None = N
                     F.when(gone, 0.0).otherwise((best + 1) / 2).alias("confidence"))
 
 
-def few_shot_logistic(emb: DataFrame, matched: DataFrame, seed: int = 7):
-    """K6. Standardise, fit a logistic regression on the labelled patches, predict all."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-
-    def vec(df: DataFrame) -> DataFrame:
-        return df.withColumn("features", array_to_vector(V.doubles(F.col("embedding"))))
-
-    steps = Pipeline(stages=[
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=50, regParam=0.01)])
-    model = steps.fit(vec(matched.withColumn("label", F.col("class_id").cast("double"))))
-    got = model.transform(vec(emb.drop("label")))
-    return got.select(KEY, "r", "c", F.when(V.is_nodata(F.col("embedding")), -1)
-                      .otherwise(F.col("prediction").cast("int")).alias("class_id"))
+def _logistic(x: np.ndarray, y: np.ndarray, k: int, reg: float, rounds: int = 500, enough: float = 1e-6) -> np.ndarray:
+    """Weights ``k x (d + 1)`` of least mean log loss plus ``reg / 2`` times the squared slopes, by limited-memory BFGS."""
+    a = np.column_stack((x, np.ones(len(x))))
+    want = np.eye(k)[y]
+    damp = np.full((k, a.shape[1]), reg)
+    damp[:, -1] = 0
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = a @ w.reshape(k, -1).T
+        z -= z.max(1, keepdims=True)
+        e = np.exp(z)
+        p = e / e.sum(1, keepdims=True)
+        m = w.reshape(k, -1)
+        value = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).mean() + (damp * m * m).sum() / 2
+        return value, ((p - want).T @ a / len(a) + damp * m).ravel()
+
+    w = np.zeros(k * a.shape[1])
+    value, g = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < enough:
+            break
+        q, alphas = g.copy(), []
+        for s, d, rho in reversed(steps):
+            alphas.append(rho * (s @ q))
+            q -= alphas[-1] * d
+        if steps:
+            s, d, _ = steps[-1]
+            q *= (s @ d) / (d @ d)
+        for (s, d, rho), alpha in zip(steps, reversed(alphas)):
+            q += s * (alpha - rho * (d @ q))
+        t = 1.0
+        while True:
+            new = w - t * q
+            v, h = loss(new)
+            if v <= value - 1e-4 * t * (g @ q) or t < 1e-10:
+                break
+            t /= 2
+        s, d = new - w, h - g
+        if s @ d > 1e-14:
+            steps = [*steps[-9:], (s, d, 1 / (s @ d))]
+        w, value, g = new, v, h
+    return w.reshape(k, -1)
+
+
+def logistic_models(matched: DataFrame, reg: float = 0.01) -> DataFrame:
+    """K6. ``raster_id class_ids weights`` of each raster with labelled patches of two classes or more.
+
+    A model is fitted to the labelled patches of one raster, which people have
+    set by hand, and to nothing else. The scaling is folded into the weights,
+    so they apply to the vectors as they are; the last weight is the intercept.
+    """
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["class_id", "r", "c"])
+        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        classes, y = np.unique(pdf["class_id"].to_numpy(), return_inverse=True)
+        if len(classes) < 2:
+            return pd.DataFrame({KEY: [], "class_ids": [], "weights": []})
+        mean, dev = x.mean(0), x.std(0)
+        dev[dev == 0] = 1
+        w = _logistic((x - mean) / dev, y, len(classes), reg)
+        w[:, :-1] /= dev
+        w[:, -1] -= w[:, :-1] @ mean
+        return pd.DataFrame({KEY: pdf[KEY].iloc[:1], "class_ids": [classes.tolist()], "weights": [[r.tolist() for r in w]]})
+
+    return (matched.select(KEY, "r", "c", F.col("class_id").cast("int").alias("class_id"), "embedding").groupBy(KEY)
+            .applyInPandas(fit, f"{KEY} int, class_ids array<int>, weights array<array<double>>"))
+
+
+def logistic_probs(emb: DataFrame, models: DataFrame) -> DataFrame:
+    """Patches with ``class_ids`` and ``probs`` of their raster's model, in the JVM."""
+    vector = V.doubles(F.col("embedding"))
+    met = emb.join(models, KEY).withColumn("_e", F.concat(vector, F.array(F.lit(1.0))))
+    logits = F.transform("weights", lambda w: F.aggregate(F.zip_with(w, F.col("_e"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    return met.withColumn("_z", logits).withColumn("probs", V.softmax(F.col("_z"), 1.0)).drop("_z", "_e", "weights")
+
+
+def few_shot_logistic(emb: DataFrame, matched: DataFrame, reg: float = 0.01) -> DataFrame:
+    """K6. Class of every patch by its own raster's logistic model; nodata patches get -1."""
+    got = logistic_probs(emb, logistic_models(matched, reg))
+    best = F.get("class_ids", V.argmax(F.col("probs")))
+    return got.select(KEY, "r", "c", F.when(V.is_nodata(F.col("embedding")), -1).otherwise(best).alias("class_id"))
 
 
 def embedding_query(emb: DataFrame, geo: DataFrame, lon: Column | None = None, lat: Column | None = None,

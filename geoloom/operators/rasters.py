@@ -187,9 +187,9 @@ def scalar_stats(px: DataFrame, value: str, value_range: tuple[float, float] | N
         for x in ("mean", "min", "max", "p10", "p50", "p90")])
 
 
-def month_spine(aois: DataFrame, anchor: Column, months: int, max_months: int = 24) -> DataFrame:
+def month_spine(aois: DataFrame, anchor: Column, months: int) -> DataFrame:
     """The last whole months before the anchor's month, one row per area and month."""
-    n = max(1, min(max_months, months))
+    n = max(1, months)
     first = F.trunc(anchor, "month")
     return aois.withColumn("month", F.explode(
         F.sequence(F.add_months(first, -n), F.add_months(first, -1), F.expr("interval 1 month"))))
@@ -225,13 +225,13 @@ def _series(px: DataFrame, scenes: DataFrame, spine: DataFrame, max_cloud: float
 
 
 def ndvi_timeseries(px: DataFrame, scenes: DataFrame, aois: DataFrame, anchor: Column,
-                    months: int = 12, max_cloud: float = 40.0, max_months: int = 24) -> DataFrame:
+                    months: int = 12, max_cloud: float = 40.0) -> DataFrame:
     """D4. Vegetation statistics of the least cloudy scene per area and month.
 
     Every month of the spine comes back, with a status instead of numbers
     where there is no scene, too much cloud or no valid pixel.
     """
-    spine = month_spine(aois, anchor, months, max_months)
+    spine = month_spine(aois, anchor, months)
     return _series(px, scenes, spine, max_cloud, F.lit(True), "empty")
 
 
@@ -253,11 +253,10 @@ def mask_by_class(px: DataFrame, class_px: DataFrame, keep: Sequence[int], heigh
 
 
 def ndvi_masked(px: DataFrame, class_px: DataFrame, scenes: DataFrame, aois: DataFrame, anchor: Column,
-                keep: Sequence[int], grid: tuple[int, int], months: int = 12, max_cloud: float = 40.0,
-                max_months: int = 24) -> DataFrame:
+                keep: Sequence[int], grid: tuple[int, int], months: int = 12, max_cloud: float = 40.0) -> DataFrame:
     """D5. D4 over the pixels of chosen classes of the area's class raster."""
     masked = mask_by_class(px.withColumn(KEY, F.col("aoi_id")), class_px, keep, *grid).drop(KEY)
-    spine = month_spine(aois, anchor, months, max_months)
+    spine = month_spine(aois, anchor, months)
     return _series(masked, scenes, spine, max_cloud, F.col("in_class"), "no_class_pixels", totals=True)
 
 
@@ -271,10 +270,10 @@ def timeseries_summary(ts: DataFrame) -> DataFrame:
             .withColumn("status", F.when(F.col("months_with_data") > 0, "ok").otherwise("empty")))
 
 
-def present_classes(px: DataFrame, limit: int = 256) -> DataFrame:
-    """D16. Sorted distinct valid ids per raster, the first ``limit``."""
+def present_classes(px: DataFrame, limit: int | None = None) -> DataFrame:
+    """D16. Sorted distinct valid ids per raster; the first ``limit`` where one is given."""
     ids = px.where(F.col("class_id") >= 0).select(KEY, "class_id").distinct()
-    return (first_per(ids, [KEY], [F.asc("class_id")], limit)
+    return ((ids if limit is None else first_per(ids, [KEY], [F.asc("class_id")], limit))
             .groupBy(KEY).agg(F.array_sort(F.collect_list("class_id")).alias("class_ids")))
 
 

@@ -14,9 +14,10 @@ BOX = ("west", "south", "east", "north")
 
 
 def search_scenes(scenes: DataFrame, bbox: tuple, start, end, collections: Sequence[str],
-                  max_cloud: float | None = 20.0, limit: int = 10, max_limit: int = 100) -> DataFrame:
+                  max_cloud: float | None = 20.0, limit: int = 10, max_limit: int | None = None) -> DataFrame:
     """B1. Scenes that touch a box in a date range, newest first.
 
+    ``max_limit`` is for a service that wants to bound what its callers ask for.
     All tests are on flat columns, so they reach the parquet scan. The number
     of matches is counted on its own, not by a window over all of them.
     """
@@ -24,7 +25,7 @@ def search_scenes(scenes: DataFrame, bbox: tuple, start, end, collections: Seque
         bbox_intersects(BOX, bbox) & F.col("dt").between(start, end) & F.col("collection").isin(list(collections)))
     if max_cloud is not None:
         hits = hits.where(F.col("cloud_cover") < max_cloud)
-    n = max(1, min(limit, max_limit))
+    n = max(1, limit if max_limit is None else min(limit, max_limit))
     matched = hits.agg(F.count(F.lit(1)).alias("matched"))
     page = hits.orderBy(F.desc("dt"), F.asc("scene_id")).limit(n)
     return page.withColumn("matched", matched.scalar())

@@ -163,7 +163,7 @@ FROM base LEFT JOIN st USING (aoi_id, month))
 
 def _timeseries(t: Tables):
     px, scenes, aois = _series_inputs(t, 10)
-    return R.ndvi_timeseries(px, scenes, aois, F.lit("2002-01-01").cast("date"), 96, 10.0, max_months=96)
+    return R.ndvi_timeseries(px, scenes, aois, F.lit("2002-01-01").cast("date"), 96, 10.0)
 
 
 @query("D4", "ndvi_timeseries", _D4 + "SELECT * FROM ts")
@@ -192,7 +192,7 @@ FROM base LEFT JOIN st USING (aoi_id, month) LEFT JOIN tot USING (aoi_id, month)
 def ndvi_masked(t: Tables):
     px, scenes, aois = _series_inputs(t, 2)
     return R.ndvi_masked(px, t.fx_class, scenes, aois, F.lit("2002-01-01").cast("date"), [0, 2], (64, 64),
-                         96, 3.0, max_months=96).select(
+                         96, 3.0).select(
         "aoi_id", "month", "scene_id", "cloud_cover", "n_pixels", "total_pixels", "status",
         *r6("ndvi_mean", "ndvi_median", "ndvi_p10", "ndvi_p90"))
 

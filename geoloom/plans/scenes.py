@@ -23,7 +23,7 @@ ALIASES = [("blue", "B02"), ("green", "B03"), ("red", "B04"), ("nir", "B08"), ("
 @query("B1", "search_scenes", """
 SELECT *, count(*) OVER () AS matched FROM fx_scene
 WHERE west <= 60 AND east >= -60 AND south <= 50 AND north >= -50 AND dt BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'
-  AND collection IN ('sentinel-2-l2a') AND cloud_cover < 20 ORDER BY dt DESC, scene_id LIMIT 100""")
+  AND collection IN ('sentinel-2-l2a') AND cloud_cover < 20 ORDER BY dt DESC, scene_id LIMIT 500""")
 def search_scenes(t: Tables):
     return S.search_scenes(t.fx_scene, (-60.0, -50.0, 60.0, 50.0), F.lit("1996-01-01").cast("date"),
                            F.lit("1999-12-31").cast("date"), ["sentinel-2-l2a"], 20.0, 500)

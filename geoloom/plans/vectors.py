@@ -45,7 +45,7 @@ def l2_normalize(t: Tables):
     return elements(t.fx_grid.withColumn("u", V.l2_normalize(F.col("embedding"))), "u", "vec_id")
 
 
-_LABELS = "lb AS (SELECT raster_id, label % 3 AS class_id, r, c, vec_id, nodata, e FROM g WHERE label < 6)"
+_LABELS = "lb AS (SELECT raster_id, label % 3 AS class_id, r, c, vec_id, nodata, e FROM g)"
 _USED = "us AS (SELECT * FROM lb WHERE NOT nodata)"
 _PROTO = f"pr AS {mean_sql('us', 'raster_id, class_id', 'p')}"
 
@@ -56,8 +56,8 @@ def geo(t: Tables):
 
 
 def labels(t: Tables):
-    """A labelled point near the middle of each patch of six labels; the rest of the world is outside."""
-    return t.fx_grid.where("label < 6").select(
+    """A labelled point near the middle of each patch."""
+    return t.fx_grid.select(
         "raster_id", (F.col("label") % 3).alias("class_id"), "vec_id",
         (F.col("raster_id") + F.col("c") * 0.01 + 0.003).alias("lon"), (50 - F.col("r") * 0.02 - 0.006).alias("lat"))
 
@@ -115,9 +115,21 @@ def few_shot(t: Tables):
     return M.few_shot(patches(t), _protos(t)).select("raster_id", "r", "c", "class_id", *r6("confidence"))
 
 
-@query("K6", "few_shot_logistic")
+@query("K6", "few_shot_logistic", f"""WITH {_G}, {_LABELS}, {_USED}, n AS (SELECT raster_id, class_id, count(*) AS n_points FROM us GROUP BY ALL),
+p AS (SELECT raster_id, count(*) AS n_patches, count(*) FILTER (WHERE nodata) AS n_nodata FROM g GROUP BY 1)
+SELECT raster_id, class_id, n_points, CAST(n_points AS DOUBLE) AS expected, n_patches, n_nodata, true AS better_than_chance FROM n JOIN p USING (raster_id)""")
 def few_shot_logistic(t: Tables):
-    return M.few_shot_logistic(patches(t), _matched(t))
+    """Where the loss is least, the probabilities of a class over the labelled patches add up to its number of points."""
+    matched = _matched(t)
+    probs = M.logistic_probs(matched, M.logistic_models(matched))
+    z = F.explode(F.arrays_zip(F.col("class_ids").alias("k"), F.col("probs").alias("p"))).alias("z")
+    sums = (probs.select("raster_id", "class_id", z).groupBy("raster_id", F.col("z.k").alias("class_id")).agg(
+                F.count_if(F.col("class_id") == F.col("z.k")).alias("n_points"), F.round(F.sum("z.p"), 1).alias("expected")))
+    said = M.few_shot_logistic(patches(t), matched)
+    right = said.join(matched.select("raster_id", "r", "c", F.col("class_id").alias("own")), ["raster_id", "r", "c"], "left")
+    per = right.groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_patches"), F.count_if(F.col("class_id") == -1).alias("n_nodata"),
+                                         (F.count_if(F.col("own") == F.col("class_id")) / F.count("own") > 0.4).alias("better_than_chance"))
+    return sums.join(per, "raster_id")
 
 
 _CENTRE = """ctr AS (SELECT raster_id, CAST(round_even((max(r) + 1) / 2.0, 0) AS INT) AS r0, CAST(round_even((max(c) + 1) / 2.0, 0) AS INT) AS c0 FROM g GROUP BY 1),
