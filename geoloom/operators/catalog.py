@@ -147,34 +147,41 @@ def first_match(task: Column, keywords: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(t.contains(k), F.lit(m)) for k, m in keywords])
 
 
+def _substrings(text: Column, most: Column) -> Column:
+    """The different parts of a text of up to ``most`` characters."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(text) - i + 1, most))), lambda n: F.substr(text, i, n)))))
+
+
 def recommend_model(tasks: DataFrame, catalog: DataFrame, aliases: Sequence[tuple[str, str]],
-                    size_preference: str = "medium", fallback: str = "base", max_models: int = 10_000) -> DataFrame:
+                    size_preference: str = "medium", fallback: str = "base") -> DataFrame:
     """G8. A model per task: matching head, alias, encoder of the size, any encoder, fallback.
 
-    ``catalog``: ``repo_id type task_key task size_tier pos``. It is a list of
-    models, counted before it is put into the plan as one array.
+    ``catalog``: ``repo_id type task_key task size_tier pos``. A head matches if
+    its key is in the task, or the task in its key or name; texts inside texts
+    are found by equi-joins on their parts, for each different task once, so
+    neither side is held whole. Of the aliases in the task the first whose
+    model is in the catalog counts.
     """
-    entry = F.struct("pos", "repo_id", "type", "task_key", "task", "size_tier")
-    models = catalog.agg(F.when(F.count(F.lit(1)) <= max_models, F.array_sort(F.collect_list(entry))).otherwise(
-        F.raise_error(F.lit("model catalog too long"))).alias("m")).scalar()
-    t = F.col("_t")
-
-    def pick(cond) -> Column:
-        return F.get(F.filter("_m", cond), F.lit(0))["repo_id"]
-
-    def head(m: Column) -> Column:
-        key = F.lower(F.coalesce(m["task_key"], F.lit("")))
-        human = F.lower(F.coalesce(m["task"], F.lit("")))
-        return (m["type"] == "fine-tuned") & (key != "") & (
-            F.contains(t, key) | F.contains(key, t) | F.contains(human, t))
-
-    alias = first_match(F.col("task"), aliases)
-    out = (tasks.withColumn("_m", models).withColumn("_t", F.lower(F.trim(F.coalesce("task", F.lit("")))))
-           .withColumn("_alias", alias)
-           .withColumn("_head", F.when(t != "", pick(head)))
-           .withColumn("_known", F.when(t != "", pick(lambda m: m["repo_id"] == F.col("_alias"))))
-           .withColumn("_size", pick(lambda m: (m["type"] == "encoder") & (m["size_tier"] == size_preference)))
-           .withColumn("_any", pick(lambda m: m["type"] == "encoder")))
+    task = F.lower(F.trim(F.coalesce("task", F.lit(""))))
+    each = tasks.select(task.alias("_t")).where("_t <> ''").distinct()
+    heads = catalog.where("type = 'fine-tuned'").select(
+        "pos", "repo_id", F.lower("task_key").alias("_key"), F.lower(F.coalesce("task", F.lit(""))).alias("_human")).where("_key <> ''")
+    longest_key = heads.agg(F.coalesce(F.max(F.length("_key")), F.lit(1)).alias("n")).scalar()
+    longest_task = each.agg(F.coalesce(F.max(F.length("_t")), F.lit(1)).alias("n")).scalar()
+    inside = each.withColumn("_m", longest_key).select("_t", F.explode(_substrings(F.col("_t"), F.col("_m"))).alias("_key")).join(heads.select("pos", "repo_id", "_key"), "_key")
+    around = (heads.withColumn("_m", longest_task)
+              .withColumn("_t", F.explode(F.array_union(_substrings(F.col("_key"), F.col("_m")), _substrings(F.col("_human"), F.col("_m")))))
+              .join(each, "_t"))
+    found = inside.select("_t", "pos", "repo_id").unionByName(around.select("_t", "pos", "repo_id"))
+    head = found.groupBy("_t").agg(F.min_by("repo_id", F.struct("pos", "repo_id")).alias("_head"))
+    hits = F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(k)), F.struct(F.lit(i).alias("i"), F.lit(m).alias("repo_id"))) for i, (k, m) in enumerate(aliases)]))
+    known = (each.select("_t", F.explode(hits).alias("_a")).select("_t", "_a.*").join(catalog.select("repo_id").distinct(), "repo_id", "left_semi")
+             .groupBy("_t").agg(F.min_by("repo_id", "i").alias("_known")))
+    encoders = catalog.where("type = 'encoder'")
+    sized = encoders.where(F.col("size_tier") == size_preference).agg(F.min_by("repo_id", "pos").alias("m")).scalar()
+    out = (tasks.withColumn("_t", task).join(head, "_t", "left").join(known, "_t", "left")
+           .withColumn("_size", sized).withColumn("_any", encoders.agg(F.min_by("repo_id", "pos").alias("m")).scalar()))
     return out.select(
         *tasks.columns, F.coalesce("_head", "_known", "_size", "_any", F.lit(fallback)).alias("repo_id"),
         F.when(F.col("_head").isNotNull(), "task").when(F.col("_known").isNotNull(), "alias")

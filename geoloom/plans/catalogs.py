@@ -85,10 +85,21 @@ def read_geoparquet(t: Tables):
 
 
 @query("A8", "vector_profile", """SELECT 'Polygon' AS geometry_type, count(DISTINCT poly_id) AS feature_count, round(min(lon), 6) AS west, round(min(lat), 6) AS south,
-  round(max(lon), 6) AS east, round(max(lat), 6) AS north, 'poly_id,vtx,lon,lat' AS columns, min(poly_id) AS sample_id FROM fx_ring""")
+  round(max(lon), 6) AS east, round(max(lat), 6) AS north, 'poly_id,vtx,lon,lat' AS columns, min(poly_id) AS sample_id FROM fx_ring
+UNION ALL SELECT 'LineString', count(DISTINCT poly_id), round(min(lon), 6), round(min(lat), 6), round(max(lon), 6), round(max(lat), 6), 'poly_id,vtx,lon,lat', min(poly_id) FROM fx_ring WHERE vtx < 5
+UNION ALL SELECT 'Point', count(*), round(min(lon), 6), round(min(lat), 6), round(max(lon), 6), round(max(lat), 6), 'poly_id,vtx,lon,lat', min(pid) FROM fx_point
+UNION ALL SELECT 'Mixed', (SELECT count(DISTINCT poly_id) FROM fx_ring), round(min(lon), 6), round(min(lat), 6), round(max(lon), 6), round(max(lat), 6), 'poly_id,vtx,lon,lat', min(poly_id)
+  FROM fx_ring WHERE NOT (vtx > 0 AND poly_id % 2 = 0)""")
 def vector_profile(t: Tables):
-    return S.vector_profile(t.fx_ring, "poly_id").select("geometry_type", "feature_count", *r6("west", "south", "east", "north"),
-                                                         "columns", F.col("sample.poly_id").alias("sample_id"))
+    ring = t.fx_ring
+    point = t.fx_point.select(F.col("pid").alias("poly_id"), F.lit(0).alias("vtx"), "lon", "lat")
+    shapes = (ring, ring.where("vtx < 5"), point, ring.where("NOT (vtx > 0 AND poly_id % 2 = 0)"))
+    out = None
+    for s in shapes:
+        got = S.vector_profile(s, "poly_id").select("geometry_type", "feature_count", *r6("west", "south", "east", "north"),
+                                                    "columns", F.col("sample.poly_id").alias("sample_id"))
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @query("A9", "array_profile", """SELECT event_type AS variable, count(*) AS n_values, CAST(min(ts) AS DATE) AS first_time, CAST(max(ts) AS DATE) AS last_time,
@@ -284,9 +295,9 @@ def first_match(t: Tables):
 def _catalog(t: Tables):
     """A head per second word of the part names, in order, and two encoders; the words of some are aliases only."""
     word = F.element_at(F.split("p_name", " "), 2)
-    heads = (t.part.select(word.alias("w")).distinct().where("w > 'k'")
-             .select(F.concat(F.lit("1"), "w").alias("pos"), F.concat(F.lit("m-"), "w").alias("repo_id"), F.lit("fine-tuned").alias("type"),
-                     F.col("w").alias("task_key"), F.concat("w", F.lit(" mapping")).alias("task"), F.lit(None).cast("string").alias("size_tier")))
+    heads = t.part.select(word.alias("w")).distinct().select(
+        F.concat(F.lit("1"), "w").alias("pos"), F.concat(F.lit("m-"), "w").alias("repo_id"), F.when(F.col("w") > "k", "fine-tuned").otherwise("legacy").alias("type"),
+        F.col("w").alias("task_key"), F.concat("w", F.lit(" mapping")).alias("task"), F.lit(None).cast("string").alias("size_tier"))
     rest = t.values("pos, repo_id, type, task_key, task, size_tier", [
         ("2a", "m-tiny", "encoder", "", "", "small"), ("2b", "m-base", "encoder", "", "", "medium"), ("0", "m-blue", "legacy", "", "", "")])
     return heads.unionByName(rest)
@@ -297,11 +308,13 @@ def _models(t: Tables):
                              _catalog(t), _KEYWORDS)
 
 
-_MODELS = f"""wd AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS w FROM part WHERE string_split(p_name, ' ')[2] > 'k'),
+_MODELS = f"""wa AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS w FROM part), wd AS (SELECT w FROM wa WHERE w > 'k'),
 tk AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN lower(concat(p_name, ' ', p_type)) END AS task FROM part),
 hd AS (SELECT p_partkey, min(w) AS w FROM tk JOIN wd ON contains(task, w) OR contains(w, task) OR contains(concat(w, ' mapping'), task) GROUP BY 1),
-md AS (SELECT tk.p_partkey, CASE WHEN w IS NOT NULL THEN concat('m-', w) WHEN {_FIRST} = 'm-blue' OR {_FIRST} IN (SELECT concat('m-', w) FROM wd) THEN {_FIRST} ELSE 'm-base' END AS repo_id,
-  CASE WHEN w IS NOT NULL THEN 'task' WHEN {_FIRST} = 'm-blue' OR {_FIRST} IN (SELECT concat('m-', w) FROM wd) THEN 'alias' ELSE 'size' END AS reason FROM tk LEFT JOIN hd USING (p_partkey))"""
+al AS (SELECT p_partkey, arg_min(m, i) AS m FROM tk JOIN {values_sql([(i, k, m) for i, (k, m) in enumerate(_KEYWORDS)])} AS kw(i, k, m) ON contains(task, k)
+  WHERE m = 'm-blue' OR m IN (SELECT concat('m-', w) FROM wa) GROUP BY 1),
+md AS (SELECT tk.p_partkey, CASE WHEN w IS NOT NULL THEN concat('m-', w) WHEN al.m IS NOT NULL THEN al.m ELSE 'm-base' END AS repo_id,
+  CASE WHEN w IS NOT NULL THEN 'task' WHEN al.m IS NOT NULL THEN 'alias' ELSE 'size' END AS reason FROM tk LEFT JOIN hd USING (p_partkey) LEFT JOIN al USING (p_partkey))"""
 
 
 @query("G8", "recommend_model", f"WITH {_MODELS} SELECT * FROM md")
@@ -309,25 +322,32 @@ def recommend_model(t: Tables):
     return _models(t).drop("task")
 
 
-@query("D25", "aoi_report", f"""WITH {{COVER}}, {_MODELS},
+@query("D25", "aoi_report", f"""WITH nr AS (SELECT max(raster_id) + 1 AS k FROM fx_class),
+lc AS (SELECT raster_id, class_id, count(*) AS n FROM fx_class WHERE class_id <> -1 GROUP BY ALL),
+lt AS (SELECT raster_id, sum(n) AS total FROM lc GROUP BY 1),
+lp AS (SELECT raster_id, name, round(CAST(n AS DOUBLE) / total * 100, 1) AS percent FROM lc JOIN lt USING (raster_id) JOIN {LEGEND_SQL} USING (class_id)),
+cv AS (SELECT raster_id, count(*) AS n_classes, arg_min(name, (-percent, name)) AS top_class, string_agg(name || ':' || percent, ', ' ORDER BY percent DESC, name) AS land_cover FROM lp GROUP BY 1),
+{_MODELS},
 cov AS (SELECT p.pid AS aoi_id, count(*) AS n_regions, min(b.name) AS first_region FROM fx_point p JOIN fx_box b
   ON b.west <= p.lon + 0.5::DOUBLE AND b.east >= p.lon AND b.south <= p.lat + 0.5::DOUBLE AND b.north >= p.lat GROUP BY 1)
-SELECT p.pid AS aoi_id, round(0.5::DOUBLE * 111.32::DOUBLE * cos(radians(p.lat + 0.25::DOUBLE)) * 0.5::DOUBLE * 110.574::DOUBLE, 4) AS area_km2, n_classes, top_class, coalesce(n_regions, 0) AS n_regions, first_region, md.repo_id
-FROM fx_point p LEFT JOIN cv USING (pid) LEFT JOIN cov ON cov.aoi_id = p.pid LEFT JOIN md ON md.p_partkey = p.pid""".replace("{COVER}", """
-lc AS (SELECT raster_id, class_id, count(*) AS n FROM fx_class WHERE class_id <> -1 GROUP BY ALL),
-cv AS (SELECT pid, count(*) AS n_classes, arg_max(class_id, n * 100 - class_id) AS top_class FROM fx_point JOIN lc ON lc.raster_id = pid % 3 WHERE class_id < 4 GROUP BY pid)"""))
+SELECT p.pid AS aoi_id, round(0.5::DOUBLE * 111.32::DOUBLE * cos(radians(p.lat + 0.25::DOUBLE)) * 0.5::DOUBLE * 110.574::DOUBLE, 4) AS area_km2, n_classes, top_class, land_cover,
+  coalesce(n_regions, 0) AS n_regions, first_region, md.repo_id
+FROM fx_point p JOIN nr ON true LEFT JOIN cv ON cv.raster_id = p.pid % nr.k LEFT JOIN cov ON cov.aoi_id = p.pid LEFT JOIN md ON md.p_partkey = p.pid""")
 def aoi_report(t: Tables):
     sites = t.fx_point.select(F.col("pid").alias("aoi_id"), F.col("lon").alias("west"), F.col("lat").alias("south"),
                               (F.col("lon") + 0.5).alias("east"), (F.col("lat") + 0.5).alias("north"))
-    hist = R.class_histogram(t.fx_class.where("class_id < 8"), 8).join(legend_dim(t).select("class_id"), "class_id")
-    cover = (sites.select("aoi_id", (F.col("aoi_id") % 3).cast("int").alias("raster_id")).join(hist, "raster_id")
-             .select("aoi_id", F.col("class_id").alias("name"), (F.col("n_pixels") * 100 - F.col("class_id")).alias("percent")))
+    px = t.fx_class.select(F.col("raster_id").alias("aoi_id"), F.lit(2021).alias("year"), (F.col("class_id") + 1).alias("code"))
+    shares = R.land_cover(px, legend_dim(t).select((F.col("class_id") + 1).alias("code"), "name", "color"))
+    rasters = t.fx_class.agg((F.max("raster_id") + 1).alias("k")).scalar()
+    cover = (sites.select("aoi_id", (F.col("aoi_id") % rasters).cast("int").alias("raster_id"))
+             .join(shares.select(F.col("aoi_id").alias("raster_id"), "name", "percent"), "raster_id").select("aoi_id", "name", "percent"))
     coverage = G.project_coverage(sites, t.fx_box).select("aoi_id", F.col("r_name").alias("region"))
     models = _models(t).select(F.col("p_partkey").alias("aoi_id"), "repo_id")
     areas = sites.select("aoi_id", F.round(bbox_area_km2("west", "south", "east", "north"), 4).alias("area_km2"))
     got = K.aoi_report(areas, cover, coverage, models)
+    listed = F.array_join(F.transform("land_cover", lambda x: F.concat(x["name"], F.lit(":"), x["percent"].cast("string"))), ", ")
     return got.select("aoi_id", "area_km2", F.when(F.col("land_cover").isNotNull(), F.size("land_cover")).cast("bigint").alias("n_classes"),
-                      F.get("land_cover", F.lit(0))["name"].alias("top_class"), "n_regions", "first_region", "repo_id")
+                      F.get("land_cover", F.lit(0))["name"].alias("top_class"), listed.alias("land_cover"), "n_regions", "first_region", "repo_id")
 
 
 @query("S1", "job_id", """SELECT o_orderkey, substr(sha256(concat('{"date":"', CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '","head":"', o_orderpriority, '","key":', CAST(o_custkey AS VARCHAR), '}')), 1, 16) AS job_id FROM orders""")

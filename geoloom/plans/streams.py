@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.fixtures import Tables
+from geoloom.fixtures import TABLES, Tables, values_sql
 from geoloom.registry import query
 from geoloom.streaming import jobs as J
 
@@ -17,9 +17,9 @@ def stamp(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
-@query("W1", "ingest_stream")
+@query("W1", "ingest_stream", f"SELECT name || '.parquet' AS name, 'parquet' AS format, 'ok' AS status, true AS has_size FROM {values_sql([(x,) for x in TABLES])} AS f(name)")
 def ingest_stream(t: Tables):
-    return J.ingest_stream(t.spark, t.folder, "*.parquet").drop("uploaded_at")
+    return J.ingest_stream(t.spark, t.folder, "*.parquet").select("name", "format", "status", (F.col("size") > 0).alias("has_size"))
 
 
 @query("W2", "dedupe_stream", "SELECT DISTINCT job_id FROM fx_outcome")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 
 import pandas as pd
@@ -38,23 +39,38 @@ def detect_format(name: Column, geo_footer: Column | None = None) -> Column:
     return fmt if geo_footer is None else F.when((fmt == "parquet") & geo_footer, "geoparquet").otherwise(fmt)
 
 
-def geo_footers(files: DataFrame) -> DataFrame:
-    """A1. ``path`` and whether its parquet footer has a ``geo`` key; files are read by the tasks."""
-    import io
+def _open(path: str):
+    """A file on any file system that Arrow knows; only the bytes asked for are read."""
+    import pyarrow.fs as pafs
+
+    fs, inner = pafs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", path))
+    return fs.open_input_file(inner)
 
+
+def geo_footers(files: DataFrame) -> DataFrame:
+    """A1. ``path`` and whether its parquet footer has a ``geo`` key; the tasks read the footers and nothing else."""
     def scan(batches):
         import pyarrow.parquet as pq
 
         for pdf in batches:
             flags = []
-            for data in pdf["content"]:
+            for path in pdf["path"]:
                 try:
-                    flags.append(b"geo" in (pq.ParquetFile(io.BytesIO(data)).schema_arrow.metadata or {}))
-                except Exception:
+                    with _open(path) as f:
+                        flags.append(b"geo" in (pq.ParquetFile(f).metadata.metadata or {}))
+                except Exception:  # not parquet after all
                     flags.append(False)
             yield pd.DataFrame({"path": pdf["path"], "geo_footer": flags})
 
-    return files.select("path", "content").mapInPandas(scan, "path string, geo_footer boolean")
+    return files.select("path").mapInPandas(scan, "path string, geo_footer boolean")
+
+
+def with_format(files: DataFrame) -> DataFrame:
+    """A1. ``files`` (``path name ...``) with ``format``; footers are read of parquet files alone."""
+    parquet = detect_format(F.col("name")) == "parquet"
+    feet = geo_footers(files.where(parquet).select("path").distinct())
+    joined = files.join(feet, "path", "left")
+    return joined.withColumn("format", detect_format(F.col("name"), F.coalesce("geo_footer", F.lit(False)))).drop("geo_footer")
 
 
 def sniff_magic(head_hex: Column) -> Column:
@@ -66,28 +82,33 @@ def sniff_magic(head_hex: Column) -> Column:
     return out.when(json, F.array(F.lit("geojson"))).otherwise(F.array().cast("array<string>"))
 
 
-def read_heads(spark: SparkSession, path: str) -> DataFrame:
-    """Path, name, size and leading bytes of the files under a folder.
+def with_heads(files: DataFrame, size: int = 16) -> DataFrame:
+    """``path name size`` of listed files and their first bytes as ``head_hex``; no more of a file is read, however large it is."""
+    def scan(batches):
+        for pdf in batches:
+            heads = []
+            for path in pdf["path"]:
+                with _open(path) as f:
+                    heads.append(f.read(size).hex().upper())
+            yield pdf.assign(head_hex=heads)
 
-    A file over the size cap is refused anyway and is listed without being read:
-    the test on its length reaches the source, and its content is not asked for.
-    """
-    found = spark.read.format("binaryFile").load(path)
+    listed = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), "modificationTime")
+    return listed.mapInPandas(scan, "path string, name string, size long, modificationTime timestamp, head_hex string")
 
-    def row(head: Column) -> list[Column]:
-        return [F.col("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
-                head.alias("head_hex")]
 
-    return (found.where(F.col("length") <= MAX_BYTES).select(*row(F.hex(F.substring("content", 1, 16))))
-            .unionByName(found.where(F.col("length") > MAX_BYTES).select(*row(F.lit("")))))
+def read_heads(spark: SparkSession, path: str) -> DataFrame:
+    """Path, name, size and leading bytes of the files under a folder. Spark lists them, and the column of contents is not asked for."""
+    return with_heads(spark.read.format("binaryFile").load(path)).drop("modificationTime")
 
 
 def quarantine_mismatch(files: DataFrame) -> DataFrame:
     """A3. Why a file is refused, or ``ok``: unsafe name, unknown format, size, content."""
-    fmt, seen = detect_format(F.col("name")), sniff_magic(F.col("head_hex"))
+    fmt, seen = F.col("format"), sniff_magic(F.col("head_hex"))
+    if "format" not in files.columns:
+        files = files.withColumn("format", detect_format(F.col("name")))
     unsafe = (F.col("name") == "") | F.col("name").rlike(r"[/\\\x00]") | F.col("name").isin(".", "..")
     wrong = (F.size(seen) > 0) & ~F.array_contains(seen, fmt) & (extension(F.col("name")) != "csv")
-    return files.withColumn("format", fmt).withColumn("sniffed", seen).withColumn(
+    return files.withColumn("sniffed", seen).withColumn(
         "status", F.when(unsafe, "unsafe_name").when(fmt == "unknown", "unsupported_format")
         .when(F.col("size") > MAX_BYTES, "too_large").when(wrong, "format_mismatch").otherwise("ok"))
 
@@ -178,13 +199,21 @@ def read_geoparquet(spark: SparkSession, path: str, col: str = "geometry") -> Da
 
 
 def vector_profile(vertices: DataFrame, key: str) -> DataFrame:
-    """A8. One row: geometry type, features, bounds, columns and the first row as a sample."""
+    """A8. One row: geometry type, features, bounds, columns and the first row as a sample.
+
+    A feature of one vertex is a point; one whose last vertex is its first is a
+    polygon, any other a line. Features of several kinds are ``Mixed``.
+    """
     cols = vertices.columns[:10]
-    return vertices.agg(
-        F.lit("Polygon").alias("geometry_type"), F.count_distinct(key).alias("feature_count"),
-        F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"),
-        F.lit(",".join(vertices.columns)).alias("columns"),
-        F.min_by(F.struct(*cols), F.struct(key, "vtx")).alias("sample"))
+    # the vertices of a feature are not brought together: its ends are combined before the shuffle
+    each = vertices.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("lon", "lat"), "vtx").alias("_a"), F.max_by(F.struct("lon", "lat"), "vtx").alias("_b"),
+        F.min("lon").alias("_w"), F.min("lat").alias("_s"), F.max("lon").alias("_e"), F.max("lat").alias("_top"), F.min_by(F.struct(*cols), "vtx").alias("_row"))
+    kind = F.when(F.col("_n") == 1, "Point").when((F.col("_a") == F.col("_b")) & (F.col("_n") > 3), "Polygon").otherwise("LineString")
+    return each.withColumn("_kind", kind).agg(
+        F.when(F.min("_kind") == F.max("_kind"), F.min("_kind")).otherwise("Mixed").alias("geometry_type"), F.count(F.lit(1)).alias("feature_count"),
+        F.min("_w").alias("west"), F.min("_s").alias("south"), F.max("_e").alias("east"), F.max("_top").alias("north"),
+        F.lit(",".join(vertices.columns)).alias("columns"), F.min_by("_row", key).alias("sample"))
 
 
 def array_profile(long: DataFrame, coords: list[str], time: str, variable: str = "variable") -> DataFrame:

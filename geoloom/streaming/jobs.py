@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from geoloom.operators.catalog import latest
-from geoloom.sources.files import quarantine_mismatch
+from geoloom.sources.files import quarantine_mismatch, with_format, with_heads
 from geoloom.sources.sinks import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -47,17 +47,17 @@ def ingest_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
     failure overwrites itself.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    heads = (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
-             .select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"),
-                     F.hex(F.substring("content", 1, 16)).alias("head_hex"), "modificationTime"))
+    # contents are not asked for: a batch reads the first bytes and the footers of its files
+    listed = (spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
+              .select("path", "length", "modificationTime"))
     log = scratch_path(spark, "registry")
 
     def upsert(batch: DataFrame, number: int) -> None:
-        rows = quarantine_mismatch(batch).select(
+        rows = quarantine_mismatch(with_format(with_heads(batch))).select(
             "name", "format", "size", "status", F.col("modificationTime").alias("uploaded_at"), F.lit("upsert").alias("op"))
         rows.write.mode("overwrite").parquet(f"{log}/data/version={number}")
 
-    q = (heads.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{log}/progress")
+    q = (listed.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{log}/progress")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return latest(spark.read.parquet(f"{log}/data"), "name", "uploaded_at").drop("version")
