@@ -32,32 +32,27 @@ def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
                 probs: dict[str, float]) -> DataFrame:
     """Count ``n``, ``mean``, ``min``, ``max`` and exact quantiles per group.
 
-    ``percentile`` holds all distinct values of a group in one task. Here equal
-    values are counted before the shuffle, counts per order-preserving bin say
-    which bins hold the wanted ranks, and only those bins are looked into. They
-    are cut once more between their own extremes, for values that crowd into
-    one bin, and only the parts with a wanted rank are sorted.
+    ``percentile`` holds all distinct values of a group in one task. Here a
+    first pass counts rows per order-preserving bin, combined before the
+    shuffle, and the counts say which bins hold the wanted ranks. A second pass
+    takes the values of those bins alone. They are cut once more between their
+    own extremes, for values that crowd into one bin, and only the parts with a
+    wanted rank are sorted. The input is scanned twice and hardly shuffled.
     Quantiles are linear between ranks. Null and NaN do not count; rows with a
     null key belong to no group.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
     # adding 0.0 makes -0.0 and 0.0 one value
-    counted = (
-        df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, (v + F.lit(0.0)).alias("_v"))
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", order_bin(F.col("_v")))
-    )
-    # the join below would add these tests to one side only; with them on both
-    # sides the counts are the same plan twice and their shuffle is made once
-    for key in [*keys, "_bin"]:
-        counted = counted.where(F.col(key).isNotNull())
+    rows = (df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, (v + F.lit(0.0)).alias("_v"))
+            .withColumn("_bin", order_bin(F.col("_v"))))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
     run = Window.partitionBy(*keys).orderBy("_bin")
     whole = Window.partitionBy(*keys)
     bins = (
-        counted.groupBy(*keys, "_bin")
-        .agg(F.sum("_n").alias("_bn"), F.sum(F.col("_v") * F.col("_n")).alias("_bs"),
-             F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
+        rows.groupBy(*keys, "_bin")
+        .agg(F.count(F.lit(1)).alias("_bn"), F.sum("_v").alias("_bs"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax"))
         .withColumn("_before", F.sum("_bn").over(run) - F.col("_bn"))
         .withColumn("n", F.sum("_bn").over(whole))
         .withColumn("mean", F.sum("_bs").over(whole) / F.col("n"))
@@ -81,8 +76,9 @@ def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
 
     wanted = bins.where(holds("_before", "_bn")).select(*keys, "_bin", "_before", "_bmin", "_bmax", *facts)
     share = (F.col("_v") - F.col("_bmin")) / (F.col("_bmax") - F.col("_bmin"))
-    inside = (counted.join(wanted, [*keys, "_bin"])
-              .withColumn("_part", F.when(F.col("_bmax") > F.col("_bmin"), F.floor(share * 4095)).otherwise(0)))
+    part = F.when(F.col("_bmax") > F.col("_bmin"), F.floor(share * 4095)).otherwise(0)
+    inside = (rows.join(wanted, [*keys, "_bin"]).withColumn("_part", part)
+              .groupBy(*keys, "_bin", "_part", "_v", "_before", *facts).agg(F.count(F.lit(1)).alias("_n")))
     upto = Window.partitionBy(*keys, "_bin").orderBy("_part")
     parts = (inside.groupBy(*keys, "_bin", "_part")
              .agg(F.sum("_n").alias("_pn"), F.max("_before").alias("_b0"), F.max("n").alias("n"))
