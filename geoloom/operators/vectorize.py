@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.session import cut_lineage
+from geoloom.functions.geo import from_utm
+from geoloom.session import cut_and_count, cut_lineage
 
 KEY = "raster_id"
 ROW = 1 << 31  # pixel number = r * ROW + c
@@ -95,7 +96,9 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     before the next.
     """
     both = edges.select(KEY, "u", "v").unionByName(edges.select(KEY, F.col("v").alias("u"), F.col("u").alias("v")))
-    both = cut_lineage(both.distinct())
+    both, some = cut_and_count(both.distinct(), F.lit(True))
+    if not some:
+        return both.select(KEY, F.col("u").alias("node"), F.col("v").alias("root"))
     roots = both.groupBy(KEY, F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root"))
     roots = cut_lineage(roots)
     while True:
@@ -107,9 +110,8 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         low = (roots.join(pooled, [KEY, "root"])
                .select(KEY, "node", F.col("root").alias("_old"), F.col("_pool").alias("root")))
         up = low.select(KEY, F.col("node").alias("root"), F.col("root").alias("_up"))
-        new = cut_lineage(low.join(up, [KEY, "root"], "left")
-                          .select(KEY, "node", "_old", F.coalesce("_up", "root").alias("root")))
-        changed = new.where(F.col("root") != F.col("_old")).limit(1).count()
+        new, changed = cut_and_count(low.join(up, [KEY, "root"], "left").select(
+            KEY, "node", "_old", F.coalesce("_up", "root").alias("root")), F.col("root") != F.col("_old"))
         roots = new.drop("_old")
         if not changed:
             return roots
@@ -215,21 +217,20 @@ def region_rings(regions: DataFrame, block: int = 256) -> DataFrame:
                         .applyInPandas(_block_paths, _SIDES))
     # the sum of x over downward sides less that over upward ones is the area; holes are negative
     area = F.when(F.col("side") == 1, F.col("x")).when(F.col("side") == 3, -F.col("x")).otherwise(0)
-    chains = cut_lineage(sides.groupBy(KEY, "entry").agg(
-        F.count(F.lit(1)).alias("len"), F.min("id").alias("low"), F.min_by("pos", "id").alias("off"),
-        F.max_by("next", "pos").alias("ptr"), F.sum(area).alias("area")))
     closed = F.col("ptr") == F.col("entry")
+    chains, changed = cut_and_count(sides.groupBy(KEY, "entry").agg(
+        F.count(F.lit(1)).alias("len"), F.min("id").alias("low"), F.min_by("pos", "id").alias("off"),
+        F.max_by("next", "pos").alias("ptr"), F.sum(area).alias("area")), ~closed)
+    # chains that leave their block; without any, the passes below have nothing to do
     walk = chains.where(~closed).select(KEY, "entry", "ptr", "low", "off", F.col("len").alias("span"))
-    changed = walk.limit(1).count()
     while changed:
         far = walk.select(KEY, F.col("entry").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"),
                           F.col("off").alias("_off"), F.col("span").alias("_span"))
         better = F.col("_low") < F.col("low")
-        new = cut_lineage(walk.join(far, [KEY, "ptr"]).select(
+        new, changed = cut_and_count(walk.join(far, [KEY, "ptr"]).select(
             KEY, "entry", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"),
             F.when(better, F.col("_off") + F.col("span")).otherwise(F.col("off")).alias("off"),
-            (F.col("span") + F.col("_span")).alias("span"), better.alias("_new")))
-        changed = new.where("_new").limit(1).count()
+            (F.col("span") + F.col("_span")).alias("span"), better.alias("_new")), F.col("_new"))
         walk = new.drop("_new")
     heads = (chains.where(closed).select(KEY, "entry", "low", "off").unionByName(walk.select(KEY, "entry", "low", "off")))
     whole = (chains.select(KEY, "entry", "len", "area").join(heads, [KEY, "entry"]).groupBy(KEY, F.col("low").alias("ring"))
@@ -250,91 +251,111 @@ def close_rings(rings: DataFrame, keys: list[str]) -> DataFrame:
     return dense.unionByName(last)
 
 
-def _dp(x: np.ndarray, y: np.ndarray, tol: float) -> np.ndarray:
-    """Vertices kept by Douglas-Peucker between the first and the last one."""
-    keep = np.zeros(len(x), dtype=bool)
-    keep[[0, -1]] = True
-    stack = [(0, len(x) - 1)]
-    while stack:
-        a, b = stack.pop()
-        if b - a < 2:
-            continue
-        d = _segment_distance(x[a + 1:b], y[a + 1:b], x[a], y[a], x[b], y[b])
-        m = int(np.argmax(d))
-        if d[m] > tol:
-            keep[a + 1 + m] = True
-            stack += [(a, a + 1 + m), (a + 1 + m, b)]
-    return keep
-
-
-def _segment_distance(px, py, ax, ay, bx, by):
+def _gap(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of a point from a segment."""
     dx, dy = bx - ax, by - ay
     length = dx * dx + dy * dy
-    t = np.zeros_like(px) if length == 0 else np.clip(((px - ax) * dx + (py - ay) * dy) / length, 0, 1)
-    return np.hypot(px - ax - t * dx, py - ay - t * dy)
+    along = F.when(length == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * dx + (py - ay) * dy) / length)))
+    return F.hypot(px - ax - along * dx, py - ay - along * dy)
 
 
-def simplify(rings: DataFrame, tol: float, max_group: int = 100_000) -> DataFrame:
-    """K15. Douglas-Peucker per polygon; a tolerance of 0 changes nothing; empty results are dropped.
+def simplify(rings: DataFrame, tol: float) -> DataFrame:
+    """K15. Douglas-Peucker per polygon; a tolerance of 0 changes nothing.
 
-    Rings of up to ``max_group`` vertices are handled one per task; longer
-    ones are split over the cluster, a round per depth of the recursion.
+    All segments of all rings are split in the same round, a round per depth of
+    the recursion, and the farthest vertex of a segment is combined before the
+    shuffle, so a ring of any length is never in one task. A ring that would
+    be left with fewer than four vertices keeps its ends, the vertex farthest from them and
+    the one farthest from the line between: the smallest ring there is.
     """
     if tol <= 0:
-        return rings
-    size = rings.groupBy("poly_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = rings.select("poly_id", "vtx", "lon", "lat").join(size, "poly_id")
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vtx")
-        keep = _dp(pdf["lon"].to_numpy(), pdf["lat"].to_numpy(), tol)
-        out = pdf.loc[keep, ["poly_id", "vtx", "lon", "lat"]]
-        return out if len(out) >= 4 else out.head(0)
-
-    small = (sized.where(F.col("_n") <= max_group).drop("_n").groupBy("poly_id")
-             .applyInPandas(grouped, rings.select("poly_id", "vtx", "lon", "lat").schema))
-    long = sized.where(F.col("_n") > max_group).drop("_n")
-    if not size.where(F.col("_n") > max_group).limit(1).count():
-        return small
-    return small.unionByName(_simplify_rounds(long, tol))
-
-
-def _simplify_rounds(rings: DataFrame, tol: float) -> DataFrame:
-    ends = rings.groupBy("poly_id").agg(F.min(F.struct("vtx", "lon", "lat")).alias("a"),
-                                        F.max(F.struct("vtx", "lon", "lat")).alias("b"))
+        return rings.select("poly_id", "vtx", "lon", "lat")
+    rings = cut_lineage(rings.select("poly_id", "vtx", "lon", "lat"))
+    end = F.struct("vtx", "lon", "lat")
+    ends = rings.groupBy("poly_id").agg(F.min_by(end, "vtx").alias("a"), F.max_by(end, "vtx").alias("b"))
     todo = rings.join(ends, "poly_id")
     kept = todo.where((F.col("vtx") == F.col("a.vtx")) | (F.col("vtx") == F.col("b.vtx"))).select(rings.columns)
-    todo = cut_lineage(todo.where((F.col("vtx") > F.col("a.vtx")) & (F.col("vtx") < F.col("b.vtx"))))
-    dx, dy = F.col("b.lon") - F.col("a.lon"), F.col("b.lat") - F.col("a.lat")
-    length = dx * dx + dy * dy
-    px, py = F.col("lon") - F.col("a.lon"), F.col("lat") - F.col("a.lat")
-    along = F.when(length == 0, 0.0).otherwise(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), (px * dx + py * dy) / length)))
-    dist = F.hypot(px - along * dx, py - along * dy)
-    while todo.limit(1).count():
-        # the farthest vertex of each segment is combined before the shuffle
-        far = (todo.groupBy("poly_id", "a", "b")
-               .agg(F.max(F.struct(dist.alias("d"), (-F.col("vtx")).alias("v"), "lon", "lat")).alias("m"))
-               .where(F.col("m.d") > tol)
-               .select("poly_id", "a", "b", F.struct((-F.col("m.v")).cast(rings.schema["vtx"].dataType).alias("vtx"),
-                                                     F.col("m.lon").alias("lon"), F.col("m.lat").alias("lat")).alias("m")))
-        far = cut_lineage(far)
+    todo, left_over = cut_and_count(todo.where((F.col("vtx") > F.col("a.vtx")) & (F.col("vtx") < F.col("b.vtx"))), F.lit(True))
+    vertex = [F.col(c) for c in ("lon", "lat", "a.lon", "a.lat", "b.lon", "b.lat")]
+    while left_over:
+        # by distance, then by the lower number
+        farthest = F.max_by(end, F.struct("_d", -F.col("vtx")))
+        far = cut_lineage(todo.withColumn("_d", _gap(*vertex)).groupBy("poly_id", "a", "b").agg(farthest.alias("m"), F.max("_d").alias("_d"))
+                          .where(F.col("_d") > tol).drop("_d"))
         kept = kept.unionByName(far.select("poly_id", "m.vtx", "m.lon", "m.lat"))
         left = F.col("vtx") < F.col("m.vtx")
-        todo = cut_lineage(
+        todo, left_over = cut_and_count(
             todo.join(far, ["poly_id", "a", "b"]).where(F.col("vtx") != F.col("m.vtx"))
             .select("poly_id", "vtx", "lon", "lat", F.when(left, F.col("a")).otherwise(F.col("m")).alias("a"),
-                    F.when(left, F.col("m")).otherwise(F.col("b")).alias("b")))
-    size = kept.groupBy("poly_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 4)
-    return kept.join(size, "poly_id", "left_semi")
+                    F.when(left, F.col("m")).otherwise(F.col("b")).alias("b")), F.lit(True))
+    kept = cut_lineage(kept)
+    few = kept.groupBy("poly_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < 4).select("poly_id")
+    inner = rings.join(few, "poly_id", "left_semi").join(ends, "poly_id").where((F.col("vtx") > F.col("a.vtx")) & (F.col("vtx") < F.col("b.vtx")))
+    tip = inner.withColumn("_d", F.hypot(F.col("lon") - F.col("a.lon"), F.col("lat") - F.col("a.lat"))).groupBy("poly_id").agg(
+        F.max_by(end, F.struct("_d", -F.col("vtx"))).alias("m"))
+    aside = _gap(F.col("lon"), F.col("lat"), F.col("a.lon"), F.col("a.lat"), F.col("m.lon"), F.col("m.lat"))
+    side = inner.join(tip, "poly_id").where(F.col("vtx") != F.col("m.vtx")).withColumn("_d", aside).groupBy("poly_id").agg(
+        F.max_by(end, F.struct("_d", -F.col("vtx"))).alias("m"))
+    more = tip.unionByName(side).select("poly_id", "m.vtx", "m.lon", "m.lat")
+    return kept.unionByName(more).distinct()
+
+
+def _outlines(regions: DataFrame, table: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Closed rings ``poly_id vtx x y`` of the listed regions, and which region and ring each is."""
+    rings = region_rings(regions, block).join(table.select(KEY, "region"), [KEY, "region"], "left_semi")
+    # read several times below
+    rings = cut_lineage(rings.withColumn("poly_id", F.concat_ws(":", KEY, "ring")))
+    named = rings.select("poly_id", KEY, "region", "ring", "hole").distinct()
+    closed = close_rings(rings.select("poly_id", "vtx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), ["poly_id"])
+    return closed, named
 
 
 def outline(regions: DataFrame, table: DataFrame, gsd: float, tol: float = 0.0, block: int = 256) -> DataFrame:
     """K14. Outlines in metres of the listed regions, simplified when a tolerance is given."""
-    rings = region_rings(regions, block).join(table.select(KEY, "region"), [KEY, "region"], "left_semi")
-    # read several times below
-    rings = cut_lineage(rings.withColumn("poly_id", F.concat_ws(":", KEY, "ring")))
-    named = rings.select("poly_id", KEY, "region", "hole").distinct()
-    shape = close_rings(rings.select("poly_id", "vtx", (F.col("x") * gsd).cast("double").alias("lon"),
-                                     (-F.col("y") * gsd).cast("double").alias("lat")), ["poly_id"])
+    closed, named = _outlines(regions, table, block)
+    shape = closed.select("poly_id", "vtx", (F.col("x") * gsd).alias("lon"), (-F.col("y") * gsd).alias("lat"))
     return simplify(shape, tol).join(named, "poly_id")
+
+
+def region_polygons(regions: DataFrame, table: DataFrame, geo: DataFrame, tol: float = 0.0, block: int = 256) -> DataFrame:
+    """K14. Vertices in longitude and latitude of every ring of the listed regions, outer rings and holes.
+
+    ``geo``: ``raster_id x0 y0 dx dy zone south``: the corner of the raster, the
+    pixel size, and the UTM zone its coordinates are in, null for degrees.
+    Rings are simplified in the raster's own coordinates, by ``tol`` of their
+    unit, and then brought to WGS84. Rows: ``raster_id region ring hole vtx lon lat``.
+    """
+    closed, named = _outlines(regions, table, block)
+    placed = closed.join(named.select("poly_id", KEY), "poly_id").join(geo, KEY)
+    plane = placed.select("poly_id", "vtx", (F.col("x0") + F.col("x") * F.col("dx")).alias("lon"), (F.col("y0") - F.col("y") * F.col("dy")).alias("lat"))
+    shape = simplify(plane, tol).join(named, "poly_id").join(geo.select(KEY, "zone", "south"), KEY)
+    there = F.when(F.col("zone").isNotNull(), from_utm("lon", "lat", "zone", "south")).otherwise(F.struct("lon", "lat"))
+    return shape.withColumn("_g", there).select(KEY, "region", "ring", "hole", "vtx", F.col("_g.lon").alias("lon"), F.col("_g.lat").alias("lat"))
+
+
+def polygon_features(polygons: DataFrame, features: DataFrame) -> DataFrame:
+    """K14. ``features`` (by ``raster_id region``) with ``geometry_type coordinates``, as A15 writes them: the outer ring, then the holes.
+
+    A feature is one row of its file, so its vertices come together here, and
+    only here.
+    """
+    # GeoJSON wants outer rings counter-clockwise; these run clockwise, with holes the other way round
+    rings = polygons.groupBy(KEY, "region", "ring", "hole").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("vtx")).alias("v"), F.array("lon", "lat").alias("p")))).alias("_v"))
+    shapes = rings.groupBy(KEY, "region").agg(F.array_sort(F.collect_list(F.struct(
+        "hole", "ring", F.transform("_v", lambda v: v["p"]).alias("p")))).alias("_r"))
+    return features.join(shapes.select(KEY, "region", F.lit("Polygon").alias("geometry_type"), F.transform("_r", lambda r: r["p"]).alias("coordinates")), [KEY, "region"])
+
+
+def labelled_polygons(pixels: DataFrame, geo: DataFrame, gsd: float, min_px: int = 50, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """K9. Features of labelled pixels (``raster_id r c cluster class_id class_name color confidence``) and their rings.
+
+    Regions are those of equal cluster; rings are simplified by half a pixel.
+    """
+    from geoloom.operators.labels import segment_features
+
+    regions = cut_lineage(connected_regions(pixels.select(KEY, "r", "c", F.col("cluster").alias("class_id")), block))
+    table = cut_lineage(segment_features(pixels, regions, gsd, min_px))
+    legend = pixels.groupBy(KEY, "cluster").agg(F.max("class_id").alias("class_id"), F.max("color").alias("color"))
+    (tol,) = geo.agg((F.max(F.abs("dx")) / 2).alias("t")).first()
+    return table.join(legend, [KEY, "cluster"]), region_polygons(regions, table, geo, tol or 0.0, block)

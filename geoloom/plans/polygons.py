@@ -10,6 +10,7 @@ from geoloom.operators import polygons as P
 from geoloom.operators import vectorize as V
 from geoloom.plans.rasters import LEGEND_SQL, legend_dim, r6
 from geoloom.registry import query
+from geoloom.session import cut_lineage
 
 _EDGES = """e AS (SELECT poly_id, vtx, lon AS lon1, lat AS lat1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM fx_ring
       WINDOW w AS (PARTITION BY poly_id ORDER BY vtx)),
@@ -213,20 +214,21 @@ reg AS (SELECT cell.raster_id, cell.r, cell.c, cell.class_id, min(src) AS region
 
 @query("K14", "connected_regions", f"WITH {_REGIONS} SELECT raster_id, r, c, class_id, region FROM reg")
 def connected_regions(t: Tables):
+    # blocks smaller than a raster, so that regions are joined over their borders
     return V.connected_regions(t.fx_class, block=32).select("raster_id", "r", "c", "class_id", "region")
 
 
 @query("K14", "region_table", f"""WITH {_REGIONS} SELECT raster_id, region, any_value(class_id) AS class_id, count(*) AS pixel_count, min(r) AS r_min, min(c) AS c_min,
   max(r) AS r_max, max(c) AS c_max, CAST(count(*) * 100 AS DOUBLE) AS area_m2 FROM reg GROUP BY raster_id, region HAVING count(*) >= 4""")
 def region_table(t: Tables):
-    return V.region_table(V.connected_regions(t.fx_class, block=32), 10.0)
+    return V.region_table(V.connected_regions(t.fx_class), 10.0)
 
 
 @query("K14", "region_features", f"""WITH {_REGIONS} SELECT raster_id, region, class_id, name AS class_name, coalesce(any_value(color), '#888888') AS color,
   CAST(count(*) * 100 AS DOUBLE) AS area_m2, count(*) AS pixel_count FROM reg LEFT JOIN {LEGEND_SQL} USING (class_id) WHERE class_id < 4
 GROUP BY raster_id, region, class_id, name HAVING count(*) >= 4""")
 def region_features(t: Tables):
-    table = V.region_table(V.connected_regions(t.fx_class, block=32), 10.0)
+    table = V.region_table(V.connected_regions(t.fx_class), 10.0)
     return V.region_features(table, legend_dim(t), 4)
 
 
@@ -235,14 +237,40 @@ s AS (SELECT g.raster_id, region, g.r, g.c, (SELECT count(*) FROM cell n WHERE n
         AND abs(n.r - g.r) + abs(n.c - g.c) = 1) AS same FROM reg g)
 SELECT raster_id, region, CAST(sum(4 - same) AS BIGINT) AS perimeter, CAST(count(*) AS BIGINT) AS area FROM s GROUP BY raster_id, region HAVING count(*) >= 4""")
 def region_outlines(t: Tables):
-    regions = V.connected_regions(t.fx_class, block=32)
-    shape = V.outline(regions, V.region_table(regions, 1.0), 1.0, block=32)
+    regions = V.connected_regions(t.fx_class)
+    shape = V.outline(regions, V.region_table(regions, 1.0), 1.0)
     edges = P.ring_edges(shape).join(shape.where("vtx = 0").select("poly_id", "raster_id", "region"), "poly_id")
     return edges.groupBy("raster_id", "region").agg(
         F.sum(F.abs(F.col("lon2") - F.col("lon1")) + F.abs(F.col("lat2") - F.col("lat1"))).cast("bigint").alias("perimeter"),
         F.abs(F.sum(F.col("lon1") * F.col("lat2") - F.col("lon2") * F.col("lat1")) / 2).cast("bigint").alias("area"))
 
 
+@query("K14", "region_polygons", f"""WITH {_REGIONS}
+SELECT raster_id, region, class_id, name AS class_name, coalesce(any_value(color), '#888888') AS color, CAST(count(*) * 100 AS DOUBLE) AS area_m2, count(*) AS pixel_count,
+  round(raster_id * 2 - 100 + min(c) * 0.001::DOUBLE, 6) AS west, round(40 - (max(r) + 1) * 0.002::DOUBLE, 6) AS south,
+  round(raster_id * 2 - 100 + (max(c) + 1) * 0.001::DOUBLE, 6) AS east, round(40 - min(r) * 0.002::DOUBLE, 6) AS north, round(count(*) * 0.000002::DOUBLE, 9) AS square_degrees, true AS is_polygon
+FROM reg LEFT JOIN {LEGEND_SQL} USING (class_id) WHERE class_id < 4 GROUP BY raster_id, region, class_id, name HAVING count(*) >= 4""")
+def region_polygons(t: Tables):
+    """Features as they are written, read back from their coordinates: extent, and area less the holes."""
+    regions = cut_lineage(V.connected_regions(t.fx_class))
+    table = V.region_table(regions, 10.0)
+    named = V.region_features(table, legend_dim(t), 4)
+    geo = named.select("raster_id").distinct().selectExpr(
+        "raster_id", "raster_id * 2 - 100D AS x0", "40D AS y0", "0.001D AS dx", "0.002D AS dy", "CAST(NULL AS INT) AS zone", "false AS south")
+    got = V.polygon_features(V.region_polygons(regions, named, geo), named)
+    ring = F.explode("coordinates").alias("ring")
+    vertices = got.select("raster_id", "region", ring).withColumn("area", F.aggregate(F.sequence(F.lit(1), F.size("ring") - 1), F.lit(0.0), lambda s, i: (
+        s + F.get(F.get("ring", i - 1), F.lit(0)) * F.get(F.get("ring", i), F.lit(1)) - F.get(F.get("ring", i), F.lit(0)) * F.get(F.get("ring", i - 1), F.lit(1)))) / 2)
+
+    def over(k: int, how):
+        return how(F.transform("ring", lambda p: F.get(p, F.lit(k))))
+
+    boxes = vertices.groupBy("raster_id", "region").agg(
+        F.round(F.min(over(0, F.array_min)), 6).alias("west"), F.round(F.min(over(1, F.array_min)), 6).alias("south"),
+        F.round(F.max(over(0, F.array_max)), 6).alias("east"), F.round(F.max(over(1, F.array_max)), 6).alias("north"), F.round(F.sum("area"), 9).alias("square_degrees"))
+    return got.withColumn("is_polygon", F.col("geometry_type") == "Polygon").drop("geometry_type", "coordinates").join(boxes, ["raster_id", "region"])
+
+
 @query("K15", "simplify", """WITH RECURSIVE d AS (SELECT p.poly_id, x.vtx AS a, y.vtx AS b, p.vtx, p.lon - x.lon AS px, p.lat - x.lat AS py, y.lon - x.lon AS dx, y.lat - x.lat AS dy
   FROM fx_ring p JOIN fx_ring x ON x.poly_id = p.poly_id AND x.vtx < p.vtx JOIN fx_ring y ON y.poly_id = p.poly_id AND y.vtx > p.vtx),
 e AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE least(1, greatest(0, (px * dx + py * dy) / (dx * dx + dy * dy))) END AS t FROM d),
@@ -252,7 +280,14 @@ seg AS (SELECT poly_id, 0 AS a, 5 AS b FROM fx_ring WHERE vtx = 0
   UNION ALL SELECT s.poly_id, CASE WHEN h THEN s.a ELSE m.vtx END, CASE WHEN h THEN m.vtx ELSE s.b END
   FROM seg s JOIN far m ON m.poly_id = s.poly_id AND m.a = s.a AND m.b = s.b, (VALUES (true), (false)) v(h)),
 kp AS (SELECT poly_id, a AS vtx FROM seg UNION SELECT poly_id, b FROM seg)
-SELECT poly_id, vtx, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_ring JOIN kp USING (poly_id, vtx)
-WHERE poly_id IN (SELECT poly_id FROM kp GROUP BY 1 HAVING count(*) >= 4)""")
+,
+few AS (SELECT poly_id FROM kp GROUP BY 1 HAVING count(*) < 4),
+p0 AS (SELECT p.*, a.lon AS alon, a.lat AS alat FROM fx_ring p JOIN few USING (poly_id) JOIN fx_ring a ON a.poly_id = p.poly_id AND a.vtx = 0 WHERE p.vtx BETWEEN 1 AND 4),
+m1 AS (SELECT * FROM p0 QUALIFY row_number() OVER (PARTITION BY poly_id ORDER BY sqrt(pow(lon - alon, 2) + pow(lat - alat, 2)) DESC, vtx) = 1),
+p1 AS (SELECT p.poly_id, p.vtx, p.lon - p.alon AS px, p.lat - p.alat AS py, m.lon - m.alon AS dx, m.lat - m.alat AS dy FROM p0 p JOIN m1 m ON m.poly_id = p.poly_id AND m.vtx <> p.vtx),
+p2 AS (SELECT *, least(1, greatest(0, (px * dx + py * dy) / (dx * dx + dy * dy))) AS t FROM p1),
+m2 AS (SELECT * FROM p2 QUALIFY row_number() OVER (PARTITION BY poly_id ORDER BY sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)) DESC, vtx) = 1),
+al AS (SELECT poly_id, vtx FROM kp UNION SELECT poly_id, vtx FROM m1 UNION SELECT poly_id, vtx FROM m2)
+SELECT poly_id, vtx, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_ring JOIN al USING (poly_id, vtx)""")
 def simplify(t: Tables):
     return V.simplify(t.fx_ring, 0.8).select("poly_id", "vtx", *r6("lon", "lat"))

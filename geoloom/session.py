@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators count on. All of them are ordinary Spark options and
 # none of them names a size of data, so they hold from a laptop to a cluster.
@@ -63,3 +64,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_and_count(df: DataFrame, of: Column) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the number of rows for which ``of`` holds, counted while they are written."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, F.count_if(of).alias("n")))
+    return cut, int(seen.get["n"] or 0)

@@ -228,19 +228,67 @@ def test_rings_enclose_their_regions(spark, raster, block):
     assert area == size
 
 
-def test_simplify_in_rounds_equals_one_task(spark):
+def plain_simplify(x, y, tol):
+    """Douglas-Peucker with a stack; the ends, the farthest vertex and the one farthest from it where fewer than four stay."""
+    def gap(k, a, b):
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        length = dx * dx + dy * dy
+        t = min(1, max(0, ((x[k] - x[a]) * dx + (y[k] - y[a]) * dy) / length)) if length else 0
+        return np.hypot(x[k] - x[a] - t * dx, y[k] - y[a] - t * dy)
+
+    keep, stack = {0, len(x) - 1}, [(0, len(x) - 1)]
+    while stack:
+        a, b = stack.pop()
+        far = max(((gap(k, a, b), -k) for k in range(a + 1, b)), default=(0, 0))
+        if far[0] > tol:
+            keep.add(-far[1])
+            stack += [(a, -far[1]), (-far[1], b)]
+    if len(keep) < 4:
+        inner = range(1, len(x) - 1)
+        tip = -max((np.hypot(x[k] - x[0], y[k] - y[0]), -k) for k in inner)[1]
+        keep |= {tip, -max((gap(k, 0, tip), -k) for k in inner if k != tip)[1]}
+    return sorted(keep)
+
+
+def test_simplify_equals_a_plain_one(spark):
     rng = np.random.default_rng(6)
-    rows = []
+    rows, shapes = [], []
     for p in range(5):
         n = 200
         a = np.linspace(0, 2 * np.pi, n)
         rad = 10 + rng.normal(0, 0.3, n)
         x, y = rad * np.cos(a), rad * np.sin(a)
         x[-1], y[-1] = x[0], y[0]
+        shapes.append((x, y))
         rows += [(p, i, float(x[i]), float(y[i])) for i in range(n)]
     df = spark.createDataFrame(rows, "poly_id int, vtx int, lon double, lat double")
-    one = sorted((r["poly_id"], r["vtx"]) for r in simplify(df, 0.5).collect())
-    many = sorted((r["poly_id"], r["vtx"]) for r in simplify(df, 0.5, max_group=50).collect())
-    assert one == many and 20 < len(one) < 1000
+    for tol in (0.5, 1000.0):
+        got = sorted((r["poly_id"], r["vtx"]) for r in simplify(df, tol).collect())
+        assert got == [(p, k) for p, (x, y) in enumerate(shapes) for k in plain_simplify(x, y, tol)]
+    assert len(got) == 20  # no ring is lost
     assert simplify(df, 0).count() == 1000
-    assert simplify(df, 1000.0).count() == 0
+
+
+def test_polygons_in_wgs84_are_exact_with_holes(spark):
+    """A ring of pixels around another class, in UTM: the outer ring and the hole come out at the pixel corners."""
+    from geoloom.functions.geo import to_utm
+    from geoloom.operators.vectorize import polygon_features, region_polygons
+
+    px = spark.createDataFrame([(3, r, c, 2 if 2 <= r < 4 and 2 <= c < 5 else 1) for r in range(6) for c in range(8)], "raster_id int, r int, c int, class_id int")
+    geo = spark.createDataFrame([(3, 500000.0, 4649776.0, 10.0, 10.0, 33, False)], "raster_id int, x0 double, y0 double, dx double, dy double, zone int, south boolean")
+    for block in (3, 256):
+        regions = connected_regions(px, block)
+        table = region_table(regions, 10.0)
+        got = region_polygons(regions, table, geo, 0.0, block)
+        back = got.withColumn("u", to_utm("lon", "lat", F.lit(33))).select("region", "ring", "hole", "vtx", "u.x", "u.y").collect()
+        corners = {}
+        for r in sorted(back, key=lambda r: r["vtx"]):
+            corners.setdefault((r["region"], r["ring"], r["hole"]), []).append((round((r["x"] - 500000) / 10, 5), round((4649776 - r["y"]) / 10, 5)))
+        outer = {(0.0, 0.0), (8.0, 0.0), (8.0, 6.0), (0.0, 6.0)}
+        inner = {(2.0, 2.0), (5.0, 2.0), (5.0, 4.0), (2.0, 4.0)}
+        assert sorted((hole, sorted(set(v))) for (_, _, hole), v in corners.items()) == sorted([(False, sorted(outer)), (True, sorted(inner)), (False, sorted(inner))])
+        assert all(v[0] == v[-1] and len(v) == 5 for v in corners.values())
+        shapes = {r["pixel_count"]: r["coordinates"] for r in polygon_features(got, table).collect()}
+        assert {n: len(c) for n, c in shapes.items()} == {42: 2, 6: 1}
+
+
