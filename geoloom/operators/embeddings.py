@@ -331,6 +331,15 @@ def zero_shot(patches: DataFrame, anchors: DataFrame, scale: float) -> DataFrame
                         F.array_max("probs").alias("confidence"), "class_ids", "probs")
 
 
+def zero_shot_image(whole: DataFrame, anchors: DataFrame, scale: float) -> DataFrame:
+    """K12. Class of each raster as a whole, by softmax over the cosines of its one vector.
+
+    ``whole``: ``raster_id embedding``, the image-level vector, or the mean of its patches where a model has none.
+    """
+    probs = score_prototypes(whole, anchors).withColumn("probs", V.softmax(F.col("cosines"), scale))
+    return probs.select(KEY, F.get("class_ids", V.argmax(F.col("probs"))).alias("class_id"), F.array_max("probs").alias("confidence"), "class_ids", "probs")
+
+
 def zero_shot_summary(labelled: DataFrame, low: float = 0.3) -> DataFrame:
     """D20. Share, mean confidence and count per class, with the raster's totals."""
     per = labelled.groupBy(KEY, "class_id").agg(

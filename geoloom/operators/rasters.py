@@ -20,15 +20,25 @@ def ndvi(red: Column, nir: Column) -> Column:
     return F.when(nir + red > 0, (nir - red) / (nir + red))
 
 
-def raster_profile(px: DataFrame, value: str, nodata: float | None = None) -> DataFrame:
-    """A7. Size, extent and value range per raster."""
+def raster_profile(px: DataFrame, value: str, nodata: float | None = None, bands: Sequence[str] | None = None, geo: DataFrame | None = None) -> DataFrame:
+    """A7. Size, type, nodata, bands and value range per raster; bounds and resolution where ``geo`` has its corner and pixel size.
+
+    ``geo``: ``raster_id west north dx dy`` in degrees.
+    """
+    names = list(bands or [value])
     v = F.col(value)
     valid = v if nodata is None else F.when(v != nodata, v)
-    return px.groupBy(KEY).agg(
+    got = px.groupBy(KEY).agg(
         (F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"),
         F.count(F.lit(1)).alias("n_pixels"), F.count(valid).alias("n_valid"),
         F.min(valid).alias("min_value"), F.max(valid).alias("max_value"),
-    )
+    ).withColumns({"bands": F.lit(len(names)), "band_names": F.lit(",".join(names)), "dtype": F.lit(px.schema[value].dataType.simpleString()),
+                   "nodata": F.lit(nodata).cast("double")})
+    if geo is None:
+        return got
+    return (got.join(geo.select(KEY, "west", "north", "dx", "dy"), KEY)
+            .withColumns({"east": F.col("west") + F.col("width") * F.col("dx"), "south": F.col("north") - F.col("height") * F.col("dy")})
+            .withColumnsRenamed({"dx": "res_x", "dy": "res_y"}))
 
 
 def raster_size(px: DataFrame, keys: Sequence[str] = (KEY,)) -> DataFrame:
@@ -395,10 +405,13 @@ def stitch(chunks: DataFrame, grid: DataFrame, gsd: float) -> DataFrame:
 
 
 def render_tiles(px: DataFrame, geo: DataFrame, zoom: int, tile_px: int = 256) -> DataFrame:
-    """K17. Nearest-sampled XYZ tile pixels of every raster.
+    """K17. Nearest-sampled XYZ tile pixels of every raster, those outside it with null values.
 
-    ``geo`` holds ``raster_id west north dx dy height width`` in degrees. Tile
-    pixels are generated per raster and meet the raster on ``(raster_id, r, c)``.
+    ``geo`` holds ``raster_id west north dx dy height width`` in degrees. Tiles
+    are listed per raster and spread over the cluster before their pixels are
+    made, so one large raster is not one task; pixels meet the raster on
+    ``(raster_id, r, c)``. Colours follow from ``class_rgba``, ``colormap_rgba``
+    or ``rgb_rgba``.
     """
     from geoloom.functions.geo import lonlat_to_rc, lonlat_to_tile
 
@@ -407,9 +420,9 @@ def render_tiles(px: DataFrame, geo: DataFrame, zoom: int, tile_px: int = 256) -
     rb = lonlat_to_tile(F.col("west") + F.col("dx") * F.col("width"),
                         F.col("north") - F.col("dy") * F.col("height"), zoom)
     steps = F.sequence(F.lit(0), F.lit(tile_px - 1))
-    cells = (geo.withColumn("x", F.explode(F.sequence(lt["x"], rb["x"])))
-             .withColumn("y", F.explode(F.sequence(lt["y"], rb["y"])))
-             .withColumn("py", F.explode(steps)).withColumn("px", F.explode(steps))
+    tiles = (geo.withColumn("x", F.explode(F.sequence(lt["x"], rb["x"]))).withColumn("y", F.explode(F.sequence(lt["y"], rb["y"])))
+             .repartition(KEY, "x", "y"))
+    cells = (tiles.withColumn("py", F.explode(steps)).withColumn("px", F.explode(steps))
              .withColumn("_lon", (F.col("x") + (F.col("px") + 0.5) / tile_px) / n * 360 - 180)
              .withColumn("_lat", F.degrees(F.atan(F.sinh(
                  math.pi * (1 - 2 * (F.col("y") + (F.col("py") + 0.5) / tile_px) / n)))))
@@ -417,7 +430,26 @@ def render_tiles(px: DataFrame, geo: DataFrame, zoom: int, tile_px: int = 256) -
              .withColumn("_at", lonlat_to_rc(
                  "_lon", "_lat", F.col("west") + F.col("dx") / 2, F.col("north") - F.col("dy") / 2,
                  "dx", "dy", "height", "width"))
-             .where(~F.col("_at.outside"))
-             .select(KEY, F.lit(zoom).alias("z"), "x", "y", "py", "px",
-                     F.col("_at.r").alias("r"), F.col("_at.c").alias("c")))
+             .select(KEY, F.lit(zoom).alias("z"), "x", "y", "py", "px", F.col("_at.outside").alias("outside"),
+                     F.when(~F.col("_at.outside"), F.col("_at.r")).alias("r"), F.when(~F.col("_at.outside"), F.col("_at.c")).alias("c")))
     return cells.join(px, [KEY, "r", "c"], "left")
+
+
+def stretch_uint8(px: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:
+    """J4. Bands of each raster as whole numbers of 0 to 255.
+
+    A raster whose largest value is 1 or less is scaled by 255; any other from
+    the 2nd to the 98th percentile of its positive values, all bands together.
+    """
+    keys = list(keys)
+    top = px.groupBy(*keys).agg(F.max(F.greatest(*[F.col(b) for b in bands]) if len(bands) > 1 else F.col(bands[0])).alias("_top"))
+    long = px.select(*keys, F.explode(F.array(*[F.col(b).cast("double") for b in bands])).alias("_v")).where("_v > 0")
+    cut = exact_stats(long, keys, "_v", {"_lo": 0.02, "_hi": 0.98}).select(*keys, "_lo", "_hi")
+    met = px.join(top, keys).join(cut, keys, "left")
+    lo, hi = F.coalesce("_lo", F.lit(0.0)), F.coalesce("_hi", F.lit(255.0))
+
+    def level(b: str) -> Column:
+        spread = F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col(b) - lo) / (hi - lo + 1e-8) * 255))
+        return F.when(F.col("_top") <= 1, F.col(b) * 255).otherwise(spread).cast("int")
+
+    return met.withColumns({b: level(b) for b in bands}).drop("_top", "_lo", "_hi")

@@ -28,6 +28,8 @@ def search_scenes(scenes: DataFrame, bbox: tuple, start, end, collections: Seque
     n = max(1, limit if max_limit is None else min(limit, max_limit))
     matched = hits.agg(F.count(F.lit(1)).alias("matched"))
     page = hits.orderBy(F.desc("dt"), F.asc("scene_id")).limit(n)
+    if "assets" in scenes.columns:
+        page = page.withColumns({"assets": F.array_sort("assets"), "n_assets": F.size("assets")})
     return page.withColumn("matched", matched.scalar())
 
 

@@ -37,10 +37,10 @@ def gradient(t: Tables):
 
 
 @query("J3", "class_color", f"""SELECT raster_id, r, c, CASE WHEN class_id < 0 THEN 0 ELSE CAST(concat('0x', substr(color, 2, 2)) AS INT) END AS red,
+  CASE WHEN class_id < 0 THEN 0 ELSE CAST(concat('0x', substr(color, 4, 2)) AS INT) END AS green, CASE WHEN class_id < 0 THEN 0 ELSE CAST(concat('0x', substr(color, 6, 2)) AS INT) END AS blue,
   CASE WHEN class_id < 0 THEN 0 ELSE 210 END AS alpha FROM fx_class LEFT JOIN {values_sql([(a, d) for a, _, d in LEGEND])} lg(k, color) ON k = least(class_id, 3)""")
 def class_color(t: Tables):
-    return t.fx_class.select("raster_id", "r", "c", C.class_rgba(F.col("class_id"), PALETTE).alias("x")).select(
-        "raster_id", "r", "c", "x.red", "x.alpha")
+    return t.fx_class.select("raster_id", "r", "c", C.class_rgba(F.col("class_id"), PALETTE).alias("x")).select("raster_id", "r", "c", "x.*")
 
 
 @query("J4", "stretch", """WITH b AS (SELECT scene_id, quantile_cont(b08, 0.02) AS lo, quantile_cont(b08, 0.98) AS hi FROM fx_px WHERE b08 <> 0 GROUP BY 1),
@@ -53,29 +53,46 @@ def stretch(t: Tables):
     return got.groupBy("scene_id", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("J5", "fade_to_white", "SELECT pid, CAST(floor(34 * confidence + 255 * (1 - confidence)) AS INT) AS red FROM fx_point")
+@query("J4", "stretch_uint8", """WITH p AS (SELECT scene_id, r, c, month, CASE WHEN scene_id % 4 = 0 THEN b04 / 6000 ELSE b04 END AS a, CASE WHEN scene_id % 4 = 0 THEN b08 / 12000 ELSE b08 END AS b FROM fx_px),
+m AS (SELECT scene_id, max(greatest(a, b)) AS top FROM p GROUP BY 1), l AS (SELECT scene_id, a AS v FROM p WHERE a > 0 UNION ALL SELECT scene_id, b FROM p WHERE b > 0),
+k AS (SELECT scene_id, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM l GROUP BY 1),
+o AS (SELECT scene_id, CASE WHEN top <= 1 THEN floor(a * 255) ELSE floor(least(255, greatest(0, (a - lo) / (hi - lo + 1e-8) * 255))) END AS x,
+  CASE WHEN top <= 1 THEN floor(b * 255) ELSE floor(least(255, greatest(0, (b - lo) / (hi - lo + 1e-8) * 255))) END AS y FROM p JOIN m USING (scene_id) JOIN k USING (scene_id))
+SELECT scene_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, count(*) AS n FROM o GROUP BY ALL""")
+def stretch_uint8(t: Tables):
+    small = F.col("scene_id") % 4 == 0
+    px = t.fx_px.select("scene_id", F.when(small, F.col("b04") / 6000).otherwise(F.col("b04")).alias("x"), F.when(small, F.col("b08") / 12000).otherwise(F.col("b08")).alias("y"))
+    return R.stretch_uint8(px, ["scene_id"], ["x", "y"]).groupBy("scene_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("J5", "fade_to_white", "SELECT pid, " + ", ".join(f"CAST(floor({v} * confidence + 255 * (1 - confidence)) AS INT) AS {n}" for v, n in ((34, "red"), (139, "green"), (200, "blue"))) + " FROM fx_point")
 def fade_to_white(t: Tables):
-    return t.fx_point.select("pid", C.fade_to_white(F.lit(34), F.col("confidence")).alias("red"))
+    return t.fx_point.select("pid", *[C.fade_to_white(F.lit(v), F.col("confidence")).alias(n) for v, n in ((34, "red"), (139, "green"), (200, "blue"))])
 
 
-def _heads(t: Tables):
-    """One head per brand with a class per part size; brands of even length publish the first colours."""
-    return t.part.groupBy("p_brand").agg(F.count_distinct("p_size").cast("int").alias("num_classes"))
+_MAPS = list(C.COLORMAPS)
+_MAP_STOPS = values_sql([(m, i, p0, p1, *C.rgb_of(c0), *C.rgb_of(c1)) for m, (_, stops) in C.COLORMAPS.items()
+                         for i, ((c0, p0), (c1, p1)) in enumerate(zip(stops, stops[1:]))]) + " AS st(map, i, p0, p1, r0, g0, b0, r1, g1, b1)"
+_MAP_LABELS = values_sql([(m, label, ", ".join(f"{c} {p}" for c, p in stops)) for m, (label, stops) in C.COLORMAPS.items()]) + " AS ml(map, label, stops)"
 
 
-@query("J6", "legend", f"""WITH h AS (SELECT p_brand, CAST(count(DISTINCT p_size) AS INT) AS n FROM part GROUP BY 1),
-k AS (SELECT p_brand, n, CAST(unnest(range(n)) AS INT) AS idx FROM h), x AS (SELECT *, idx / greatest(1, n - 1) AS x FROM k),
-m AS (SELECT p_brand, idx, n, x, {_mix('x')} FROM x, {_STOPS_SQL} WHERE x >= p0 AND x <= p1 QUALIFY row_number() OVER (PARTITION BY p_brand, idx ORDER BY i) = 1)
-SELECT p_brand, idx AS index, CASE WHEN length(p_brand) % 2 = 0 AND idx < 4 THEN list_extract({[d for _, _, d in LEGEND]}, idx + 1)
-  ELSE lower(printf('#%02x%02x%02x', red, green, blue)) END AS color FROM m""")
+@query("J6", "legend", f"""WITH h AS (SELECT p_brand, CAST(count(DISTINCT p_size) AS INT) AS n, list_extract({_MAPS}, CAST(sum(p_size) % 7 AS INT) + 1) AS map, CAST(substr(p_brand, length(p_brand), 1) AS INT) AS last, sum(p_size) AS total FROM part GROUP BY 1),
+k AS (SELECT p_brand, n, map, last, CAST(unnest(range(n)) AS INT) AS idx FROM h WHERE last <> 5), x AS (SELECT *, idx / greatest(1, n - 1) AS x FROM k),
+m AS (SELECT p_brand, idx, n, last, {_mix('x')} FROM x JOIN {_MAP_STOPS} USING (map) WHERE x >= p0 AND x <= p1 QUALIFY row_number() OVER (PARTITION BY p_brand, idx ORDER BY i) = 1)
+SELECT p_brand, 'classification' AS kind, idx AS index, CASE WHEN last % 2 = 0 AND idx < 4 THEN list_extract({[d for _, _, d in LEGEND]}, idx + 1)
+  ELSE lower(printf('#%02x%02x%02x', red, green, blue)) END AS color, NULL::VARCHAR AS label, NULL::VARCHAR AS stops, NULL::VARCHAR AS units, NULL::DOUBLE AS value FROM m
+UNION ALL SELECT p_brand, 'regression', NULL, NULL, label, stops, '%', CAST(total AS DOUBLE) FROM h JOIN {_MAP_LABELS} USING (map) WHERE last = 5""")
 def legend(t: Tables):
-    n = F.col("num_classes")
-    rows = _heads(t).withColumn("index", F.explode(F.sequence(F.lit(0), n - 1)))
-    g = C.gradient(F.col("index") / F.greatest(F.lit(1), n - 1))
-    published = F.when((F.length("p_brand") % 2 == 0) & (F.col("index") < 4),
-                       F.get(F.array(*[F.lit(c) for c in PALETTE]), F.col("index")))
-    return rows.withColumn("g", g).select("p_brand", "index", F.coalesce(
-        published, C.rgb_to_hex(F.col("g.red"), F.col("g.green"), F.col("g.blue"))).alias("color"))
+    """A row per class of a classification head, and one with label, stops, units and value of a regression head."""
+    heads = t.part.groupBy("p_brand").agg(F.count_distinct("p_size").cast("int").alias("num_classes"), F.sum("p_size").alias("total"))
+    heads = heads.withColumns({"map": F.get(F.array(*[F.lit(m) for m in _MAPS]), (F.col("total") % 7).cast("int")), "last": F.substring("p_brand", -1, 1).cast("int")})
+    classes = heads.where("last <> 5").withColumn("published", F.when(F.col("last") % 2 == 0, F.array(*[F.lit(c) for c in PALETTE])))
+    named = C.class_legend(classes, "map", "num_classes", "published")
+    rest = C.regression_legend(heads.where("last = 5").withColumns({"units": F.lit("%"), "value": F.col("total").cast("double")}), "map")
+    empty = {c: F.lit(None).cast(k) for c, k in (("label", "string"), ("stops", "string"), ("units", "string"), ("value", "double"))}
+    a = named.withColumns({"kind": F.lit("classification"), **empty}).select("p_brand", "kind", "index", "color", "label", "stops", "units", "value")
+    b = rest.withColumns({"kind": F.lit("regression"), "index": F.lit(None).cast("int"), "color": F.lit(None).cast("string")}).select(a.columns)
+    return a.unionByName(b)
 
 
 # Names that are default tags, custom tags and others; the colours are written out as the labelling page has them.

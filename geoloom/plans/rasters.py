@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from geoloom.fixtures import Tables, values_sql
-from geoloom.functions.color import class_rgba
+from geoloom.functions.color import class_rgba, colormap_rgba, rgb_rgba
 from geoloom.operators import rasters as R
 from geoloom.registry import query
 
@@ -39,10 +39,13 @@ def r6(*names: str):
 SELECT raster_id, max(r) + 1 AS height, max(c) + 1 AS width, count(*) AS n_pixels,
        count(*) FILTER (WHERE class_id <> -1) AS n_valid,
        min(class_id) FILTER (WHERE class_id <> -1) AS min_value,
-       max(class_id) FILTER (WHERE class_id <> -1) AS max_value
+       max(class_id) FILTER (WHERE class_id <> -1) AS max_value,
+       2 AS bands, 'class_id,scalar' AS band_names, 'int' AS dtype, CAST(-1 AS DOUBLE) AS nodata, CAST(10 + raster_id AS DOUBLE) AS west, CAST(45 AS DOUBLE) AS north,
+       CAST(0.02 AS DOUBLE) AS res_x, CAST(0.02 AS DOUBLE) AS res_y, round(10 + raster_id + (max(c) + 1) * 0.02::DOUBLE, 6) AS east, round(45 - (max(r) + 1) * 0.02::DOUBLE, 6) AS south
 FROM fx_class GROUP BY raster_id""")
 def raster_profile(t: Tables):
-    return R.raster_profile(t.fx_class, "class_id", -1)
+    got = R.raster_profile(t.fx_class, "class_id", -1, ["class_id", "scalar"], _tile_geo(t))
+    return got.withColumns({"east": F.round("east", 6), "south": F.round("south", 6)})
 
 
 @query("B5", "valid_pixels", """
@@ -217,14 +220,15 @@ def ndvi(t: Tables):
 
 
 @query("C6", "mask_by_class", """
-WITH dims AS (SELECT raster_id, max(r) + 1 AS h, max(c) + 1 AS w FROM fx_class GROUP BY 1)
+WITH dims AS (SELECT raster_id, max(r) + 1 AS h, max(c) + 1 AS w FROM fx_class GROUP BY 1), nr AS (SELECT max(raster_id) + 1 AS k FROM dims)
 SELECT p.scene_id, count(*) AS n, count(*) FILTER (WHERE k.class_id IN (0, 2)) AS n_kept
-FROM fx_px p LEFT JOIN dims d ON d.raster_id = p.scene_id % 2
+FROM fx_px p JOIN nr ON true LEFT JOIN dims d ON d.raster_id = p.scene_id % nr.k
 LEFT JOIN fx_class k ON k.raster_id = d.raster_id AND k.r = least(CAST(floor(p.r * d.h / 64) AS INT), d.h - 1)
   AND k.c = least(CAST(floor(p.c * d.w / 64) AS INT), d.w - 1)
 GROUP BY p.scene_id""")
 def mask_by_class(t: Tables):
-    px = t.fx_px.withColumn("raster_id", (F.col("scene_id") % 2).cast("int"))
+    rasters = t.fx_class.agg((F.max("raster_id") + 1).alias("k")).scalar()
+    px = t.fx_px.withColumn("raster_id", (F.col("scene_id") % rasters).cast("int"))
     got = R.mask_by_class(px, t.fx_class, [0, 2], 64, 64)
     return got.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_class").alias("n_kept"))
 
@@ -325,12 +329,12 @@ def present_classes(t: Tables):
 
 @query("D28", "class_rows", f"""
 SELECT lg.class_id, lg.name, lg.color, s.score, s.score IS NOT NULL AS present
-FROM {LEGEND_SQL} LEFT JOIN (SELECT class_id, round(avg(scalar), 6) AS score FROM fx_class
-  WHERE class_id IN (0, 2, 3, 7) GROUP BY 1) s USING (class_id)""")
+FROM {values_sql([*LEGEND, (55, "Glacier", "#ffffff")])} AS lg(class_id, name, color) LEFT JOIN (SELECT class_id, round(avg(scalar), 6) AS score FROM fx_class
+  GROUP BY 1) s USING (class_id)""")
 def class_rows(t: Tables):
-    scores = (t.fx_class.where(F.col("class_id").isin(0, 2, 3, 7)).groupBy("class_id")
-              .agg(F.round(F.avg("scalar"), 6).alias("score")))
-    return R.class_rows(legend_dim(t), scores)
+    """All pixels are read; the legend has one class more than the rasters."""
+    scores = t.fx_class.groupBy("class_id").agg(F.round(F.avg("scalar"), 6).alias("score"))
+    return R.class_rows(t.values("class_id, name, color", [*LEGEND, (55, "Glacier", "#ffffff")]), scores)
 
 
 @query("D22", "band_stretch_bounds", """
@@ -424,15 +428,30 @@ p AS (SELECT t.*, xx AS x, yy AS y, CAST(i AS INT) AS py, CAST(j AS INT) AS px,
         degrees(atan(sinh(pi() * (1 - 2 * (yy + (i + 0.5) / 16) / 1024)))) AS lat
       FROM (SELECT *, CAST(unnest(range(x0, x1 + 1)) AS INT) AS xx FROM t) t, LATERAL (SELECT CAST(unnest(range(y0, y1 + 1)) AS INT) AS yy), range(16) a(i), range(16) b(j)),
 s AS (SELECT raster_id, x, y, py, px, h, w, CAST(round_even((north - 0.01::DOUBLE - lat) / 0.02::DOUBLE, 0) AS INT) AS r,
-        CAST(round_even((lon - west - 0.01::DOUBLE) / 0.02::DOUBLE, 0) AS INT) AS c FROM p)
-SELECT s.raster_id, x, y, py, px, r, c, class_id,
-  CASE WHEN class_id < 0 THEN 0 WHEN class_id = 0 THEN 34 WHEN class_id = 1 THEN 240 WHEN class_id = 2 THEN 128 ELSE 30 END AS red,
-  CASE WHEN class_id < 0 THEN 0 ELSE 210 END AS alpha
-FROM s JOIN fx_class USING (raster_id, r, c) WHERE r < h AND c < w AND r >= 0 AND c >= 0""")
+        CAST(round_even((lon - west - 0.01::DOUBLE) / 0.02::DOUBLE, 0) AS INT) AS c FROM p),
+u AS (SELECT s.*, r < h AND c < w AND r >= 0 AND c >= 0 AS inside FROM s),
+v AS (SELECT u.raster_id, x, y, py, px, NOT inside AS outside, class_id, scalar, CASE WHEN scalar IS NOT NULL THEN least(1, greatest(0, (scalar - 1000) / 800)) END AS q FROM u LEFT JOIN fx_class f ON inside AND f.raster_id = u.raster_id AND f.r = u.r AND f.c = u.c),
+gr AS (SELECT v.*, CASE WHEN q <= 0.5 THEN floor(15 + q / 0.5::DOUBLE * 84) ELSE floor(99 + (q - 0.5) / 0.5::DOUBLE * 146) END AS g_red,
+  CASE WHEN q <= 0.5 THEN floor(23 + q / 0.5::DOUBLE * 79) ELSE floor(102 + (q - 0.5) / 0.5::DOUBLE * 56) END AS g_green,
+  CASE WHEN q <= 0.5 THEN floor(42 + q / 0.5::DOUBLE * 199) ELSE floor(241 + (q - 0.5) / 0.5::DOUBLE * -230) END AS g_blue FROM v)
+SELECT raster_id, x, y, py, px, outside, class_id,
+  CASE WHEN class_id IS NULL OR class_id < 0 THEN 0 WHEN class_id = 0 THEN 34 WHEN class_id = 1 THEN 240 WHEN class_id = 2 THEN 128 ELSE 30 END AS red,
+  CASE WHEN class_id IS NULL OR class_id < 0 THEN 0 WHEN class_id = 0 THEN 139 WHEN class_id = 1 THEN 230 WHEN class_id = 2 THEN 128 ELSE 144 END AS green,
+  CASE WHEN class_id IS NULL OR class_id < 0 THEN 0 WHEN class_id = 0 THEN 34 WHEN class_id = 1 THEN 140 WHEN class_id = 2 THEN 128 ELSE 255 END AS blue,
+  CASE WHEN class_id IS NULL OR class_id < 0 THEN 0 ELSE 210 END AS alpha,
+  CAST(coalesce(g_red, 0) AS INT) AS g_red, CAST(coalesce(g_green, 0) AS INT) AS g_green, CAST(coalesce(g_blue, 0) AS INT) AS g_blue, CASE WHEN scalar IS NULL THEN 0 ELSE 210 END AS g_alpha,
+  CASE WHEN outside OR class_id IS NULL THEN 0 ELSE (class_id + 5) % 7 END AS c_red, CASE WHEN outside OR class_id IS NULL THEN 0 ELSE 200 END AS c_green,
+  CASE WHEN outside OR class_id IS NULL THEN 0 ELSE CAST(floor(scalar / 10) AS INT) END AS c_blue, CASE WHEN outside OR class_id IS NULL THEN 0 ELSE 230 END AS c_alpha
+FROM gr""")
 def render_tiles(t: Tables):
-    geo = (R.raster_size(t.fx_class).withColumn("west", 10 + F.col("raster_id").cast("double"))
-           .withColumn("north", F.lit(45.0)).withColumn("dx", F.lit(0.02)).withColumn("dy", F.lit(0.02)))
-    got = R.render_tiles(t.fx_class.drop("scalar"), geo, 10, 16)
-    rgba = class_rgba(F.col("class_id"), PALETTE)
-    return got.select("raster_id", "x", "y", "py", "px", "r", "c", "class_id",
-                      rgba["red"].alias("red"), rgba["alpha"].alias("alpha"))
+    """Every tile pixel as a class, as a gradient of the scalar, and as three channels."""
+    got = R.render_tiles(t.fx_class, _tile_geo(t), 10, 16)
+    kinds = {"": class_rgba(F.col("class_id"), PALETTE), "g_": colormap_rgba(F.lit("embedding"), (F.col("scalar") - 1000) / 800),
+             "c_": rgb_rgba((F.col("class_id") + 5) % 7, F.when(F.col("class_id").isNotNull(), 200), F.floor(F.col("scalar") / 10))}
+    return got.select("raster_id", "x", "y", "py", "px", "outside", "class_id", *[
+        rgba[n].alias(f"{k}{n}") for k, rgba in kinds.items() for n in ("red", "green", "blue", "alpha")])
+
+
+def _tile_geo(t: Tables):
+    return (R.raster_size(t.fx_class).withColumn("west", 10 + F.col("raster_id").cast("double"))
+            .withColumn("north", F.lit(45.0)).withColumn("dx", F.lit(0.02)).withColumn("dy", F.lit(0.02)))

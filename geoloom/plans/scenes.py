@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from geoloom.fixtures import Tables, values_sql
@@ -21,12 +23,14 @@ ALIASES = [("blue", "B02"), ("green", "B03"), ("red", "B04"), ("nir", "B08"), ("
 
 
 @query("B1", "search_scenes", """
-SELECT *, count(*) OVER () AS matched FROM fx_scene
+SELECT *, CASE WHEN scene_id % 2 = 0 THEN 'B02,B04,thumbnail' ELSE 'B04,visual' END AS assets, CASE WHEN scene_id % 2 = 0 THEN 3 ELSE 2 END AS n_assets, count(*) OVER () AS matched FROM fx_scene
 WHERE west <= 60 AND east >= -60 AND south <= 50 AND north >= -50 AND dt BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'
   AND collection IN ('sentinel-2-l2a') AND cloud_cover < 20 ORDER BY dt DESC, scene_id LIMIT 500""")
 def search_scenes(t: Tables):
-    return S.search_scenes(t.fx_scene, (-60.0, -50.0, 60.0, 50.0), F.lit("1996-01-01").cast("date"),
+    scenes = t.fx_scene.withColumn("assets", F.when(F.col("scene_id") % 2 == 0, F.array(F.lit("thumbnail"), F.lit("B04"), F.lit("B02"))).otherwise(F.array(F.lit("visual"), F.lit("B04"))))
+    found = S.search_scenes(scenes, (-60.0, -50.0, 60.0, 50.0), F.lit("1996-01-01").cast("date"),
                            F.lit("1999-12-31").cast("date"), ["sentinel-2-l2a"], 20.0, 500)
+    return found.withColumn("assets", F.array_join("assets", ","))
 
 
 @query("C1", "scenes_for_aois", """
@@ -256,7 +260,7 @@ def _utm_sql(lon: str, lat: str, zone: str) -> tuple[str, str]:
 def _grid_sql() -> str:
     corners = [_utm_sql(x, y, "zone") for x in ("west", "east") for y in ("south", "north")]
     xs, ys = ", ".join(c[0] for c in corners), ", ".join(c[1] for c in corners)
-    return f"""WITH b AS (SELECT pid, lon AS west, lat AS south, lon + 0.05::DOUBLE AS east, lat + 0.03::DOUBLE AS north FROM fx_point WHERE abs(lat) < 80),
+    return f"""WITH b AS (SELECT pid, lon AS west, lat AS south, lon + 0.05::DOUBLE AS east, lat + 0.03::DOUBLE AS north FROM fx_point),
 z AS (SELECT *, CAST(least(60, greatest(1, floor(((west + east) / 2 + 180) / 6) + 1)) AS INT) AS zone FROM b),
 u AS (SELECT pid, zone, least({xs}) AS x0, greatest({xs}) AS x1, least({ys}) AS y0, greatest({ys}) AS y1 FROM z),
 n AS (SELECT *, CAST(greatest(1, round_even(abs(x1 - x0) / 10, 0)) AS INT) AS w, CAST(greatest(1, round_even(abs(y1 - y0) / 10, 0)) AS INT) AS h FROM u)
@@ -265,7 +269,7 @@ SELECT pid, zone, greatest(4, w - w % 4) AS width, greatest(4, h - h % 4) AS hei
 
 @query("E3", "resolve_grid", _grid_sql())
 def resolve_grid(t: Tables):
-    sites = t.fx_point.where("abs(lat) < 80").select(
+    sites = t.fx_point.select(
         "pid", F.col("lon").alias("west"), F.col("lat").alias("south"),
         (F.col("lon") + 0.05).alias("east"), (F.col("lat") + 0.03).alias("north"))
     return G.resolve_grid(sites, 10.0, 4).select("pid", "zone", "width", "height", *[
@@ -319,7 +323,8 @@ def enrich_env(t: Tables):
 @query("C17", "sample_pixels_at", """
 WITH tile AS (SELECT CAST(floor(c / 16.0) AS INT) AS x, CAST(floor((raster_id * 20 + r) / 16.0) AS INT) AS y, c % 16 AS px,
   (raster_id * 20 + r) % 16 AS py, class_id FROM fx_class),
-f AS (SELECT pid, (lon + 180) / 360 * 4 AS fx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4 AS fy FROM fx_point),
+z AS (SELECT pow(2, greatest(2, ceil(log2((max(raster_id) + 1) * 20 / 16.0)))) AS n FROM fx_class),
+f AS (SELECT pid, (lon + 180) / 360 * n AS fx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * n AS fy FROM fx_point JOIN z ON true),
 p AS (SELECT pid, CAST(floor(fx) AS INT) AS x, CAST(floor(fy) AS INT) AS y, CAST(floor((fx - floor(fx)) * 16) AS INT) AS px,
         CAST(floor((fy - floor(fy)) * 16) AS INT) AS py FROM f)
 SELECT pid, x, y, px, py, class_id FROM p LEFT JOIN tile USING (x, y, px, py)""")
@@ -328,7 +333,10 @@ def sample_pixels_at(t: Tables):
     tiles = t.fx_class.select(
         F.floor(F.col("c") / 16).cast("int").alias("x"), F.floor(row / 16).cast("int").alias("y"),
         (F.col("c") % 16).alias("px"), (row % 16).alias("py"), "class_id")
-    return G.sample_pixels_at(t.fx_point, tiles, 2, 16).select("pid", "x", "y", "px", "py", "class_id")
+    # the zoom at which the tiles reach every raster
+    (last,) = t.fx_class.agg(F.max("raster_id")).first()
+    zoom = max(2, math.ceil(math.log2((last + 1) * 20 / 16)))
+    return G.sample_pixels_at(t.fx_point, tiles, zoom, 16).select("pid", "x", "y", "px", "py", "class_id")
 
 
 _ANCHORS = [(0, 34, 139, 34), (1, 240, 230, 140), (2, 128, 128, 128), (3, 30, 144, 255)]

@@ -300,6 +300,15 @@ def zero_shot(t: Tables):
     return _zero_shot(t).select("raster_id", "r", "c", "class_id", *r6("confidence"))
 
 
+@query("K12", "zero_shot_image", f"""WITH {_G}, {_LABELS}, {_USED}, {_PROTO}, {_ANCHOR}, vd AS (SELECT * FROM g WHERE NOT nodata), w AS {mean_sql('vd', 'raster_id', 'e')},
+sc AS (SELECT w.raster_id, class_id, {cos_sql('e', 'p')} AS cosine FROM w JOIN an ON an.raster_id = w.raster_id),
+ex AS (SELECT *, exp((cosine - max(cosine) OVER (PARTITION BY raster_id)) * 20) AS x FROM sc), pb AS (SELECT raster_id, class_id, x / sum(x) OVER (PARTITION BY raster_id) AS prob FROM ex)
+SELECT raster_id, class_id, round(prob, 6) AS confidence FROM pb QUALIFY row_number() OVER (PARTITION BY raster_id ORDER BY prob DESC, class_id) = 1""")
+def zero_shot_image(t: Tables):
+    whole = t.fx_grid.where("not nodata").groupBy("raster_id").agg(V.mean_vector(F.col("embedding")).alias("embedding"))
+    return M.zero_shot_image(whole, anchors(t), 20.0).select("raster_id", "class_id", *r6("confidence"))
+
+
 @query("D20", "zeroshot_summary", f"""WITH {_G}, {_LABELS}, {_USED}, {_PROTO}, {_ANCHOR}, {_PROB}
 SELECT raster_id, class_id, count(*) AS pixel_count, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER w * 100, 1) AS percentage,
  round(avg(prob), 3) AS avg_confidence, round(sum(sum(prob)) OVER w / sum(count(*)) OVER w, 3) AS global_confidence,
