@@ -23,7 +23,7 @@ from geoloom.llm.common import fresh, keep
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times its size that a source or a document is taken
-LEAF = 20_000  # documents of a leaf, and leaves of a node of the tree, about
+LEAF = 2_000  # documents of a leaf, and leaves of a node of the tree, about
 SEED = 17
 
 
