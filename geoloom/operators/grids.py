@@ -60,8 +60,13 @@ def resolve_grid(aois: DataFrame, gsd: float = 10.0, patch: int = 1) -> DataFram
 
 
 def project_coverage(aois: DataFrame, regions: DataFrame, cell_deg: float = 10.0) -> DataFrame:
-    """C13. Regions that overlap each area; region columns come out as ``r_*``."""
-    return cell_join(aois, regions, cell_deg, salts=1)
+    """C13. Regions that overlap each area; region columns come out as ``r_*``.
+
+    The areas are the many: they are the salted side, so a crowded cell spreads
+    over tasks, and the regions are copied.
+    """
+    met = cell_join(regions, aois, cell_deg)
+    return met.select(*[F.col(f"r_{c}").alias(c) for c in aois.columns], *[F.col(c).alias(f"r_{c}") for c in regions.columns])
 
 
 def off_distribution(requests: DataFrame, regions: DataFrame) -> DataFrame:

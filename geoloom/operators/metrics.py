@@ -75,3 +75,22 @@ def stable_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """H1. ``n`` rows by a salted hash of their key: the same ones whatever the row order."""
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)))
     return df.withColumn("_d", draw).orderBy("_d", key).limit(n).drop("_d")
+
+
+def eval_labels(points: DataFrame, tiles: DataFrame, anchors: list[tuple[int, int, int, int]], n: int, zoom: int,
+                tile_px: int = 256, seed: int = 0, ignore: Sequence[int] = (0,)) -> DataFrame:
+    """K20. Rendered tiles judged at ``n`` reference points, the same ones for a seed.
+
+    ``points``: ``pid lon lat ref``; ``tiles``: ``x y px py red green blue``. A
+    point takes the colour of its tile pixel (C17), the colour its nearest
+    legend class (C18), and the pairs give precision, recall, F1 and IoU per
+    class (D13-D15). Points without a pixel are counted as ``n_unmapped`` and judged no further.
+    """
+    from geoloom.operators.grids import nearest_color_class, sample_pixels_at
+
+    seen = sample_pixels_at(stable_sample(points, "pid", n, seed), tiles, zoom, tile_px)
+    pred = nearest_color_class(seen, anchors).withColumn("pred", F.when(F.col("red").isNotNull(), F.col("class_id")))
+    conf = confusion(pred, ignore)
+    counts = pred.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(F.col("pred").isNull()).alias("n_unmapped"))
+    rows = prf_metrics(conf).join(iou_metrics(conf).select("class_id", "iou", "miou"), "class_id")
+    return rows.withColumns({"n_sampled": counts.select("n_sampled").scalar(), "n_unmapped": counts.select("n_unmapped").scalar()})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from geoloom.fixtures import Tables, values_sql
@@ -322,10 +324,33 @@ def worst_best(t: Tables):
     return Q.worst_best_classes(Q.iou_metrics(Q.confusion(t.fx_refpred)).withColumn("iou", F.round("iou", 6)), 3)
 
 
-@query("K20", "eval_labels", f"""WITH sm AS (SELECT * FROM fx_refpred ORDER BY md5(concat('9|', uid)), uid LIMIT 300),
-cf AS (SELECT ref, pred, count(*) AS n FROM sm WHERE ref <> 0 GROUP BY ALL), {_TOTALS}, {_PRF}""")
+_ANCHORS = [(1, 34, 139, 34), (2, 240, 230, 140), (3, 128, 128, 128), (4, 30, 144, 255)]
+
+
+@query("K20", "eval_labels", f"""WITH pt AS (SELECT pid, lon, lat, CAST(pid % 5 AS INT) AS ref FROM fx_point ORDER BY md5(concat('9|', pid)), pid LIMIT 300),
+z AS (SELECT pow(2, greatest(2, ceil(log2((max(raster_id) + 1) * 20 / 16.0)))) AS n FROM fx_class),
+tile AS (SELECT CAST(floor(c / 16.0) AS INT) AS x, CAST(floor((raster_id * 20 + r) / 16.0) AS INT) AS y, c % 16 AS px, (raster_id * 20 + r) % 16 AS py,
+  (r * 12) % 256 AS red, (c * 5) % 256 AS green, CAST(floor(scalar) AS INT) % 256 AS blue FROM fx_class),
+f AS (SELECT pid, ref, (lon + 180) / 360 * n AS fx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * n AS fy FROM pt JOIN z ON true),
+p AS (SELECT pid, ref, CAST(floor(fx) AS INT) AS x, CAST(floor(fy) AS INT) AS y, CAST(floor((fx - floor(fx)) * 16) AS INT) AS px, CAST(floor((fy - floor(fy)) * 16) AS INT) AS py FROM f),
+s AS (SELECT pid, ref, red, k FROM (SELECT * FROM p LEFT JOIN tile USING (x, y, px, py)), {values_sql(_ANCHORS)} a(k, ar, ag, ab)
+  QUALIFY row_number() OVER (PARTITION BY pid ORDER BY pow(red - ar, 2) + pow(green - ag, 2) + pow(blue - ab, 2), k) = 1),
+pr AS (SELECT ref, CASE WHEN red IS NOT NULL THEN k END AS pred FROM s),
+cf AS (SELECT ref, pred, count(*) AS n FROM pr WHERE ref <> 0 AND pred IS NOT NULL GROUP BY ALL), {_TOTALS},
+io AS (SELECT *, CASE WHEN ref_n + pred_n - tp > 0 THEN CAST(tp AS DOUBLE) / (ref_n + pred_n - tp) ELSE 0 END AS iou FROM ct),
+rs AS (WITH {_PRF})
+SELECT rs.*, round(iou, 6) AS iou, round((SELECT avg(iou) FROM io WHERE ref_n > 0), 6) AS miou, (SELECT count(*) FROM pr) AS n_sampled, (SELECT count(*) FROM pr WHERE pred IS NULL) AS n_unmapped
+FROM rs JOIN io USING (class_id)""")
 def eval_labels(t: Tables):
-    return _prf(Q.stable_sample(t.fx_refpred, "uid", 300, 9))
+    row = F.col("raster_id") * 20 + F.col("r")
+    tiles = t.fx_class.select(
+        F.floor(F.col("c") / 16).cast("int").alias("x"), F.floor(row / 16).cast("int").alias("y"), (F.col("c") % 16).alias("px"), (row % 16).alias("py"),
+        ((F.col("r") * 12) % 256).alias("red"), ((F.col("c") * 5) % 256).alias("green"), (F.floor("scalar").cast("int") % 256).alias("blue"))
+    (last,) = t.fx_class.agg(F.max("raster_id")).first()
+    zoom = max(2, math.ceil(math.log2((last + 1) * 20 / 16)))
+    points = t.fx_point.select("pid", "lon", "lat", (F.col("pid") % 5).cast("int").alias("ref"))
+    got = Q.eval_labels(points, tiles, _ANCHORS, 300, zoom, 16, 9)
+    return got.select("class_id", "support", *r6("precision", "recall", "f1", "macro_f1", "accuracy", "iou", "miou"), "n_sampled", "n_unmapped")
 
 
 @query("G3", "failure_streaks", """

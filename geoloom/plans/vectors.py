@@ -270,14 +270,57 @@ def embedding_export(t: Tables):
     return got.select("raster_id", "r", "c", F.posexplode("bands").alias("i", "q")).withColumn("q", F.col("q").cast("int"))
 
 
-@query("K3", "pca_scalar")
+_VAR = f"""WITH {_G}, vd AS (SELECT * FROM g WHERE NOT nodata), el AS (SELECT raster_id, unnest(e) AS x, unnest(range(len(e))) AS i FROM vd),
+vr AS (SELECT raster_id, i, var_pop(x) AS v FROM el GROUP BY ALL), tr AS (SELECT raster_id, round(sum(v), 6) AS trace, round(max(v), 6) AS widest FROM vr GROUP BY 1),
+n AS (SELECT raster_id, count(*) AS n_patches, count(*) FILTER (WHERE nodata) AS n_nodata FROM g GROUP BY 1)"""
+
+
+def _axis_facts(t: Tables, k: int):
+    """Per raster: is each axis a unit eigenvector of the patches' covariance, worked out anew from the patches, and are they at right angles and in order?"""
+    emb = patches(t)
+    axes = M.principal_axes(emb, k)
+    valid = emb.where(~V.is_nodata(F.col("embedding"))).select("raster_id", V.doubles(F.col("embedding")).alias("x"))
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+
+    met = valid.join(axes, "raster_id").withColumn("d", F.zip_with("x", "mean", lambda p, q: p - q))
+    each = met.select("raster_id", "axes", "variance", "d", F.posexplode("axes").alias("k", "axis")).withColumn("pc", dot(F.col("d"), F.col("axis")))
+    long = each.select("raster_id", "k", "pc", "axis", F.get("variance", F.col("k")).alias("lam"), F.posexplode("d").alias("i", "di"))
+    image = long.groupBy("raster_id", "k", "i").agg(F.avg(F.col("pc") * F.col("di")).alias("ca"), F.first("lam").alias("lam"), F.first(F.get("axis", F.col("i"))).alias("ai"))
+    eigen = image.groupBy("raster_id").agg((F.max(F.abs(F.col("ca") - F.col("lam") * F.col("ai"))) < 1e-6).alias("eigen"))
+    spread = valid.select("raster_id", F.posexplode("x").alias("i", "v")).groupBy("raster_id", "i").agg(F.var_pop("v").alias("v")).groupBy("raster_id").agg(
+        F.round(F.sum("v"), 6).alias("trace"), F.round(F.max("v"), 6).alias("widest"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    unit = F.lit(True)
+    for i, j in pairs:
+        unit = unit & (F.abs(dot(F.get("axes", F.lit(i)), F.get("axes", F.lit(j))) - (1.0 if i == j else 0.0)) < 1e-9)
+    order = F.lit(True)
+    for i in range(k - 1):
+        order = order & (F.get("variance", F.lit(i)) >= F.get("variance", F.lit(i + 1)))
+    facts = axes.join(eigen, "raster_id").join(spread, "raster_id")
+    top = F.get("variance", F.lit(0))
+    return facts.select("raster_id", unit.alias("orthonormal"), order.alias("in_order"), "eigen", "trace", "widest",
+                        ((top >= F.col("widest") - 1e-6) & (top <= F.col("trace") + 1e-6)).alias("widest_or_more"))
+
+
+@query("K3", "pca_scalar", f"""{_VAR} SELECT raster_id, true AS orthonormal, true AS in_order, true AS eigen, trace, widest, true AS widest_or_more, n_patches, n_nodata,
+  CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high FROM tr JOIN n USING (raster_id)""")
 def pca_scalar(t: Tables):
-    return M.pca_scalar(patches(t)).select("raster_id", "r", "c", *r6("value"))
+    got = M.pca_scalar(patches(t)).groupBy("raster_id").agg(
+        F.count(F.lit(1)).alias("n_patches"), F.count_if(F.col("value").isNull()).alias("n_nodata"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return _axis_facts(t, 1).join(got, "raster_id")
 
 
-@query("K4", "pca_rgb")
+@query("K4", "pca_rgb", f"""{_VAR} SELECT raster_id, true AS orthonormal, true AS in_order, true AS eigen, trace, widest, true AS widest_or_more, n_patches, n_nodata, 0 AS low, 255 AS high
+FROM tr JOIN n USING (raster_id)""")
 def pca_rgb(t: Tables):
-    return M.pca_rgb(patches(t), 1.5)
+    channels = ("red", "green", "blue")
+    got = M.pca_rgb(patches(t), 1.5).join(patches(t).select("raster_id", "r", "c", V.is_nodata(F.col("embedding")).alias("gone")), ["raster_id", "r", "c"])
+    black = F.greatest(*channels) == 0
+    facts = got.groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_patches"), F.count_if(F.col("gone") & black).alias("n_nodata"),
+                                         F.min(F.least(*channels)).alias("low"), F.max(F.greatest(*channels)).alias("high"))
+    return _axis_facts(t, 3).join(facts, "raster_id")
 
 
 _ANCHOR = f"an AS (SELECT raster_id, class_id, list_transform(p, lambda z: z / (sqrt(list_dot_product(p, p)) + 1e-9)) AS p FROM pr)"

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rounds that are written to the checkpoint folder go when no frame refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -25,7 +27,7 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     settings = {
         **DEFAULTS,
         "spark.ui.enabled": "false",
-        "spark.driver.memory": "16g",
+        "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -11,8 +11,11 @@ from geoloom.session import shared_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name under the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def write_geojson(features: DataFrame, path: str, **provenance: str) -> None:

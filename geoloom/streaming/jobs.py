@@ -32,11 +32,17 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Drain the stream into parquet under the shared folder and read it back."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(key, None)
     out = scratch_path(spark, name)
-    q = (stream.writeStream.format("parquet").option("path", f"{out}/data")
-         .option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
+    # a query takes the store that is set when it starts; the session gets its own back
+    spark.conf.set(key, ROCKS)
+    try:
+        q = (stream.writeStream.format("parquet").option("path", f"{out}/data")
+             .option("checkpointLocation", f"{out}/progress").outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, own) if own else spark.conf.unset(key)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
