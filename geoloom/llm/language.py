@@ -24,6 +24,7 @@ from geoloom.llm.common import octets, small_batches
 
 #: Texts of each language the trees are grown on at most, those of the smallest hash. This bounds the model and the broadcast.
 SAMPLE = 800
+SHARES = 64
 ORDER = 3
 PIECE = 128  # bytes
 PAD = bytes(ORDER)
@@ -137,8 +138,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     the executors and the counts summed there.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), octets(text_col).alias("t"), F.xxhash64(F.col(text_col)).alias("h"))
-    least = rows.select("l", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= sample).select("l", "h")
-    chosen = rows.join(least, ["l", "h"], "left_semi").dropDuplicates(["l", "h"])
+    # by share of the language first, so that no task ranks what all others send of one language
+    each = rows.select("l", "h").distinct().withColumn("s", F.pmod(F.xxhash64("h"), F.lit(SHARES)))
+    for by in (["l", "s"], ["l"]):
+        each = each.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= sample)
+    # at most ``sample`` short rows a language
+    chosen = rows.join(F.broadcast(each.select("l", "h")), ["l", "h"], "left_semi").dropDuplicates(["l", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1):
