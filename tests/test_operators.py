@@ -111,10 +111,10 @@ def test_smoothing_does_not_depend_on_blocks(spark, block):
     assert rasters.smooth_raster(px, ["v"], 0) is px
 
 
-def test_months_are_clamped(spark):
+def test_every_month_asked_for_is_there(spark):
     a = spark.createDataFrame([(1,)], "aoi_id int")
     anchor = F.lit("2026-04-19").cast("date")
-    assert rasters.month_spine(a, anchor, 99).count() == 24
+    assert rasters.month_spine(a, anchor, 99).count() == 99
     got = [r["month"] for r in rasters.month_spine(a, anchor, 0).collect()]
     assert got == [datetime.date(2026, 3, 1)]
 
@@ -331,3 +331,52 @@ def test_streak_over_many_small_files(spark):
     stream = jobs.event_stream(spark, path)
     parts = {tuple(r) for r in jobs.run_available(jobs.streak_stream(stream, 3), "b").collect()}
     assert whole == parts and whole
+
+
+def test_no_cap_on_classes_and_ids(spark):
+    """More ids than 256 and more classes than 1,024 come out whole."""
+    from geoloom.operators import embeddings
+
+    px = spark.range(3000).selectExpr("1 AS raster_id", "CAST(id AS INT) AS r", "0 AS c", "CAST(id % 300 AS INT) AS class_id")
+    assert rasters.present_classes(px).collect()[0]["class_ids"] == list(range(300))
+    assert len(rasters.present_classes(px, 5).collect()[0]["class_ids"]) == 5
+    angle = F.col("id") * (2 * 3.141592653589793 / 1500)
+    vectors = spark.range(1500).select(F.lit(1).alias("raster_id"), F.col("id").cast("int").alias("class_id"), F.array(F.cos(angle), F.sin(angle)).alias("prototype"))
+    emb = vectors.select("raster_id", F.col("class_id").alias("r"), F.lit(0).alias("c"), F.col("prototype").alias("embedding"))
+    got = embeddings.few_shot(emb, vectors).collect()
+    assert len(got) == 1500 and all(g["class_id"] == g["r"] for g in got)
+
+
+def test_geo_footer_makes_geoparquet(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    plain = pa.table({"a": [1]})
+    pq.write_table(plain, f"{tmp_path}/plain.parquet")
+    pq.write_table(plain.replace_schema_metadata({"geo": "{}"}), f"{tmp_path}/geo.parquet")
+    with open(f"{tmp_path}/broken.parquet", "w") as f:
+        f.write("PAR1 but not a table")
+    listed = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length", "modificationTime")
+    got = {r["name"]: (r["format"], r["head_hex"][:8]) for r in files.with_format(files.with_heads(listed)).collect()}
+    assert got == {"plain.parquet": ("parquet", "50415231"), "geo.parquet": ("geoparquet", "50415231"), "broken.parquet": ("parquet", "50415231")}
+
+
+def test_per_raster_logistic(spark):
+    """A raster's model is its own: another raster changes nothing, one class gives no model."""
+    import numpy as np
+
+    from geoloom.operators import embeddings
+
+    rng = np.random.default_rng(5)
+
+    def patches(raster, flip):
+        return [(raster, i, 0, (rng.normal(0, 0.3, 4) + (1.0 if (i % 2) ^ flip else -1.0)).tolist(), i % 2) for i in range(60)]
+
+    kind = "raster_id int, r int, c int, embedding array<double>, class_id int"
+    one, two, single = patches(1, 0), patches(2, 1), [(3, 0, 0, [1.0] * 4, 1)]
+    both = spark.createDataFrame(one + two + single, kind)
+    alone = spark.createDataFrame(one, kind)
+    run = lambda df: {(r.raster_id, r.r): r.class_id for r in embeddings.few_shot_logistic(df.drop("class_id"), df).collect()}
+    got, first = run(both), run(alone)
+    assert {k: v for k, v in got.items() if k[0] == 1} == first and set(k[0] for k in got) == {1, 2}
+    assert sum(got[r[0], r[1]] == r[4] for r in one + two) > 115

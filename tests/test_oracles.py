@@ -8,21 +8,27 @@ from check import compare
 from geoloom.fixtures import TABLES
 from geoloom.registry import all_queries
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, NEXT = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES = all_queries()
 
 
-@pytest.fixture(scope="module")
-def con():
+def views(folder):
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return c
 
 
+@pytest.fixture(scope="module")
+def con():
+    return views(SMALL)
+
+
 @pytest.mark.parametrize("key", list(QUERIES))
 def test_query(key, spark, con):
     _, _, note = compare(spark, con, QUERIES[key], SMALL)
+    if note == "EMPTY":  # the smallest tables hold no hit; no answer is no evidence
+        _, _, note = compare(spark, views(NEXT), QUERIES[key], NEXT)
     assert note == "ok", note
 
 
