@@ -148,7 +148,7 @@ def logistic_models(matched: DataFrame, reg: float = 0.01) -> DataFrame:
         x = np.stack(pdf["embedding"].to_numpy()).astype(float)
         classes, y = np.unique(pdf["class_id"].to_numpy(), return_inverse=True)
         if len(classes) < 2:
-            return pd.DataFrame({KEY: [], "class_ids": [], "weights": []})
+            return pd.DataFrame({KEY: [], "class_ids": [], "weights": []}, dtype=object)
         mean, dev = x.mean(0), x.std(0)
         dev[dev == 0] = 1
         w = _logistic((x - mean) / dev, y, len(classes), reg)
