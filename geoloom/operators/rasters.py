@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -146,19 +148,48 @@ def window_status(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
                         .otherwise("ok")))
 
 
-def score_windows(px: DataFrame, keys: Sequence[str], win: int, scorer, schema: str, batch: int = 8) -> DataFrame:
+def _loaded(name: str, load):
+    """What ``load`` gives, made once per worker and name; the worker's module table outlives a task."""
+    held = sys.modules.setdefault("geoloom_models", ModuleType("geoloom_models")).__dict__
+    if name not in held:
+        held[name] = load()
+    return held[name]
+
+
+def score_windows(px: DataFrame, keys: Sequence[str], win: int, scorer, schema: str, batch: int = 8, load=None) -> DataFrame:
     """K19. Run a model over every window, many windows at a time.
 
     ``scorer`` takes a pandas frame with the pixels of up to ``batch * batch``
     windows, told apart by ``wr`` and ``wc``, and gives one row per window. As
     ``(r, c)`` is unique within a raster, a call sees at most
-    ``(batch * win) ** 2`` pixels, whatever the size of the raster.
+    ``(batch * win) ** 2`` pixels, whatever the size of the raster. A model that
+    is dear to make is given as ``load``, a function that makes the scorer on
+    the worker; ``scorer`` is then the name it is kept under, and each worker makes it once.
     """
     tagged = (px.withColumn("wr", F.floor(F.col("r") / win).cast("int"))
               .withColumn("wc", F.floor(F.col("c") / win).cast("int")))
+
     # Spark counts the arguments of a function, which an object with __call__ is not
-    return tagged.groupBy(*keys, F.floor(F.col("wr") / batch).alias("_br"), F.floor(F.col("wc") / batch).alias("_bc")
-                          ).applyInPandas(lambda pdf: scorer(pdf), schema)
+    def run(pdf):
+        return (scorer if load is None else _loaded(scorer, load))(pdf)
+
+    return tagged.groupBy(*keys, F.floor(F.col("wr") / batch).alias("_br"), F.floor(F.col("wc") / batch).alias("_bc")).applyInPandas(run, schema)
+
+
+def score_windows_linear(px: DataFrame, keys: Sequence[str], win: int, bands: Sequence[str], weights: Sequence[Sequence[float]],
+                         bias: Sequence[float]) -> DataFrame:
+    """K19 for a linear head over mean-pooled bands: ``class_id score`` of the best row of the head per window.
+
+    Means are combined before the shuffle and the head is an expression (F11),
+    so no pixel leaves the JVM. Ties go to the lower class.
+    """
+    from geoloom.functions.vector import argmax, linear_head
+
+    means = (px.withColumn("wr", F.floor(F.col("r") / win).cast("int")).withColumn("wc", F.floor(F.col("c") / win).cast("int"))
+             .groupBy(*keys, "wr", "wc").agg(*[F.avg(b).alias(b) for b in bands]))
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights])
+    scored = means.withColumn("_s", linear_head(F.array(*[F.col(b) for b in bands]), rows, F.array(*[F.lit(float(x)) for x in bias])))
+    return scored.select(*keys, "wr", "wc", argmax(F.col("_s")).cast("int").alias("class_id"), F.array_max("_s").alias("score"))
 
 
 def land_cover(px: DataFrame, classes: DataFrame, year: int = 2021, fallback: int = 2020) -> DataFrame:

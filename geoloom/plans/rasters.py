@@ -274,14 +274,6 @@ def window_status(t: Tables):
 HEAD = ((0.4, -0.1, 3.0), (-0.2, 0.2, -1.0), (0.1, 0.05, 0.5))
 
 
-def linear_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean-pooled window features times the head; class and score of the best row."""
-    mean = pdf.groupby(["scene_id", "wr", "wc"], sort=False)[["b04", "b08"]].mean() / 1000
-    scores = np.stack([a * mean["b04"] + b * mean["b08"] + k for a, b, k in HEAD])
-    mean["class_id"], mean["score"] = scores.argmax(axis=0), scores.max(axis=0)
-    return mean.reset_index()[["scene_id", "wr", "wc", "class_id", "score"]]
-
-
 @query("K19", "score_windows", """
 WITH cell AS (SELECT scene_id, r, c, avg(b04) AS b04, avg(b08) AS b08 FROM fx_px GROUP BY ALL),
 w AS (SELECT scene_id, CAST(floor(r / 16.0) AS INT) AS wr, CAST(floor(c / 16.0) AS INT) AS wc,
@@ -293,13 +285,12 @@ SELECT scene_id, wr, wc, class_id, round(score, 6) AS score FROM s
 QUALIFY row_number() OVER (PARTITION BY scene_id, wr, wc ORDER BY score DESC, class_id) = 1""")
 def score_windows(t: Tables):
     cell = t.fx_px.groupBy("scene_id", "r", "c").agg(F.avg("b04").alias("b04"), F.avg("b08").alias("b08"))
-    got = R.score_windows(cell, ["scene_id"], 16, linear_scorer,
-                          "scene_id bigint, wr int, wc int, class_id int, score double")
+    got = R.score_windows_linear(cell, ["scene_id"], 16, ["b04", "b08"], [(a / 1000, b / 1000) for a, b, _ in HEAD], [k for _, _, k in HEAD])
     return got.withColumn("score", F.round("score", 6))
 
 
 class GreenestPixel:
-    """A model a caller brings; it is sent to the workers once per task and called per batch of windows."""
+    """A model a caller brings; each worker makes it once and calls it per batch of windows."""
 
     def __init__(self, floor: float) -> None:
         self.floor = floor
@@ -316,7 +307,7 @@ SELECT scene_id, CAST(floor(r / 16.0) AS INT) AS wr, CAST(floor(c / 16.0) AS INT
        round(max(greatest(-0.5::DOUBLE, (b08 - b04) / (b08 + b04))), 6) AS score FROM cell GROUP BY ALL""")
 def user_model(t: Tables):
     cell = t.fx_px.groupBy("scene_id", "r", "c").agg(F.avg("b04").alias("b04"), F.avg("b08").alias("b08"))
-    got = R.score_windows(cell, ["scene_id"], 16, GreenestPixel(-0.5), "scene_id bigint, wr int, wc int, score double")
+    got = R.score_windows(cell, ["scene_id"], 16, "greenest", "scene_id bigint, wr int, wc int, score double", load=lambda: GreenestPixel(-0.5))
     return got.withColumn("score", F.round("score", 6))
 
 
