@@ -414,21 +414,37 @@ def demo_catalog(t: Tables):
 
 
 @query("U1", "check_calls", """
-SELECT event_id, CASE WHEN event_type IN ('signup', 'error') THEN 'unknown_tool' WHEN event_id % 11 = 0 OR event_type = 'purchase' THEN 'bad_arguments' ELSE 'ok' END AS status FROM events""")
+SELECT event_id, CASE WHEN event_type = 'error' THEN 'unknown_tool' WHEN event_id % 11 = 0 THEN 'bad_arguments' WHEN event_type = 'purchase' THEN 'bad_arguments'
+  WHEN event_type = 'view' AND event_id % 7 = 0 THEN 'bad_arguments' WHEN event_type = 'click' AND event_id % 5 = 0 THEN 'bad_arguments' ELSE 'ok' END AS status,
+  CASE WHEN event_id % 11 = 0 OR event_type = 'error' THEN NULL WHEN event_type = 'purchase' THEN 'win,schema' ELSE '' END AS missing,
+  CASE WHEN event_id % 11 = 0 OR event_type = 'error' THEN NULL WHEN event_type = 'purchase' THEN 'keys' WHEN event_type = 'view' AND event_id % 7 = 0 THEN 'aois'
+    WHEN event_type = 'click' AND event_id % 5 = 0 THEN 'num_classes,top_n' ELSE '' END AS wrong_type FROM events""")
 def check(t: Tables):
-    calls = t.events.select("event_id", F.col("event_type").alias("name"), F.when(F.col("event_id") % 11 == 0, "oops").otherwise(F.col("props")).alias("args"))
-    return check_calls(calls, {"click": ("k",), "purchase": ("k", "bbox"), "view": ()}).select("event_id", "status")
+    """Calls of the registry's own tools: right ones, not JSON, arguments missing, arguments of the wrong type."""
+    kind, n = F.col("event_type"), F.col("event_id")
+    name = (F.when(kind == "click", "query_raster_histogram").when(kind == "purchase", "score_windows").when(kind == "view", "plan_chunks")
+            .when(kind == "error", "no_such_tool").otherwise("vectorize"))
+    args = (F.when(n % 11 == 0, "oops")
+            .when(kind == "click", F.when(n % 5 == 0, '{"px": "t", "num_classes": "five", "top_n": [1]}').otherwise('{"px": "t", "num_classes": 5}'))
+            .when(kind == "purchase", '{"px": "t", "keys": "scene_id", "scorer": "s", "schema": null}')
+            .when(kind == "view", F.when(n % 7 == 0, '{"aois": 3}').otherwise('{"aois": "a", "size_m": 2500.5}')).otherwise('{"px": "t", "block": 64, "more": true}'))
+    calls = t.events.select("event_id", name.alias("name"), F.when((kind == "error") & (n % 11 != 0), "[1]").otherwise(args).alias("args"))
+    return check_calls(calls).select("event_id", "status", "missing", "wrong_type")
 
 
 @query("U4", "sql_functions", """
 SELECT scene_id, CAST(i AS INT) AS t, CAST(dt - CAST((3 - i) * 10 AS INT) AS DATE) AS "start", CAST(dt - CAST((2 - i) * 10 AS INT) AS DATE) AS "end",
   round(abs(east - west) * 111.32::DOUBLE * cos(radians((north + south) / 2)) * abs(north - south) * 110.574::DOUBLE, 4) AS area_km2,
-  CAST(floor((west + 180) / 360 * 128) AS INT) AS tile FROM fx_scene, range(3) v(i)""")
+  CAST(floor((west + 180) / 360 * 128) AS INT) AS tile, CAST(least(60, greatest(1, floor((west + 180) / 6) + 1)) AS INT) AS zone, west <= 10 AND east >= -10 AND south <= 20 AND north >= -20 AS near,
+  round(least(1, greatest(0.1::DOUBLE, cos((i * 2 / 9.0::DOUBLE - 1) * pi() / 2) * cos((2 / 9.0::DOUBLE - 1) * pi() / 2))), 6) AS weight,
+  CAST(floor(34 * cloud_cover / 100 + 255 * (1 - cloud_cover / 100)) AS INT) AS faded, list_extract([0, 32, 64], CAST(i AS INT) + 1) AS tile_start FROM fx_scene, range(3) v(i)""")
 def sql_functions(t: Tables):
     sqlfuncs.register(t.spark)
     return t.spark.sql("""
-        SELECT s.scene_id, p.t, p.start, p.end, round(bbox_area_km2(s.west, s.south, s.east, s.north), 4) AS area_km2, tile_x(s.west, 7) AS tile
-        FROM {scenes} s, LATERAL period_rows(s.dt, 3, 10) p""", scenes=t.fx_scene)
+        SELECT s.scene_id, p.t, p.start, p.end, round(bbox_area_km2(s.west, s.south, s.east, s.north), 4) AS area_km2, tile_x(s.west, 7) AS tile,
+          utm_zone(s.west) AS zone, bbox_intersects(s.west, s.south, s.east, s.north, -10, -20, 10, 20) AS near, round(window_weight(p.t, 1, 10), 6) AS weight,
+          fade_to_white(34, s.cloud_cover / 100) AS faded, w.start AS tile_start
+        FROM {scenes} s, LATERAL period_rows(s.dt, 3, 10) p, LATERAL tile_rows(112, 48, 32) w WHERE w.i = p.t""", scenes=t.fx_scene)
 
 
 @query("U5", "vector_mean", f"WITH {PV._G}, m AS {PV.mean_sql('g', 'label', 'p')} SELECT label, CAST(unnest(range(len(p))) AS INT) AS i, round(unnest(p), 6) AS v FROM m")
