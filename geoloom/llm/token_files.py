@@ -44,7 +44,7 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 # Units kept with their ids by a worker, and the longest that is kept.
 CACHE_UNITS, CACHE_CHARS = 600_000, 48
-LATIN = 0x250  # words of lower characters are letters to any version of Unicode
+LATIN, TOP = 0x250, chr(0x250)  # words of lower characters are letters to any version of Unicode
 # ASCII signs that follow a word without being part of a contraction.
 CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MANIFEST = "part int, sub int, path string, n_docs long, n_ids long"
@@ -195,14 +195,12 @@ class Encoder:
         self.letters = {b: x for c in range(LATIN) for b, x in zip(chr(c).encode(), shown.pre_tokenize_str(chr(c))[0][0])}
         self.model = self.tokenizer.model
         self.cache: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by what follows the space
 
     @staticmethod
     def units(text: str) -> list[str]:
+        """The parts of a text that are encoded apart; all but the first begin with a space."""
         parts = text.split(" ")
-        if len(parts) == 1:
-            return [text]
-        if len(text.split()) == len(parts) + text.count("\n"):  # white space comes singly and inside
-            return [parts[0], *[f" {p}" for p in parts[1:]]]
         out, glue = [parts[0]], not parts[0] or parts[0][-1].isspace()
         for p in parts[1:]:
             if glue or not p or p[0].isspace():
@@ -213,10 +211,19 @@ class Encoder:
                 glue = p[-1].isspace()
         return out
 
+    def _after_space(self, part: str) -> bytes:
+        """Ids of a space and ``part``, kept by the part."""
+        ids = self._new(f" {part}")
+        if len(part) < CACHE_CHARS:
+            self.spaced[part] = ids
+        return ids
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _kept(self, unit: str) -> bytes:
+        if unit[:1] == " " and len(unit) > 1:
+            return self.spaced.get(unit[1:]) or self._after_space(unit[1:])
         ids = self.cache.get(unit)
         if ids is None:
             ids = self._new(unit)
@@ -226,17 +233,17 @@ class Encoder:
 
     def _new(self, unit: str) -> bytes:
         """Ids of a unit that isn't kept."""
+        word = unit[1:] if unit[:1] == " " else unit
+        if word.isalpha() and (word.isascii() or max(word) < TOP):
+            shown = unit.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        bare = unit.rstrip(CLOSING)
         if "\n" in unit:
             parts = unit.split("\n")
             inner = all(p and not p[-1].isspace() for p in parts) and not any(p[0].isspace() for p in parts[1:])
             return self.line_end.join([self._kept(p) for p in parts]) if inner else self._whole(unit)
-        bare = unit.rstrip(CLOSING)
         if len(bare) < len(unit) and bare and bare[-1].isalpha():
             return self._kept(bare) + self._kept(unit[len(bare) :])
-        word = unit[1:] if unit[:1] == " " else unit
-        if word.isalpha() and max(word) < chr(LATIN):
-            shown = unit.encode().decode("latin-1").translate(self.letters)
-            return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return self._whole(unit)
 
     @cached_property
@@ -245,15 +252,19 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        end, get, kept = array("I", [END_ID]).tobytes(), self.cache.get, self._kept
+        end, get, after, kept = array("I", [END_ID]).tobytes(), self.spaced.get, self._after_space, self._kept
         out = []
         for t in texts:
+            parts = t.split(" ")
             if not self.splits or any(a in t for a in self.added):
                 ids = [self._whole(t)]
+            elif len(t.split()) == len(parts) + t.count("\n"):  # white space comes singly and inside
+                ids = [kept(parts[0])] + [get(p) or after(p) for p in parts[1:]]
             else:
-                ids = [get(u) or kept(u) for u in self.units(t)]
-            if len(self.cache) > CACHE_UNITS:
+                ids = [kept(u) for u in self.units(t)]
+            if len(self.cache) + len(self.spaced) > CACHE_UNITS:
                 self.cache.clear()
+                self.spaced.clear()
             out.append(np.frombuffer(b"".join([*ids, end]), "<u4"))
         return out
 
