@@ -133,14 +133,14 @@ def scalar_stats(t: Tables):
     return R.scalar_stats(px, "scalar", (2.0, 5.0))
 
 
-def _series_inputs(t: Tables, n_aoi: int):
+def _series_inputs(t: Tables, n_aoi):
     px = t.fx_px.withColumn("aoi_id", (F.col("scene_id") % n_aoi).cast("int"))
     scenes = px.groupBy("aoi_id", "month", "scene_id").agg(F.min("cloud_cover").alias("cloud_cover"))
     aois = t.supplier.select((F.col("s_suppkey") % n_aoi).cast("int").alias("aoi_id")).distinct()
     return px.drop("cloud_cover"), scenes, aois
 
 
-def _series_sql(n_aoi: int, months: str) -> str:
+def _series_sql(n_aoi: int | str, months: str) -> str:
     return f"""
 px AS (SELECT *, CAST(scene_id % {n_aoi} AS INT) AS aoi_id FROM fx_px),
 sc AS (SELECT aoi_id, month, scene_id, min(cloud_cover) AS cloud_cover FROM px GROUP BY ALL),
@@ -175,7 +175,7 @@ def ndvi_timeseries(t: Tables):
                                  *r6("ndvi_mean", "ndvi_median", "ndvi_p10", "ndvi_p90"))
 
 
-@query("D5", "ndvi_masked", f"""WITH {_series_sql(2, _SERIES_MONTHS)},
+@query("D5", "ndvi_masked", f"""WITH {_series_sql("(SELECT max(raster_id) + 1 FROM fx_class)", _SERIES_MONTHS)},
 dims AS (SELECT raster_id AS aoi_id, max(r) + 1 AS h, max(c) + 1 AS w FROM fx_class GROUP BY 1),
 seen AS (SELECT px.aoi_id, px.month, b04, b08, k.class_id IN (0, 2) AS hit
          FROM px JOIN base USING (aoi_id, month, scene_id) LEFT JOIN dims d ON d.aoi_id = px.aoi_id
@@ -193,7 +193,8 @@ SELECT aoi_id, month, scene_id, cloud_cover, round(ndvi_mean, 6) AS ndvi_mean, r
             WHEN n_pixels IS NULL THEN 'no_class_pixels' ELSE 'ok' END AS status
 FROM base LEFT JOIN st USING (aoi_id, month) LEFT JOIN tot USING (aoi_id, month)""")
 def ndvi_masked(t: Tables):
-    px, scenes, aois = _series_inputs(t, 2)
+    """Every class raster is the mask of an area of its own."""
+    px, scenes, aois = _series_inputs(t, t.fx_class.agg((F.max("raster_id") + 1).alias("k")).scalar())
     return R.ndvi_masked(px, t.fx_class, scenes, aois, F.lit("2002-01-01").cast("date"), [0, 2], (64, 64),
                          96, 3.0).select(
         "aoi_id", "month", "scene_id", "cloud_cover", "n_pixels", "total_pixels", "status",
