@@ -12,7 +12,9 @@ from geoloom.operators import metrics as Q
 from geoloom.operators import monitoring as N
 from geoloom.operators import vectorize as V
 from geoloom.operators.polygons import neighbors_within
+from geoloom.plans.polygons import _CELLS, _dem
 from geoloom.plans.rasters import r6
+from geoloom.plans.scenes import _WEATHER, environment
 from geoloom.registry import query
 
 
@@ -255,17 +257,33 @@ _NEAR = """nb AS (SELECT a.pid, b.pid AS neighbor, b.class_name AS ncls FROM fx_
   QUALIFY row_number() OVER (PARTITION BY a.pid ORDER BY sqrt(pow((b.lon - a.lon) * 111 * cos(radians(a.lat)), 2) + pow((b.lat - a.lat) * 111, 2)), b.pid) <= 5),
 vt AS (SELECT pid, ncls, count(*) AS v, sum(count(*)) OVER (PARTITION BY pid) AS tot FROM nb GROUP BY pid, ncls),
 tp AS (SELECT * FROM vt QUALIFY row_number() OVER (PARTITION BY pid ORDER BY v DESC, ncls) = 1)"""
-_VALID = f"""WITH {_FT}, {_NEAR},
+# evidence: the raster that a point's site lies in (some have none), the elevation cell, the last weather reading
+_EVID = f"""nr AS (SELECT max(raster_id) + 2 AS k FROM fx_class), {_CELLS}, {_WEATHER},
+ev AS (SELECT p.pid, d.elevation IS NOT NULL AS has_e, w.temperature IS NOT NULL AS has_w, EXISTS (SELECT 1 FROM fx_class f WHERE f.raster_id = p.pid % nr.k AND f.scalar > 0) AS has_p
+  FROM fx_point p JOIN nr ON true LEFT JOIN dem d ON d.cx = CAST(floor(lon / 5) AS BIGINT) AND d.cy = CAST(floor(lat / 5) AS BIGINT)
+  JOIN a ON a.pid = p.pid LEFT JOIN w ON w.cx = a.cx AND w.cy = a.cy)"""
+_VALID = f"""WITH {_FT}, {_NEAR}, {_EVID},
 vl AS (SELECT ft.pid, ft.class_name, confidence < 0.6::DOUBLE AS target, coalesce(v * 2 > tot AND ncls <> ft.class_name, false) AS chg, ncls, tot,
-    concat_ws(',', CASE WHEN lat > 0 THEN 'elevation' END, CASE WHEN lon > 0 THEN 'weather' END, CASE WHEN tot > 0 THEN 'neighbors' END) AS ev FROM ft LEFT JOIN tp USING (pid)),
+    concat_ws(',', CASE WHEN has_p THEN 'patch' END, CASE WHEN has_e THEN 'elevation' END, CASE WHEN has_w THEN 'weather' END, CASE WHEN tot > 0 THEN 'neighbors' END) AS ev
+  FROM ft JOIN ev USING (pid) LEFT JOIN tp USING (pid)),
 va AS (SELECT pid, target, CASE WHEN target THEN CASE WHEN chg THEN 'relabel' ELSE 'accept' END END AS action,
     CASE WHEN target THEN CASE WHEN chg THEN ncls ELSE class_name END END AS validated_class, CASE WHEN target THEN ev END AS evidence FROM vl)"""
 
 
 def _validated(t: Tables):
+    """Patches (A22) of the sites' rasters, elevation (C16) and weather (C15) as evidence."""
+    from geoloom.operators.polygons import elevation_for
+    from geoloom.operators.rasters import raster_patch
+
     f = features(t)
     near = neighbors_within(t.fx_point, 600.0, 5).select("pid", "neighbor")
-    return L.validate_features(f, near, {"elevation": f.where("lat > 0"), "weather": f.where("lon > 0")})
+    boxes = t.fx_class.groupBy("raster_id").agg(F.lit(0).alias("r0"), F.lit(0).alias("c0"), (F.max("r") + 1).alias("r1"), (F.max("c") + 1).alias("c1"))
+    cropped = raster_patch(t.fx_class, boxes, "scalar", 24).groupBy("raster_id").agg(F.max("level").alias("top")).where("top > 0")
+    rasters = t.fx_class.agg((F.max("raster_id") + 2).alias("k")).scalar()
+    patch = t.fx_point.select("pid", (F.col("pid") % rasters).cast("int").alias("raster_id")).join(cropped, "raster_id")
+    high = elevation_for(t.fx_point.select("pid", "lon", "lat"), _dem(t), 5.0).where(F.col("elevation").isNotNull() & ~F.isnan("elevation"))
+    weather = environment(t).where("temperature IS NOT NULL")
+    return L.validate_features(f, near, {"patch": patch, "elevation": high, "weather": weather})
 
 
 @query("K18", "validate_features", _VALID + " SELECT pid, target, action, validated_class, evidence FROM va")

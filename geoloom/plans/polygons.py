@@ -78,9 +78,10 @@ def _dem(t: Tables):
         F.when(lost, F.lit(float("nan"))).otherwise(F.avg(F.when(F.col("class_id") != 7, F.col("scalar")))).alias("elevation"))
 
 
-_DEM = """dm AS (SELECT (raster_id * 1000 + r * 50 + c) % 2592 AS cell, class_id, scalar FROM fx_class),
+_CELLS = """dm AS (SELECT (raster_id * 1000 + r * 50 + c) % 2592 AS cell, class_id, scalar FROM fx_class),
 dem AS (SELECT CAST(cell % 72 - 36 AS BIGINT) AS cx, CAST(floor(cell / 72.0) - 18 AS BIGINT) AS cy,
-    CASE WHEN min(class_id) = -1 THEN NULL ELSE avg(scalar) FILTER (WHERE class_id <> 7) END AS elevation FROM dm GROUP BY cell),
+    CASE WHEN min(class_id) = -1 THEN NULL ELSE avg(scalar) FILTER (WHERE class_id <> 7) END AS elevation FROM dm GROUP BY cell)"""
+_DEM = f"""{_CELLS},
 el AS (SELECT poly_id, i, j, round(elevation, 6) AS elevation FROM ins LEFT JOIN dem ON cx = CAST(floor(lon / 5) AS BIGINT) AND cy = CAST(floor(lat / 5) AS BIGINT))"""
 _ELEV = """es AS (SELECT poly_id, count(*) AS sample_count, min(elevation) AS min_m, max(elevation) AS max_m, round(avg(elevation), 6) AS mean_m,
      median(elevation) AS median_m, round(max(elevation) - min(elevation), 6) AS range_m FROM el GROUP BY poly_id)"""

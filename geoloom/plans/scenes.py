@@ -299,15 +299,15 @@ def off_distribution(t: Tables):
     return G.off_distribution(req, t.fx_box.withColumnRenamed("box_id", "head")).select("pid", "head", "distance_km")
 
 
-@query("C15", "enrich_env", """
-WITH w AS (SELECT CAST(floor(west / 10) AS INT) AS cx, CAST(floor(south / 10) AS INT) AS cy, max(dt) AS ts,
+_WEATHER = """w AS (SELECT CAST(floor(west / 10) AS INT) AS cx, CAST(floor(south / 10) AS INT) AS cy, max(dt) AS ts,
              arg_max(temperature, dt) AS temperature, arg_max(humidity, dt) AS humidity
            FROM (SELECT west, south, dt, max(cloud_cover) / 4 - 5 AS temperature, min(cloud_cover) AS humidity FROM fx_scene GROUP BY west, south, dt
                  QUALIFY row_number() OVER (PARTITION BY floor(west / 10), floor(south / 10), dt ORDER BY west, south) = 1) GROUP BY 1, 2),
-a AS (SELECT pid, CAST(floor((lon + 0.5::DOUBLE) / 10) AS INT) AS cx, CAST(floor((lat + 0.5::DOUBLE) / 10) AS INT) AS cy FROM fx_point)
-SELECT pid, ts, round(temperature, 6) AS temperature, humidity,
-  CASE WHEN ts IS NULL THEN 'no reading for this cell' ELSE 'unknown variables: ozone' END AS error FROM a LEFT JOIN w USING (cx, cy)""")
-def enrich_env(t: Tables):
+a AS (SELECT pid, CAST(floor((lon + 0.5::DOUBLE) / 10) AS INT) AS cx, CAST(floor((lat + 0.5::DOUBLE) / 10) AS INT) AS cy FROM fx_point)"""
+
+
+def environment(t: Tables):
+    """C15 over the points: the last reading of the weather cell at the middle of each site."""
     from geoloom.operators.scale import first_per
 
     raw = (t.fx_scene.groupBy("west", "south", "dt")
@@ -316,8 +316,14 @@ def enrich_env(t: Tables):
     weather = first_per(raw, ["cx", "cy", "dt"], [F.asc("west"), F.asc("south")]).withColumnRenamed("dt", "ts")
     sites = t.fx_point.select("pid", F.col("lon").alias("west"), F.col("lat").alias("south"),
                               (F.col("lon") + 1).alias("east"), (F.col("lat") + 1).alias("north"))
-    return G.enrich_env(sites, weather.drop("west", "south"), ["temperature", "humidity", "ozone"], 10.0).select(
-        "pid", "ts", *r6("temperature"), "humidity", "error")
+    return G.enrich_env(sites, weather.drop("west", "south"), ["temperature", "humidity", "ozone"], 10.0)
+
+
+@query("C15", "enrich_env", f"""WITH {_WEATHER}
+SELECT pid, ts, round(temperature, 6) AS temperature, humidity,
+  CASE WHEN ts IS NULL THEN 'no reading for this cell' ELSE 'unknown variables: ozone' END AS error FROM a LEFT JOIN w USING (cx, cy)""")
+def enrich_env(t: Tables):
+    return environment(t).select("pid", "ts", *r6("temperature"), "humidity", "error")
 
 
 @query("C17", "sample_pixels_at", """
