@@ -423,6 +423,9 @@ def smooth_raster(px: DataFrame, values: Sequence[str], sigma: float = 1.5, bloc
 def stitch(chunks: DataFrame, grid: DataFrame, gsd: float) -> DataFrame:
     """I1. Chunk rasters pasted by whole-pixel offsets; clipped to the grid; a later chunk wins.
 
+    Only pixels where the extents of two chunks meet are shuffled; the others
+    stay where they are. A chunk has each of its pixels once.
+
     ``chunks``: ``raster_id chunk_id top left r c value``; ``grid``: ``raster_id top left height width``.
     """
     g = grid.select(KEY, F.col("top").alias("_gt"), F.col("left").alias("_gl"), "height", "width")
@@ -431,8 +434,29 @@ def stitch(chunks: DataFrame, grid: DataFrame, gsd: float) -> DataFrame:
              .withColumn("c", (F.col("c") + F.bround((F.col("left") - F.col("_gl")) / gsd)).cast("int"))
              .where((F.col("r") >= 0) & (F.col("r") < F.col("height"))
                     & (F.col("c") >= 0) & (F.col("c") < F.col("width"))))
-    return moved.groupBy(KEY, "r", "c").agg(F.max_by("value", "chunk_id").alias("value"),
-                                            F.max("chunk_id").alias("chunk_id"))
+    moved = moved.select(KEY, "chunk_id", "r", "c", "value")
+    boxes = overlap_boxes(moved)
+    at = F.exists("_boxes", lambda b: F.col("r").between(b["r0"], b["r1"]) & F.col("c").between(b["c0"], b["c1"]))
+    marked = moved.join(boxes, [KEY, "chunk_id"], "left").withColumn("_shared", F.coalesce(at, F.lit(False)))
+    alone = marked.where(~F.col("_shared")).select(KEY, "r", "c", "value", "chunk_id")
+    shared = marked.where("_shared").groupBy(KEY, "r", "c").agg(F.max_by("value", "chunk_id").alias("value"), F.max("chunk_id").alias("chunk_id"))
+    return alone.unionByName(shared)
+
+
+def overlap_boxes(px: DataFrame, cell: int = 1024) -> DataFrame:
+    """``raster_id chunk_id _boxes``: where a chunk's extent meets those of others, so that only these pixels need settling.
+
+    Extents are one row per chunk. They meet on cells of ``cell`` pixels, which
+    bounds the pairs looked at by the neighbours of a chunk.
+    """
+    ext = px.groupBy(KEY, "chunk_id").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    steps = [F.explode(F.sequence(F.floor(F.col(f"{i}0") / cell), F.floor(F.col(f"{i}1") / cell))).alias(f"_{i}") for i in "rc"]
+    placed = ext.select("*", steps[0]).select("*", steps[1])
+    other = placed.select(KEY, "_r", "_c", *[F.col(x).alias(f"o_{x}") for x in ("chunk_id", "r0", "r1", "c0", "c1")])
+    box = F.struct(F.greatest("r0", "o_r0").alias("r0"), F.least("r1", "o_r1").alias("r1"), F.greatest("c0", "o_c0").alias("c0"), F.least("c1", "o_c1").alias("c1"))
+    met = placed.join(other, [KEY, "_r", "_c"]).where(F.col("chunk_id") != F.col("o_chunk_id")).withColumn("b", box)
+    met = met.where((F.col("b.r0") <= F.col("b.r1")) & (F.col("b.c0") <= F.col("b.c1")))
+    return met.groupBy(KEY, "chunk_id").agg(F.collect_set("b").alias("_boxes"))
 
 
 def render_tiles(px: DataFrame, geo: DataFrame, zoom: int, tile_px: int = 256) -> DataFrame:
