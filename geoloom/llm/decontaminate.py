@@ -26,8 +26,8 @@ WINDOW = 10
 #: Patterns of at least so many bytes, up to the next entry, share a table; the second number is the bytes of a block.
 CLASSES = ((64, 8), (32, 8), (16, 8), (8, 5), (4, 3), (3, 3))
 TABLE_BITS = 22
-#: Bytes of test text that are searched for at once and broadcast. More text takes more passes.
-PASS_BYTES = 32 << 20
+#: Bytes of test text that are searched for at once and broadcast, as windows about a hundred times as much. More text takes more passes.
+PASS_BYTES = 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
