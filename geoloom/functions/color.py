@@ -13,7 +13,7 @@ TAG_COLORS = {"Forest": "#228b22", "Cropland": "#f0e68c", "Urban": "#808080", "W
 OTHER_TAGS = ["#e11d48", "#7c3aed", "#0891b2", "#16a34a", "#ea580c", "#db2777", "#0ea5e9", "#65a30d"]
 # Label and stops of the gradient of each kind of task.
 COLORMAPS = {
-    "flammability": ("Live fuel moisture (% \u2014 low \u2192 high)", [("#dc2626", 0.0), ("#f59e0b", 0.5), ("#16a34a", 1.0)]),
+    "flammability": ("Live fuel moisture (% — low → high)", [("#dc2626", 0.0), ("#f59e0b", 0.5), ("#16a34a", 1.0)]),
     "mangrove": ("Mangrove softmax score (uncalibrated)", [("#0f172a", 0.0), ("#0891b2", 0.5), ("#67e8f9", 1.0)]),
     "landuse": ("Southern-Kenya land-use class (argmax)", [("#ca8a04", 0.0), ("#65a30d", 0.5), ("#0891b2", 1.0)]),
     "forestloss": ("Forest-loss driver (argmax class)", [("#16a34a", 0.0), ("#facc15", 0.5), ("#dc2626", 1.0)]),
