@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm import decontaminate, mixing, quality, simhash_dedup, token_files
+from geoloom.llm import decontaminate, mixing, near_copies, quality, simhash_dedup, token_files
 from geoloom.llm.common import keep
 from geoloom.llm.queries import remainder
 
@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest id."""
-    return simhash_dedup.first_of_each(docs)
+    return simhash_dedup.first_of_each(docs, similarity=near_copies.SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.llm import near_copies
 from geoloom.llm.common import connected, fresh, keep, octets, record_batch, small_batches
 
 SEED = 42
@@ -186,13 +187,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def wider_components(docs: DataFrame, fps: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """``fps`` (written) with ``component_id``, a fingerprint: links of three bits, and of near copies by five-word shingles."""
+    classes = keep(fps.select("fp").distinct())
+    linked = connected(links(classes)).toDF("fp", "linked")
+    root = keep(classes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "fp").alias("root")))
+    of_text = keep(fps.join(root, "fp").select("text_hash", "root").distinct())
+    wider = near_copies.merged(docs, of_text, text_col, least=similarity)
+    return fps.join(root.join(wider, "root").select("fp", F.col("merged").alias("component_id")), "fp")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, one of each component: the smallest (doc_id, text hash); nulls come last, one of repeated rows stays.
 
-    A component's choice is made among its ids only, and the texts are joined
-    once, by id and text hash.
+    With ``similarity``, texts whose five-word shingles are so alike link as
+    well, however many bits of their fingerprints differ. A component's choice
+    is made among its ids only, and the texts are joined once, by id and text hash.
     """
-    found = components(keep(fingerprints(docs, id_col, text_col, shingle)))
+    fps = keep(fingerprints(docs, id_col, text_col, shingle))
+    found = components(fps) if similarity is None else wider_components(docs, fps, text_col, similarity)
     pick = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("p"))
     of, digest = fresh(docs, "of", "digest")
     pick = pick.select(F.col("p.doc_id").alias(of), F.col("p.text_hash").alias(digest)).distinct()
