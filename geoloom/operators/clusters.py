@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from geoloom.operators.scale import first_per
 from geoloom.session import cut_lineage
 
-SEEDS = 8  # rows looked at for each centre wanted, as equal rows give one centre
-
 
 def standardised(df: DataFrame, keys: Sequence[str], features: Sequence[str], out: Sequence[str]) -> DataFrame:
     """``df`` with each feature less its group's mean over its population deviation; a constant one becomes 0."""
@@ -55,15 +53,16 @@ def kmeans(df: DataFrame, keys: Sequence[str], points: Sequence[str], k: int, wa
 
     ``wanted`` is the number of clusters of a group as an expression of its row
     count ``n``, ``k`` the most that any group wants. Centres begin at the rows
-    of the smallest hash, so a group's result hangs on its own rows alone. Rounds end when no
+    of the smallest hash, so a group's result hangs on its own rows alone; equal rows are one
+    point there, combined before the shuffle, however often they repeat. Rounds end when no
     centre moves farther than ``tolerance`` in any group.
     """
     keys = list(keys)
     df = cut_lineage(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("_k", wanted.cast("int"))
     draw = F.xxhash64(F.lit(seed), *points)
-    some = first_per(df.select(*keys, *points).withColumn("_h", draw), keys, [F.asc("_h")], SEEDS * k).distinct()
-    first = (first_per(some, keys, [F.asc("_h"), *[F.asc(p) for p in points]], k, "_rn").join(counts, keys)
+    different = df.select(*keys, *points).distinct().withColumn("_h", draw)
+    first = (first_per(different, keys, [F.asc("_h"), *[F.asc(p) for p in points]], k, "_rn").join(counts, keys)
              .where(F.col("_rn") <= F.col("_k")))
     centres = cut_lineage(first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_rn", F.array(*points).alias("p")))).alias("c"))
                           .select(*keys, F.transform("c", lambda x: x["p"]).alias("centres")))
