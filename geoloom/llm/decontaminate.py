@@ -11,14 +11,15 @@ numpy arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import fresh, octets, small_batches
+from geoloom.llm.common import fresh, keep, octets, small_batches
 
 # Bytes of words stay, A-Z become a-z, other ASCII becomes a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -142,17 +143,26 @@ class Search:
         return out
 
 
-def _searches(items: DataFrame, id_col: str, text_col: str, size: int, pass_bytes: int) -> list:
-    """Broadcast searches that cover ``items`` together; each is built from about ``pass_bytes`` of text."""
+def _passes(start: DataFrame, step: Callable[[DataFrame, Broadcast], DataFrame], items: DataFrame, id_col: str, text_col: str, size: int, pass_bytes: int) -> DataFrame:
+    """``start`` after a ``step`` with each of the broadcast searches that cover ``items`` together.
+
+    A search is built from about ``pass_bytes`` of text. All but the last write
+    their step's result and are gone before the next is built, so driver and
+    executors hold one at a time.
+    """
     spark = items.sparkSession
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), octets(text_col).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t") + 100)).first()[0] or 0
     passes = max(1, -(-total // pass_bytes))
     dealt = rows.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(passes)))
-    out = []
+    now = start
     for p in range(passes):
-        out.append(spark.sparkContext.broadcast(Search(((r.i, bytes(r.t)) for r in dealt.where(F.col("p") == p).toLocalIterator()), size)))
-    return out
+        search = spark.sparkContext.broadcast(Search(((r.i, bytes(r.t)) for r in dealt.where(F.col("p") == p).toLocalIterator()), size))
+        now = step(now, search)
+        if p < passes - 1:
+            now = keep(now)
+            search.destroy()
+    return now
 
 
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -164,16 +174,18 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """
     found = docs.select(F.col(id_col).alias("doc_id"), octets(text_col).alias("t"), F.lit(None).cast("binary").alias("bits"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("item_ids"))
     kind = found.schema
-    for search in _searches(items, item_id, item_text, size, pass_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+    def step(found: DataFrame, search: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in small_batches(batches, 1):
                 rows = search.value.scan(b.column(1).to_pylist())
                 before = zip(b.column(2).to_pylist(), b.column(4).to_pylist())
                 both = [(_either(x, r[2]), sorted({*(i or ()), *r[3]})) for (x, i), r in zip(before, rows)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in both], pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([i for _, i in both], pa.list_(pa.string()))], ["doc_id", "t", "bits", "n_words", "item_ids"])
 
-        found = found.mapInArrow(run, kind)
+        return found.mapInArrow(run, kind)
+
+    found = _passes(found, step, items, item_id, item_text, size, pass_bytes)
     hex_bits = F.hex("bits")
     n_hit = sum((F.length(F.regexp_replace(hex_bits, f"[^{digits}]", "")) * k for k, digits in ((1, "1248"), (2, "3569AC"), (3, "7BDE"), (4, "F"))), F.lit(0))
     return found.select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), "item_ids")
@@ -188,13 +200,14 @@ def _either(a: bytes | None, b: bytes | None) -> bytes | None:
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs, unchanged. No shuffle."""
     (text,) = fresh(docs, "t")
-    out = docs.withColumn(text, octets(text_col))
     at = len(docs.columns)
-    for search in _searches(items, item_id, item_text, size, pass_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+    def step(left: DataFrame, search: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in small_batches(batches, at):
                 yield b.filter(pa.array([not r[1] for r in search.value.scan(b.column(at).to_pylist())], pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
-    return out.drop(text)
+        rows = left.withColumn(text, octets(text_col))
+        return rows.mapInArrow(run, rows.schema).drop(text)
+
+    return _passes(docs, step, items, item_id, item_text, size, pass_bytes)

@@ -84,3 +84,33 @@ def test_query_on_whole_table(spark):
         n, hit, found = plain(texts[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items) == (n, hit, len(found))
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest() and r.contaminated == (hit > 0)
+
+
+def test_one_search_at_a_time(spark, monkeypatch):
+    """With several passes no search is built while an earlier one is still broadcast."""
+    from pyspark import Broadcast
+
+    context, live, most = type(spark.sparkContext), [], []
+    send, gone = context.broadcast, Broadcast.destroy
+
+    def broadcast(self, value):
+        live.append(send(self, value))
+        most.append(len(live))
+        return live[-1]
+
+    def destroy(self, *a):
+        live[:] = [b for b in live if b is not self]
+        return gone(self, *a)
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + j}" for j in range(30))) for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(str(i), " ".join(f"w{i + j}" for j in range(15))) for i in range(0, 60, 10)], "item_id string, text string")
+    for op in (D.clean, D.overlaps):
+        once = sorted(map(repr, op(docs, items).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(context, "broadcast", broadcast)
+            m.setattr(Broadcast, "destroy", destroy)
+            live.clear()
+            most.clear()
+            got = op(docs, items, pass_bytes=150)
+            assert sorted(map(repr, got.collect())) == once
+            assert len(most) > 2 and max(most) == 1
