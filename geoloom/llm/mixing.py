@@ -177,11 +177,24 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them. Texts are shuffled once, to their decisions."""
-    of, src, digest, times = fresh(docs, "of", "src", "digest", "times")
-    chosen = copies(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias(of), F.col("source").alias(src), F.col("text_hash").alias(digest), F.col("copies").alias(times))
-    rows = docs.withColumn(digest, F.xxhash64(F.col(text_col)))
-    rows = rows.dropDuplicates([id_col, source_col, digest])
-    same = rows[id_col].eqNullSafe(chosen[of]) & rows[source_col].cast("string").eqNullSafe(chosen[src]) & (rows[digest] == chosen[digest])
-    out = rows.join(chosen, same).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    """The rows of ``docs`` as often as the mix takes them.
+
+    Rows equal in id, source and text share their copies as in ``mix``, in an
+    order of their other columns; of rows equal in all columns one is exploded.
+    Texts are shuffled once, to their decisions.
+    """
+    of, src, same_text, digest, other, same_other, times, rows_of, n, before = fresh(docs, "of", "src", "same_text", "digest", "other", "same_other", "times", "rows_of", "n", "before")
+    chosen = copies(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias(of), F.col("source").alias(src), F.col("text_hash").alias(same_text), F.col("copies").alias(times), F.col("rows").alias(rows_of))
+    rest = [c for c in docs.columns if c not in (id_col, source_col, text_col)]
+    rows = docs.withColumns({digest: F.xxhash64(F.col(text_col)), other: F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")})
+    unit = [id_col, source_col, digest]
+    alike = rows.groupBy(*unit, other).agg(F.count(F.lit(1)).alias(n))
+    alike = alike.withColumn(before, F.sum(n).over(Window.partitionBy(*unit).orderBy(other)) - F.col(n))
+    same = alike[id_col].eqNullSafe(chosen[of]) & alike[source_col].cast("string").eqNullSafe(chosen[src]) & (alike[digest] == chosen[same_text])
+    extra = F.greatest(F.lit(0), F.least(F.col(n), F.col(times) % F.col(rows_of) - F.col(before)))
+    own = F.col(n) * F.floor(F.col(times) / F.col(rows_of)) + extra
+    share = alike.join(chosen, same).select(of, src, same_text, F.col(other).alias(same_other), own.cast("long").alias(times)).where(F.col(times) > 0)
+    rows = rows.dropDuplicates([*unit, other])
+    same = rows[id_col].eqNullSafe(share[of]) & rows[source_col].cast("string").eqNullSafe(share[src]) & (rows[digest] == share[same_text]) & (rows[other] == share[same_other])
+    out = rows.join(share, same).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
     return out.select(*[rows[c] for c in docs.columns])

@@ -87,3 +87,22 @@ def test_rows_come_as_often_as_taken(spark):
     for r in M.mix(df).collect():
         taken[r.doc_id] += r.taken // r["size"]
     assert +taken == times
+
+
+def test_variants_share_their_copies(spark):
+    """Rows of one id, source and text, but other languages, come each as often as the mix takes it."""
+    rows = [(i, "w " * (i % 30 + 1), f"s{i % 2}", lang) for i in range(60) for lang in ("de", "en", None)]
+    rows += [(900, "again and again", "s1", lang) for lang in ("de",) * 5 + ("en",) * 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    times = Counter((r.doc_id, r.lang) for r in M.mixed(df).collect())
+    taken = Counter()
+    for r in M.mix(df).collect():
+        taken[r.doc_id] += r.taken // r["size"]
+    by_id = Counter()
+    for (i, _), t in times.items():
+        by_id[i] += t
+    assert by_id == +taken
+    for i in range(60):
+        own = [times[i, lang] for lang in ("de", "en", None)]
+        assert max(own) - min(own) <= 1
+    assert sorted(map(repr, M.mixed(df.repartition(5)).collect())) == sorted(map(repr, M.mixed(df).collect()))
