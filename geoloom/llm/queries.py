@@ -179,3 +179,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     listed = F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@register("op13_exact_dedup", """
+WITH texts AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+sizes AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM texts JOIN sizes USING (text_sha256)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.exact_dedup import exact_groups
+
+    return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True)
