@@ -64,7 +64,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by = ["length", "head", "full"]
     rank = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
     ids = found.where("full IS NOT NULL").groupBy(*by, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("row"))
-    groups = ids.groupBy(*by).agg(F.sum("n").alias("size"), F.max("doc_id").alias("keep_id"), F.max_by("row", rank).alias("kept_row")).where("size > 1")
+    # written, so that the join sees their size and a large group is split on its side
+    groups = keep(ids.groupBy(*by).agg(F.sum("n").alias("size"), F.max("doc_id").alias("keep_id"), F.max_by("row", rank).alias("kept_row")).where("size > 1"))
     told = found.join(groups, by, "left")
     alone = F.col("size").isNull()
     return told.select(
