@@ -181,6 +181,73 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _plus(cell: str, cost: str, edits: str) -> str:
+    """A cell is its cost in nine digits and its audit, so that the least string is the least cell."""
+    return f"(lpad(CAST(CAST({cell}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {cell}[10:] || '{edits}')"
+
+
+_INSERTED = f"""c0 AS e0, c1 AS e1, least(c2, {_plus("c0", "3", "I")}, {_plus("c1", "3", "I")}, {_plus("c3", "3", "I")}) AS e2,
+    least(c3, {_plus("c2", "3", "I")}, {_plus("c0", "6", "II")}, {_plus("c1", "6", "II")}) AS e3"""
+_STEP = f"""
+    {_plus("e0", "4", "D")} AS c0,
+    least({_plus("e1", "4", "D")}, CASE WHEN free AND initial = 's' THEN {_plus("e0", "late", "K")} END) AS c1,
+    least({_plus("e2", "4", "D")}, CASE WHEN free AND initial = 'u' THEN least({_plus("e0", "late", "K")}, {_plus("e1", "late", "K")}, {_plus("e3", "late", "K")}) END,
+      CASE WHEN free THEN least({_plus("e0", "(3 + late)", "R")}, {_plus("e1", "(3 + late)", "R")}, {_plus("e3", "(3 + late)", "R")}) END) AS c2,
+    least({_plus("e3", "4", "D")}, CASE WHEN free AND initial = 'a' THEN {_plus("e2", "late", "K")} END, CASE WHEN free THEN {_plus("e2", "(3 + late)", "R")} END) AS c3"""
+
+
+@register("op11_conversation_repair", f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_reduce([ascii(x) FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')],
+      lambda c, x: list_reduce(range(8), lambda v, i: CASE v % 2 WHEN 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(c, x)), 4294967295) AS crc
+  FROM conversations),
+coded AS (SELECT conv_id, turn, role, text, xor(crc, 4294967295) % 20 AS code FROM keyed),
+rows AS (
+  SELECT row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, conv_id, turn, role, text
+  FROM (
+    SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+      CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM coded WHERE code <> 0)),
+told AS (
+  SELECT *, CASE WHEN last = '' THEN 1 WHEN nth > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair
+  FROM (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth FROM rows)),
+facts AS (
+  SELECT conv_id, count(*) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM told GROUP BY 1),
+cells(conv_id, n, c0, c1, c2, c3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM facts
+  UNION ALL
+  SELECT conv_id, n, {_STEP}
+  FROM (
+    SELECT conv_id, c.n + 1 AS n, {_INSERTED}, t.fault NOT IN (1, 2) AS free, t.role[1] AS initial, CASE t.fault WHEN 3 THEN 3 ELSE 0 END AS late
+    FROM cells c JOIN told t USING (conv_id) WHERE t.n = c.n + 1)),
+best AS (
+  SELECT conv_id, CAST(cell[1:9] AS BIGINT) AS cost, cell[10:] AS audit
+  FROM (SELECT conv_id, least(e0, e3) AS cell FROM (SELECT conv_id, n, {_INSERTED} FROM cells) JOIN facts USING (conv_id) WHERE n = size)),
+edits AS (
+  SELECT conv_id, edit, i, count(*) FILTER (WHERE edit <> 'I') OVER w AS n, count(*) FILTER (WHERE edit <> 'D') OVER w AS k
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS i FROM best WHERE audit <> '')
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+made AS (
+  SELECT e.conv_id, i, edit, k, t.role, CASE edit WHEN 'I' THEN '' ELSE t.text END AS text,
+    max(CASE WHEN k = 1 AND edit = 'K' AND t.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM edits e LEFT JOIN told t ON t.conv_id = e.conv_id AND t.n = e.n AND edit <> 'I' WHERE edit <> 'D'),
+repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i)) AS repaired_sha256
+  FROM made GROUP BY 1)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN repaired USING (conv_id)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geoloom.llm.conversation_repair import damaged, repair_digests
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_digests(damaged(turns), turns)
+
+
 @register("op12_filter_interaction_audit", """
 WITH letters(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
 orders AS (
