@@ -44,12 +44,6 @@ COPY = BITS["E"]
 BATCHES = 4  # micro-batches a run is cut into, if there are as many files
 BUCKET = 1 << 13  # texts of a state row, about
 
-# a store beyond the heap; a batch writes what changed and not the whole state
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
-
 
 _SIGNS = re.compile(rb"[#$%&*|]")
 
@@ -150,7 +144,8 @@ def change_log(spark: SparkSession, path: str, progress: str | None = None, batc
     With a ``progress`` folder that lasts, a later run takes only the files that
     are new and adds to the same log; the number of buckets stays as the first
     run chose it by its rows. A lost executor costs a micro-batch's tasks, a lost
-    driver the micro-batch.
+    driver the micro-batch. State is kept in the store that the session sets: Spark's
+    own holds it on the heap, so a large cluster sets the RocksDB provider.
     """
     there = spark.read.parquet(path)
     if progress and _exists(spark, f"{progress}/buckets/_SUCCESS"):
@@ -163,15 +158,8 @@ def change_log(spark: SparkSession, path: str, progress: str | None = None, batc
     path = path.rstrip("/")
     alone = f"{path[:-1]}[{path[-1]}]"  # a pattern for this path only: a stream takes a single file by pattern and not by name
     stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", each).parquet(alone)
-    own = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():  # a query takes the store that is set when it starts; the session gets its own back
-        spark.conf.set(k, v)
-    try:
-        log = changes(stream, buckets, **columns).writeStream.format("parquet").outputMode("append")
-        log.option("path", f"{progress}/changes").option("checkpointLocation", f"{progress}/state").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in own.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    log = changes(stream, buckets, **columns).writeStream.format("parquet").outputMode("append")
+    log.option("path", f"{progress}/changes").option("checkpointLocation", f"{progress}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(CHANGES).parquet(f"{progress}/changes")
 
 
