@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import fresh, keep
@@ -183,18 +183,23 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     order of their other columns; of rows equal in all columns one is exploded.
     Texts are shuffled once, to their decisions.
     """
-    of, src, same_text, digest, other, same_other, times, rows_of, n, before = fresh(docs, "of", "src", "same_text", "digest", "other", "same_other", "times", "rows_of", "n", "before")
-    chosen = copies(docs, id_col, text_col, source_col, **how).where("copies > 0").select(F.col("doc_id").alias(of), F.col("source").alias(src), F.col("text_hash").alias(same_text), F.col("copies").alias(times), F.col("rows").alias(rows_of))
+    own_id, no_id, own_source, no_source, digest, other, times, rows_of, n, before = fresh(
+        docs, "own_id", "no_id", "own_source", "no_source", "digest", "other", "times", "rows_of", "n", "before")
+    unit = [own_id, no_id, own_source, no_source, digest]
+
+    def keys(id_: str, source: str) -> dict[str, Column]:
+        """The unit's columns without nulls, so that one dealing serves all steps."""
+        a, b = F.col(id_).cast("string"), F.col(source).cast("string")
+        return {own_id: F.coalesce(a, F.lit("")), no_id: a.isNull(), own_source: F.coalesce(b, F.lit("")), no_source: b.isNull()}
+
+    chosen = copies(docs, id_col, text_col, source_col, **how).where("copies > 0")
+    chosen = chosen.withColumns(keys("doc_id", "source")).select(*unit[:4], F.col("text_hash").alias(digest), F.col("copies").alias(times), F.col("rows").alias(rows_of))
     rest = [c for c in docs.columns if c not in (id_col, source_col, text_col)]
-    rows = docs.withColumns({digest: F.xxhash64(F.col(text_col)), other: F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")})
-    unit = [id_col, source_col, digest]
+    rows = docs.withColumns({**keys(id_col, source_col), digest: F.xxhash64(F.col(text_col)), other: F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")})
     alike = rows.groupBy(*unit, other).agg(F.count(F.lit(1)).alias(n))
     alike = alike.withColumn(before, F.sum(n).over(Window.partitionBy(*unit).orderBy(other)) - F.col(n))
-    same = alike[id_col].eqNullSafe(chosen[of]) & alike[source_col].cast("string").eqNullSafe(chosen[src]) & (alike[digest] == chosen[same_text])
     extra = F.greatest(F.lit(0), F.least(F.col(n), F.col(times) % F.col(rows_of) - F.col(before)))
     own = F.col(n) * F.floor(F.col(times) / F.col(rows_of)) + extra
-    share = alike.join(chosen, same).select(of, src, same_text, F.col(other).alias(same_other), own.cast("long").alias(times)).where(F.col(times) > 0)
-    rows = rows.dropDuplicates([*unit, other])
-    same = rows[id_col].eqNullSafe(share[of]) & rows[source_col].cast("string").eqNullSafe(share[src]) & (rows[digest] == share[same_text]) & (rows[other] == share[same_other])
-    out = rows.join(share, same).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
-    return out.select(*[rows[c] for c in docs.columns])
+    share = alike.join(chosen, unit).select(*unit, other, own.cast("long").alias(times)).where(F.col(times) > 0)
+    out = rows.dropDuplicates([*unit, other]).join(share, [*unit, other]).withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    return out.select(*docs.columns)

@@ -106,3 +106,15 @@ def test_variants_share_their_copies(spark):
         own = [times[i, lang] for lang in ("de", "en", None)]
         assert max(own) - min(own) <= 1
     assert sorted(map(repr, M.mixed(df.repartition(5)).collect())) == sorted(map(repr, M.mixed(df).collect()))
+
+
+def test_texts_are_shuffled_once(spark):
+    """The join takes the dealing of the step before: one exchange carries the texts."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = M.mixed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    steps = [x.strip() for x in plan.split("\n\n")]
+    assert len([x for x in steps if re.match(r"\(\d+\) Exchange", x) and ("valueSet" in x or re.search(r"\btext#", x))]) == 1

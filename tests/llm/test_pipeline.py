@@ -6,8 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 from test_decontaminate import plain as plain_overlap
+from test_near_copies import plain_groups
 from test_mixing import plain_targets, size
-from test_simhash import plain_components, plain_fingerprint
 from test_token_files import plain as plain_ids
 
 import corpus_pipeline as P
@@ -44,7 +44,7 @@ def test_quality(spark, steps):
 
 def test_one_of_each_group(steps):
     before, after = sorted(steps[1], key=lambda r: r.doc_id), steps[2]
-    group = plain_components([plain_fingerprint(r.text) for r in before])
+    group = plain_groups([r.text for r in before])
     assert sorted(after) == [before[g] for g in sorted(set(group))]
 
 
