@@ -28,16 +28,28 @@ def order_bin(v: Column) -> Column:
     return (F.signum(v) * F.floor(F.least(F.log1p(F.abs(v) * 1000) * 1024, F.lit(1e6)))).cast("bigint")
 
 
+SENT = 64 << 20  # bytes of a table that is sent to every task
+FEW = 1 << 22  # values that are counted one by one at last, in all groups together
+
+
+def sent(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written copy of ``table``; marked to be sent to every task if it was counted and its size allows it."""
+    table = cut_lineage(table)
+    return F.broadcast(table) if table.count() * row_bytes <= SENT else table
+
+
 def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
                 probs: dict[str, float]) -> DataFrame:
     """Count ``n``, ``mean``, ``min``, ``max`` and exact quantiles per group.
 
     ``percentile`` holds all distinct values of a group in one task. Here a
     first pass counts rows per order-preserving bin, combined before the
-    shuffle, and the counts say which bins hold the wanted ranks. A second pass
-    takes the values of those bins alone. They are cut once more between their
-    own extremes, for values that crowd into one bin, and only the parts with a
-    wanted rank are sorted. The input is scanned twice and hardly shuffled.
+    shuffle, and the counts say which bins hold the wanted ranks. These bins, at
+    most two a rank and group, are sent to the tasks of the next pass, which
+    counts their rows by 4,096 parts between the bin's own extremes, and so on
+    until what is left of them is few enough to count value by value, or each is
+    one value. So counts are shuffled and not values. Only where the wanted bins
+    of all groups exceed ``SENT`` are rows dealt to them by group and bin.
     Quantiles are linear between ranks. Null and NaN do not count; rows with a
     null key belong to no group.
     """
@@ -67,37 +79,43 @@ def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
     def hi(p: float) -> Column:
         return F.ceil(F.lit(p) * (F.col("n") - 1))
 
-    def holds(before: str, size: str) -> Column:
+    def holding(table: DataFrame) -> DataFrame:
         out = F.lit(False)
         for p in probs.values():
             for rank in (lo(p), hi(p)):
-                out = out | ((rank >= F.col(before)) & (rank < F.col(before) + F.col(size)))
-        return out
-
-    wanted = bins.where(holds("_before", "_bn")).select(*keys, "_bin", "_before", "_bmin", "_bmax", *facts)
-    share = (F.col("_v") - F.col("_bmin")) / (F.col("_bmax") - F.col("_bmin"))
-    part = F.when(F.col("_bmax") > F.col("_bmin"), F.floor(share * 4095)).otherwise(0)
-    inside = (rows.join(wanted, [*keys, "_bin"]).withColumn("_part", part)
-              .groupBy(*keys, "_bin", "_part", "_v", "_before", *facts).agg(F.count(F.lit(1)).alias("_n")))
-    upto = Window.partitionBy(*keys, "_bin").orderBy("_part")
-    parts = (inside.groupBy(*keys, "_bin", "_part")
-             .agg(F.sum("_n").alias("_pn"), F.max("_before").alias("_b0"), F.max("n").alias("n"))
-             .withColumn("_pbefore", F.col("_b0") + F.sum("_pn").over(upto) - F.col("_pn"))
-             .where(holds("_pbefore", "_pn")).select(*keys, "_bin", "_part", "_pbefore"))
-    order = Window.partitionBy(*keys, "_bin", "_part").orderBy("_v")
-    ranked = (
-        inside.join(parts, [*keys, "_bin", "_part"])
-        .withColumn("_end", F.col("_pbefore") + F.sum("_n").over(order))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
+                out = out | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bn")))
+        return table.where(out).select(*keys, "_bin", "_bn", "_bmin", "_bmax", "_before", *facts)
+
+    def narrowed(wanted: DataFrame, part: Column) -> DataFrame:
+        """The rows of the wanted bins, counted by ``part``; the parts that hold a wanted rank."""
+        inside = (rows.join(wanted.withColumnsRenamed({"_bmin": "_lo", "_bmax": "_hi"}), [*keys, "_bin"])
+                  .where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).withColumn("_part", part))
+        parts = (inside.groupBy(*keys, "_bin", "_lo", "_before", *facts, "_part")
+                 .agg(F.count(F.lit(1)).alias("_pn"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
+        upto = Window.partitionBy(*keys, "_bin", "_lo").orderBy("_part")
+        before = F.col("_before") + F.sum("_pn").over(upto) - F.col("_pn")
+        return holding(parts.withColumn("_before", before).withColumnRenamed("_pn", "_bn"))
+
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    parts_of = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * 4095)).otherwise(0)
+    wanted = sent(holding(bins), 200)
+    while True:
+        (left,) = wanted.agg(F.sum(F.when(F.col("_bmin") < F.col("_bmax"), F.col("_bn")))).first()
+        if not left:
+            break
+        if left <= FEW:
+            # bins of one value stay as they are
+            wanted = narrowed(wanted.where("_bmin < _bmax"), F.col("_v")).unionByName(wanted.where("_bmin = _bmax"))
+            break
+        wanted = sent(narrowed(wanted, parts_of), 200)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_bn")), F.col("_bmin")))
 
     picks = [F.max(f).alias(f"_{f}") for f in facts]
     for name, p in probs.items():
         picks += [at(lo(p)).alias(f"_lo_{name}"), at(hi(p)).alias(f"_hi_{name}")]
-    got = ranked.groupBy(*keys).agg(*picks)
+    got = wanted.groupBy(*keys).agg(*picks)
     for f in facts:
         got = got.withColumnRenamed(f"_{f}", f)
     for name, p in probs.items():
