@@ -66,11 +66,6 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array(keys, "u8").view("i8").tolist()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, True))
-    return both / (len(a) + len(b) - both) if both else 0.0
-
-
 def sketches(docs: DataFrame, text_col: str, size: int = SHINGLE) -> DataFrame:
     """``text_hash n bands`` of every different text with words; ``n`` counts its different shingles."""
 
@@ -101,15 +96,10 @@ def _sets(docs: DataFrame, asked: DataFrame, text_col: str, size: int) -> DataFr
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The roots ``a b`` of those ``pairs`` (``a b ra rb``, text hashes and their roots) that are near copies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right = b.column(2), b.column(3)
-            good = [jaccard(left[i].values.to_numpy().view("u8"), right[i].values.to_numpy().view("u8")) >= least for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     met = pairs.join(sets.toDF("a", "sa"), "a").select("b", "ra", "rb", "sa").join(sets.toDF("b", "sb"), "b")
-    return met.select("ra", "rb", "sa", "sb").mapInArrow(run, "a long, b long").distinct()
+    both = F.size(F.array_intersect("sa", "sb"))
+    good = both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)
+    return met.where(good).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
 def _mixed(crowd: DataFrame) -> DataFrame:
