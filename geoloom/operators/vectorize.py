@@ -58,13 +58,17 @@ def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
         "label": (root // grid.shape[1] + r0) * ROW + root % grid.shape[1] + c0,
     })
     same = [grid[rr + dr, cc + dc] == cls for dr, dc in OUT]
-    # turn at the end of each side: 0 no side, 1 right, 2 ahead, 3 left
+    # corners where three or four borders meet, by the pixel to their lower right
+    around = (grid[:-1, :-1], grid[:-1, 1:], grid[1:, 1:], grid[1:, :-1])
+    node = sum((a != b).astype(np.int32) for a, b in zip(around, around[1:] + around[:1])) > 2
+    # turn at the end of each side: 0 no side, 1 right, 2 ahead, 3 left; 4 more if a node is there
     for side in range(4):
         nxt = (side + 1) % 4
         ahead_r, ahead_c = rr + STEP[side][0], cc + STEP[side][1]
         diag = grid[ahead_r + OUT[side][0], ahead_c + OUT[side][1]] == cls
         turn = np.where(~same[nxt], 1, np.where(diag, 3, 2))
-        out[f"turn{side}"] = np.where(same[side], 0, turn).astype(np.int32)
+        at_node = node[rr + (0, 1, 1, 0)[side] - 1, cc + (1, 1, 0, 0)[side] - 1]
+        out[f"turn{side}"] = np.where(same[side], 0, turn + 4 * at_node).astype(np.int32)
     out["joins_right"] = same[1] & ~own[rr, cc + 1]
     out["joins_down"] = same[2] & ~own[rr + 1, cc]
     return out
@@ -157,13 +161,14 @@ def _block_paths(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for side in range(4):
         t = pdf[pdf[f"turn{side}"] > 0]
-        turn, r, c = t[f"turn{side}"].to_numpy(), t["r"].to_numpy().astype(np.int64), t["c"].to_numpy().astype(np.int64)
+        node, turn = t[f"turn{side}"].to_numpy() > 3, t[f"turn{side}"].to_numpy() & 3
+        r, c = t["r"].to_numpy().astype(np.int64), t["c"].to_numpy().astype(np.int64)
         dr = np.select([turn == 1, turn == 2], [0, STEP[side][0]], STEP[side][0] + OUT[side][0])
         dc = np.select([turn == 1, turn == 2], [0, STEP[side][1]], STEP[side][1] + OUT[side][1])
         ds = np.select([turn == 1, turn == 2], [1, 0], 3)
         rows.append(pd.DataFrame({
             KEY: t[KEY].to_numpy(), "region": t["region"].to_numpy(), "id": (r * ROW + c) * 4 + side,
-            "next": ((r + dr) * ROW + c + dc) * 4 + (side + ds) % 4, "side": np.int32(side), "corner": turn != 2,
+            "next": ((r + dr) * ROW + c + dc) * 4 + (side + ds) % 4, "side": np.int32(side), "corner": turn != 2, "node": node,
             # the corner at the end of the side, clockwise
             "x": (c + (1, 1, 0, 0)[side]).astype(np.int32), "y": (r + (0, 1, 1, 0)[side]).astype(np.int32)}))
     out = pd.concat(rows).sort_values("id", ignore_index=True)
@@ -197,10 +202,10 @@ def _block_paths(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-_SIDES = (f"{KEY} int, region long, id long, next long, side int, corner boolean, x int, y int, entry long, pos long")
+_SIDES = (f"{KEY} int, region long, id long, next long, side int, corner boolean, node boolean, x int, y int, entry long, pos long")
 
 
-def region_rings(regions: DataFrame, block: int = 256) -> DataFrame:
+def region_rings(regions: DataFrame, block: int = 256, nodes: bool = False) -> DataFrame:
     """K14, third part. Corner vertices of every region's rings, in order.
 
     The side that follows a side depends on three pixels only and is known from
@@ -209,7 +214,9 @@ def region_rings(regions: DataFrame, block: int = 256) -> DataFrame:
     and keep the smallest side seen and how far off it is; when nothing
     changes, that is the ring's first side, and the distance gives the position
     of every vertex. Rows: ``raster_id region ring vtx x y hole``; ``x`` and
-    ``y`` count pixel corners.
+    ``y`` count pixel corners. With ``nodes`` the corners where more than two
+    borders meet are vertices even where the ring goes straight on, and ``node``
+    and the ring's length ``n`` are given.
     """
     turns = [f"turn{s}" for s in range(4)]
     edge = regions.where(F.greatest(*turns) > 0).select(KEY, "region", "r", "c", *turns)
@@ -236,8 +243,8 @@ def region_rings(regions: DataFrame, block: int = 256) -> DataFrame:
     whole = (chains.select(KEY, "entry", "len", "area").join(heads, [KEY, "entry"]).groupBy(KEY, F.col("low").alias("ring"))
              .agg(F.sum("len").alias("n"), (F.sum("area") < 0).alias("hole")))
     placed = heads.withColumnRenamed("low", "ring").join(whole, [KEY, "ring"])
-    return (sides.where("corner").select(KEY, "region", "entry", "pos", "x", "y").join(placed, [KEY, "entry"])
-            .select(KEY, "region", "ring", F.pmod(F.col("pos") - F.col("off"), F.col("n")).alias("vtx"), "x", "y", "hole"))
+    return (sides.where("corner OR node" if nodes else "corner").select(KEY, "region", "entry", "pos", "x", "y", "node").join(placed, [KEY, "entry"])
+            .select(KEY, "region", "ring", F.pmod(F.col("pos") - F.col("off"), F.col("n")).alias("vtx"), "x", "y", "hole", *(["node", "n"] if nodes else [])))
 
 
 def close_rings(rings: DataFrame, keys: list[str]) -> DataFrame:
@@ -259,36 +266,51 @@ def _gap(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column)
     return F.hypot(px - ax - along * dx, py - ay - along * dy)
 
 
-def simplify(rings: DataFrame, tol: float) -> DataFrame:
-    """K15. Douglas-Peucker per polygon; a tolerance of 0 changes nothing.
+def peucker(lines: DataFrame) -> DataFrame:
+    """The vertices ``line vtx`` of ``lines`` (``line vtx x y lon lat tol``, written) that Douglas-Peucker keeps, ends included.
 
-    All segments of all rings are split in the same round, a round per depth of
+    All segments of all lines are split in the same round, a round per depth of
     the recursion, and the farthest vertex of a segment is combined before the
-    shuffle, so a ring of any length is never in one task. A ring that would
-    be left with fewer than four vertices keeps its ends, the vertex farthest from them and
-    the one farthest from the line between: the smallest ring there is.
+    shuffle, so a line of any length is never in one task. Distances are those
+    of ``lon lat``; of equal ones the lower number counts.
     """
-    if tol <= 0:
-        return rings.select("poly_id", "vtx", "lon", "lat")
-    rings = cut_lineage(rings.select("poly_id", "vtx", "lon", "lat"))
+    own = lines.select("line", "vtx", "lon", "lat", "tol")
     end = F.struct("vtx", "lon", "lat")
-    ends = rings.groupBy("poly_id").agg(F.min_by(end, "vtx").alias("a"), F.max_by(end, "vtx").alias("b"))
-    todo = rings.join(ends, "poly_id")
-    kept = todo.where((F.col("vtx") == F.col("a.vtx")) | (F.col("vtx") == F.col("b.vtx"))).select(rings.columns)
+    ends = own.groupBy("line").agg(F.min_by(end, "vtx").alias("a"), F.max_by(end, "vtx").alias("b"))
+    todo = own.join(ends, "line")
+    kept = todo.where((F.col("vtx") == F.col("a.vtx")) | (F.col("vtx") == F.col("b.vtx"))).select("line", "vtx")
     todo, left_over = cut_and_count(todo.where((F.col("vtx") > F.col("a.vtx")) & (F.col("vtx") < F.col("b.vtx"))), F.lit(True))
     vertex = [F.col(c) for c in ("lon", "lat", "a.lon", "a.lat", "b.lon", "b.lat")]
     while left_over:
-        # by distance, then by the lower number
         farthest = F.max_by(end, F.struct("_d", -F.col("vtx")))
-        far = cut_lineage(todo.withColumn("_d", _gap(*vertex)).groupBy("poly_id", "a", "b").agg(farthest.alias("m"), F.max("_d").alias("_d"))
-                          .where(F.col("_d") > tol).drop("_d"))
-        kept = kept.unionByName(far.select("poly_id", "m.vtx", "m.lon", "m.lat"))
+        far = cut_lineage(todo.withColumn("_d", _gap(*vertex)).where(F.col("_d") > F.col("tol")).groupBy("line", "a", "b").agg(farthest.alias("m")))
+        kept = kept.unionByName(far.select("line", "m.vtx"))
         left = F.col("vtx") < F.col("m.vtx")
         todo, left_over = cut_and_count(
-            todo.join(far, ["poly_id", "a", "b"]).where(F.col("vtx") != F.col("m.vtx"))
-            .select("poly_id", "vtx", "lon", "lat", F.when(left, F.col("a")).otherwise(F.col("m")).alias("a"),
+            todo.join(far, ["line", "a", "b"]).where(F.col("vtx") != F.col("m.vtx"))
+            .select("line", "vtx", "lon", "lat", "tol", F.when(left, F.col("a")).otherwise(F.col("m")).alias("a"),
                     F.when(left, F.col("m")).otherwise(F.col("b")).alias("b")), F.lit(True))
-    kept = cut_lineage(kept)
+    return cut_lineage(kept)
+
+
+def simplify(rings: DataFrame, tol: float, keep_topology: bool = True) -> DataFrame:
+    """K15. Douglas-Peucker per polygon; a tolerance of 0 changes nothing.
+
+    A ring that would be left with fewer than four vertices keeps its ends, the
+    vertex farthest from them and the one farthest from the line between: the
+    smallest ring there is. With ``keep_topology`` vertices are put back where
+    a ring would cross or touch itself. Polygons that share borders are
+    simplified together by ``arcs.simplify_regions``.
+    """
+    from geoloom.operators.arcs import untangled
+
+    if tol <= 0:
+        return rings.select("poly_id", "vtx", "lon", "lat")
+    rings = cut_lineage(rings.select("poly_id", "vtx", "lon", "lat"))
+    lines = rings.select(F.col("poly_id").alias("line"), "vtx", F.col("lon").alias("x"), F.col("lat").alias("y"), "lon", "lat", F.lit(float(tol)).alias("tol"))
+    kept = rings.join(peucker(lines).withColumnRenamed("line", "poly_id"), ["poly_id", "vtx"])
+    end = F.struct("vtx", "lon", "lat")
+    ends = rings.groupBy("poly_id").agg(F.min_by(end, "vtx").alias("a"), F.max_by(end, "vtx").alias("b"))
     few = kept.groupBy("poly_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < 4).select("poly_id")
     inner = rings.join(few, "poly_id", "left_semi").join(ends, "poly_id").where((F.col("vtx") > F.col("a.vtx")) & (F.col("vtx") < F.col("b.vtx")))
     tip = inner.withColumn("_d", F.hypot(F.col("lon") - F.col("a.lon"), F.col("lat") - F.col("a.lat"))).groupBy("poly_id").agg(
@@ -297,40 +319,58 @@ def simplify(rings: DataFrame, tol: float) -> DataFrame:
     side = inner.join(tip, "poly_id").where(F.col("vtx") != F.col("m.vtx")).withColumn("_d", aside).groupBy("poly_id").agg(
         F.max_by(end, F.struct("_d", -F.col("vtx"))).alias("m"))
     more = tip.unionByName(side).select("poly_id", "m.vtx", "m.lon", "m.lat")
-    return kept.unionByName(more).distinct()
+    kept = kept.unionByName(more.select(kept.columns)).distinct()
+    if not keep_topology:
+        return kept.select("poly_id", "vtx", "lon", "lat")
+    plain = untangled(lines.withColumn("grp", F.col("line")).withColumn("cell", F.lit(32.0 * tol)), kept.select(F.col("poly_id").alias("line"), "vtx"))
+    return rings.join(plain.withColumnRenamed("line", "poly_id"), ["poly_id", "vtx"]).select("poly_id", "vtx", "lon", "lat")
+
 
+def _outlines(regions: DataFrame, table: DataFrame, scale: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Closed rings ``poly_id vtx x y`` of the listed regions, and which region and ring each is.
+
+    ``scale``: ``raster_id sx sy tol``: a pixel's sides and the tolerance in their unit; borders are simplified where it is above 0.
+    """
+    from geoloom.operators.arcs import simplify_regions
 
-def _outlines(regions: DataFrame, table: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Closed rings ``poly_id vtx x y`` of the listed regions, and which region and ring each is."""
-    rings = region_rings(regions, block).join(table.select(KEY, "region"), [KEY, "region"], "left_semi")
+    listed = table.select(KEY, "region")
     # read several times below
-    rings = cut_lineage(rings.withColumn("poly_id", F.concat_ws(":", KEY, "ring")))
+    if scale is None:
+        rings = cut_lineage(region_rings(regions, block).join(listed, [KEY, "region"], "left_semi"))
+    else:
+        rings = simplify_regions(cut_lineage(region_rings(regions, block, True).join(listed, [KEY, "region"], "left_semi")), scale)
+    rings = rings.withColumn("poly_id", F.concat_ws(":", KEY, "ring"))
     named = rings.select("poly_id", KEY, "region", "ring", "hole").distinct()
     closed = close_rings(rings.select("poly_id", "vtx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), ["poly_id"])
     return closed, named
 
 
 def outline(regions: DataFrame, table: DataFrame, gsd: float, tol: float = 0.0, block: int = 256) -> DataFrame:
-    """K14. Outlines in metres of the listed regions, simplified when a tolerance is given."""
-    closed, named = _outlines(regions, table, block)
+    """K14. Outlines in metres of the listed regions; with a tolerance their borders are simplified, shared ones as one."""
+    each = table.select(KEY, *[F.lit(float(v)).alias(c) for c, v in (("sx", gsd), ("sy", gsd), ("tol", tol))]).distinct()
+    closed, named = _outlines(regions, table, each if tol > 0 else None, block)
     shape = closed.select("poly_id", "vtx", (F.col("x") * gsd).alias("lon"), (-F.col("y") * gsd).alias("lat"))
-    return simplify(shape, tol).join(named, "poly_id")
+    return shape.join(named, "poly_id")
 
 
-def region_polygons(regions: DataFrame, table: DataFrame, geo: DataFrame, tol: float = 0.0, block: int = 256) -> DataFrame:
+def region_polygons(regions: DataFrame, table: DataFrame, geo: DataFrame, tol: Column | float = 0.0, block: int = 256) -> DataFrame:
     """K14. Vertices in longitude and latitude of every ring of the listed regions, outer rings and holes.
 
     ``geo``: ``raster_id x0 y0 dx dy zone south``: the corner of the raster, the
     pixel size, and the UTM zone its coordinates are in, null for degrees.
-    Rings are simplified in the raster's own coordinates, by ``tol`` of their
-    unit, and then brought to WGS84. Rows: ``raster_id region ring hole vtx lon lat``.
+    Borders are simplified in the raster's own coordinates, by ``tol`` of their
+    unit, which may be an expression of ``geo``'s columns, and then brought to
+    WGS84. Neighbours share their borders exactly, and no ring crosses itself, its
+    holes or another. Rows: ``raster_id region ring hole vtx lon lat``.
     """
-    closed, named = _outlines(regions, table, block)
-    placed = closed.join(named.select("poly_id", KEY), "poly_id").join(geo, KEY)
-    plane = placed.select("poly_id", "vtx", (F.col("x0") + F.col("x") * F.col("dx")).alias("lon"), (F.col("y0") - F.col("y") * F.col("dy")).alias("lat"))
-    shape = simplify(plane, tol).join(named, "poly_id").join(geo.select(KEY, "zone", "south"), KEY)
+    plain = not isinstance(tol, Column) and tol <= 0
+    limit = tol if isinstance(tol, Column) else F.lit(float(tol))
+    scale = None if plain else geo.select(KEY, F.abs(F.col("dx").cast("double")).alias("sx"), F.abs(F.col("dy").cast("double")).alias("sy"), limit.cast("double").alias("tol"))
+    closed, named = _outlines(regions, table, scale, block)
+    placed = closed.join(named, "poly_id").join(geo, KEY)
+    plane = placed.withColumn("lon", F.col("x0") + F.col("x") * F.col("dx")).withColumn("lat", F.col("y0") - F.col("y") * F.col("dy"))
     there = F.when(F.col("zone").isNotNull(), from_utm("lon", "lat", "zone", "south")).otherwise(F.struct("lon", "lat"))
-    return shape.withColumn("_g", there).select(KEY, "region", "ring", "hole", "vtx", F.col("_g.lon").alias("lon"), F.col("_g.lat").alias("lat"))
+    return plane.withColumn("_g", there).select(KEY, "region", "ring", "hole", "vtx", F.col("_g.lon").alias("lon"), F.col("_g.lat").alias("lat"))
 
 
 def polygon_features(polygons: DataFrame, features: DataFrame) -> DataFrame:
@@ -350,12 +390,11 @@ def polygon_features(polygons: DataFrame, features: DataFrame) -> DataFrame:
 def labelled_polygons(pixels: DataFrame, geo: DataFrame, gsd: float, min_px: int = 50, block: int = 256) -> tuple[DataFrame, DataFrame]:
     """K9. Features of labelled pixels (``raster_id r c cluster class_id class_name color confidence``) and their rings.
 
-    Regions are those of equal cluster; rings are simplified by half a pixel.
+    Regions are those of equal cluster; borders are simplified by half a pixel of their own raster.
     """
     from geoloom.operators.labels import segment_features
 
     regions = cut_lineage(connected_regions(pixels.select(KEY, "r", "c", F.col("cluster").alias("class_id")), block))
     table = cut_lineage(segment_features(pixels, regions, gsd, min_px))
     legend = pixels.groupBy(KEY, "cluster").agg(F.max("class_id").alias("class_id"), F.max("color").alias("color"))
-    (tol,) = geo.agg((F.max(F.abs("dx")) / 2).alias("t")).first()
-    return table.join(legend, [KEY, "cluster"]), region_polygons(regions, table, geo, tol or 0.0, block)
+    return table.join(legend, [KEY, "cluster"]), region_polygons(regions, table, geo, F.abs(F.col("dx")) / 2, block)

@@ -272,6 +272,30 @@ def region_polygons(t: Tables):
     return got.withColumn("is_polygon", F.col("geometry_type") == "Polygon").drop("geometry_type", "coordinates").join(boxes, ["raster_id", "region"])
 
 
+@query("K9", "labelled_polygons", f"""WITH {_REGIONS},
+score AS (SELECT raster_id, class_id, avg(CAST(r % 5 AS DOUBLE) / 4) AS conf FROM cell GROUP BY ALL)
+SELECT raster_id, region, class_id, 'class ' || class_id AS class_name, count(*) AS segment_pixels, CAST(count(*) * 100 AS DOUBLE) AS area_m2,
+  round(any_value(conf), 2) AS confidence, count(*) AS pixels_inside, true AS closed, true AS near_whole_pixels
+FROM reg JOIN score USING (raster_id, class_id) GROUP BY raster_id, region, class_id HAVING count(*) >= 4""")
+def labelled_polygons(t: Tables):
+    """Features and rings of labelled pixels; rings are simplified by half a pixel, so their area is the pixels' but for half a pixel along the border."""
+    labelled = t.fx_class.where("class_id >= 0").select(
+        "raster_id", "r", "c", F.col("class_id").alias("cluster"), "class_id", F.concat(F.lit("class "), "class_id").alias("class_name"),
+        F.lit("#808080").alias("color"), (F.col("r") % 5 / F.lit(4.0)).alias("confidence"))
+    geo = labelled.select("raster_id").distinct().selectExpr("raster_id", "1000D AS x0", "0D AS y0", "10D AS dx", "10D AS dy", "CAST(NULL AS INT) AS zone", "false AS south")
+    features, polygons = V.labelled_polygons(labelled, geo, 10.0, 4)
+    shape = cut_lineage(polygons.withColumn("poly_id", F.concat_ws(":", "raster_id", "region", "ring")))
+    edges = P.ring_edges(shape).join(shape.where("vtx = 0").select("poly_id", "raster_id", "region"), "poly_id")
+    lat1, lat2 = F.col("lat1") / 10, F.col("lat2") / 10
+    sums = edges.groupBy("raster_id", "region").agg(
+        F.abs(F.sum((F.col("lon1") / 10 - 100) * lat2 - (F.col("lon2") / 10 - 100) * lat1) / 2).alias("area"), (F.abs(F.sum(lat2 - lat1)) < 1e-6).alias("closed"),
+        F.sum(F.hypot(F.col("lon2") - F.col("lon1"), F.col("lat2") - F.col("lat1")) / 10).alias("border"))
+    got = features.join(sums, ["raster_id", "region"])
+    near = F.abs(F.col("area") - F.col("segment_pixels")) <= F.col("border") / 2
+    return got.select("raster_id", "region", "class_id", "class_name", "segment_pixels", "area_m2", F.round("class_confidence", 2).alias("confidence"),
+                      F.when(near, F.col("segment_pixels")).otherwise(F.round("area").cast("long")).alias("pixels_inside"), "closed", near.alias("near_whole_pixels"))
+
+
 @query("K15", "simplify", """WITH RECURSIVE d AS (SELECT p.poly_id, x.vtx AS a, y.vtx AS b, p.vtx, p.lon - x.lon AS px, p.lat - x.lat AS py, y.lon - x.lon AS dx, y.lat - x.lat AS dy
   FROM fx_ring p JOIN fx_ring x ON x.poly_id = p.poly_id AND x.vtx < p.vtx JOIN fx_ring y ON y.poly_id = p.poly_id AND y.vtx > p.vtx),
 e AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE least(1, greatest(0, (px * dx + py * dy) / (dx * dx + dy * dy))) END AS t FROM d),
