@@ -459,15 +459,8 @@ def overlap_boxes(px: DataFrame, cell: int = 1024) -> DataFrame:
     return met.groupBy(KEY, "chunk_id").agg(F.collect_set("b").alias("_boxes"))
 
 
-def render_tiles(px: DataFrame, geo: DataFrame, zoom: int, tile_px: int = 256) -> DataFrame:
-    """K17. Nearest-sampled XYZ tile pixels of every raster, those outside it with null values.
-
-    ``geo`` holds ``raster_id west north dx dy height width`` in degrees. Tiles
-    are listed per raster and spread over the cluster before their pixels are
-    made, so one large raster is not one task; pixels meet the raster on
-    ``(raster_id, r, c)``. Colours follow from ``class_rgba``, ``colormap_rgba``
-    or ``rgb_rgba``.
-    """
+def tile_cells(geo: DataFrame, zoom: int, tile_px: int, *also: str) -> DataFrame:
+    """The pixels ``z x y py px`` of all tiles over the rasters of ``geo``, each with the raster's nearest ``r c``, null if ``outside``."""
     from geoloom.functions.geo import lonlat_to_rc, lonlat_to_tile
 
     n = 2.0 ** zoom
@@ -477,17 +470,28 @@ def render_tiles(px: DataFrame, geo: DataFrame, zoom: int, tile_px: int = 256) -
     steps = F.sequence(F.lit(0), F.lit(tile_px - 1))
     tiles = (geo.withColumn("x", F.explode(F.sequence(lt["x"], rb["x"]))).withColumn("y", F.explode(F.sequence(lt["y"], rb["y"])))
              .repartition(KEY, "x", "y"))
-    cells = (tiles.withColumn("py", F.explode(steps)).withColumn("px", F.explode(steps))
-             .withColumn("_lon", (F.col("x") + (F.col("px") + 0.5) / tile_px) / n * 360 - 180)
-             .withColumn("_lat", F.degrees(F.atan(F.sinh(
-                 math.pi * (1 - 2 * (F.col("y") + (F.col("py") + 0.5) / tile_px) / n)))))
-             # pixel centres carry whole row and column numbers
-             .withColumn("_at", lonlat_to_rc(
-                 "_lon", "_lat", F.col("west") + F.col("dx") / 2, F.col("north") - F.col("dy") / 2,
-                 "dx", "dy", "height", "width"))
-             .select(KEY, F.lit(zoom).alias("z"), "x", "y", "py", "px", F.col("_at.outside").alias("outside"),
-                     F.when(~F.col("_at.outside"), F.col("_at.r")).alias("r"), F.when(~F.col("_at.outside"), F.col("_at.c")).alias("c")))
-    return cells.join(px, [KEY, "r", "c"], "left")
+    return (tiles.withColumn("py", F.explode(steps)).withColumn("px", F.explode(steps))
+            .withColumn("_lon", (F.col("x") + (F.col("px") + 0.5) / tile_px) / n * 360 - 180)
+            .withColumn("_lat", F.degrees(F.atan(F.sinh(
+                math.pi * (1 - 2 * (F.col("y") + (F.col("py") + 0.5) / tile_px) / n)))))
+            # pixel centres carry whole row and column numbers
+            .withColumn("_at", lonlat_to_rc(
+                "_lon", "_lat", F.col("west") + F.col("dx") / 2, F.col("north") - F.col("dy") / 2,
+                "dx", "dy", "height", "width"))
+            .select(KEY, F.lit(zoom).alias("z"), "x", "y", "py", "px", *also, F.col("_at.outside").alias("outside"),
+                    F.when(~F.col("_at.outside"), F.col("_at.r")).alias("r"), F.when(~F.col("_at.outside"), F.col("_at.c")).alias("c")))
+
+
+def render_tiles(px: DataFrame, geo: DataFrame, zoom: int, tile_px: int = 256) -> DataFrame:
+    """K17. Nearest-sampled XYZ tile pixels of every raster, those outside it with null values.
+
+    ``geo`` holds ``raster_id west north dx dy height width`` in degrees. Tiles
+    are listed per raster and spread over the cluster before their pixels are
+    made, so one large raster is not one task; pixels meet the raster on
+    ``(raster_id, r, c)``. Colours follow from ``class_rgba``, ``colormap_rgba``
+    or ``rgb_rgba``. Far out, ``pyramids.render_overviews`` reads less.
+    """
+    return tile_cells(geo, zoom, tile_px).join(px, [KEY, "r", "c"], "left")
 
 
 def stretch_uint8(px: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:

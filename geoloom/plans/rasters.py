@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from geoloom.fixtures import Tables, values_sql
 from geoloom.functions.color import class_rgba, colormap_rgba, rgb_rgba
 from geoloom.operators import rasters as R
+from geoloom.operators.pyramids import read_pyramid, render_overviews, write_pyramid
 from geoloom.registry import query
+from geoloom.sources.sinks import scratch_path
 
 # The land-cover legend (code, name, colour).
 LAND_COVER = [
@@ -445,5 +447,44 @@ def render_tiles(t: Tables):
 
 
 def _tile_geo(t: Tables):
+    """Pixels of 0.02 degrees, the rasters a degree apart."""
     return (R.raster_size(t.fx_class).withColumn("west", 10 + F.col("raster_id").cast("double"))
             .withColumn("north", F.lit(45.0)).withColumn("dx", F.lit(0.02)).withColumn("dy", F.lit(0.02)))
+
+
+LEVELS = 3
+
+
+def _pyramid(t: Tables):
+    path = scratch_path(t.spark, "pyramid")
+    write_pyramid(t.fx_class, path, LEVELS, nearest=["class_id"], mean=["scalar"])
+    return read_pyramid(t.spark, path)
+
+
+@query("K17", "raster_pyramid", """
+SELECT CAST(k AS INT) AS level, raster_id, CAST(r // (1 << k) AS BIGINT) AS r, CAST(c // (1 << k) AS BIGINT) AS c,
+  max(CASE WHEN r % (1 << k) = 0 AND c % (1 << k) = 0 THEN class_id END) AS class_id, round(avg(scalar), 6) AS scalar
+FROM fx_class, range(4) v(k) GROUP BY 1, 2, 3, 4""")
+def raster_pyramid(t: Tables):
+    return _pyramid(t).withColumn("scalar", F.round("scalar", 6))
+
+
+@query("K17", "overview_tiles", """
+WITH g AS (SELECT raster_id, 10 + CAST(raster_id AS DOUBLE) AS west, CAST(45 AS DOUBLE) AS north, max(r) + 1 AS h, max(c) + 1 AS w FROM fx_class GROUP BY 1),
+t AS (SELECT raster_id, west, north, h, w,
+        CAST(floor((west + 180) / 360 * 256) AS INT) AS x0, CAST(floor((west + 0.02::DOUBLE * w + 180) / 360 * 256) AS INT) AS x1,
+        CAST(floor((1 - ln(tan(radians(north)) + 1 / cos(radians(north))) / pi()) / 2 * 256) AS INT) AS y0,
+        CAST(floor((1 - ln(tan(radians(north - 0.02::DOUBLE * h)) + 1 / cos(radians(north - 0.02::DOUBLE * h))) / pi()) / 2 * 256) AS INT) AS y1 FROM g),
+p AS (SELECT t.*, xx AS x, yy AS y, CAST(i AS INT) AS py, CAST(j AS INT) AS px, (xx + (j + 0.5) / 16) / 256 * 360 - 180 AS lon,
+        degrees(atan(sinh(pi() * (1 - 2 * (yy + (i + 0.5) / 16) / 256)))) AS lat
+      FROM (SELECT *, CAST(unnest(range(x0, x1 + 1)) AS INT) AS xx FROM t) t, LATERAL (SELECT CAST(unnest(range(y0, y1 + 1)) AS INT) AS yy), range(16) a(i), range(16) b(j)),
+s AS (SELECT raster_id, x, y, py, px, h, w, CAST(round_even((north - 0.01::DOUBLE - lat) / 0.02::DOUBLE, 0) AS INT) AS r,
+        CAST(round_even((lon - west - 0.01::DOUBLE) / 0.02::DOUBLE, 0) AS INT) AS c FROM p),
+u AS (SELECT *, r < h AND c < w AND r >= 0 AND c >= 0 AS inside FROM s),
+o AS (SELECT raster_id, r // 4 AS r4, c // 4 AS c4, max(CASE WHEN r % 4 = 0 AND c % 4 = 0 THEN class_id END) AS class_id, avg(scalar) AS scalar FROM fx_class GROUP BY 1, 2, 3)
+SELECT u.raster_id, x, y, py, px, CAST(2 AS INT) AS level, NOT inside AS outside, class_id, round(scalar, 6) AS scalar
+FROM u LEFT JOIN o ON inside AND o.raster_id = u.raster_id AND r4 = r // 4 AND c4 = c // 4""")
+def overview_tiles(t: Tables):
+    """At zoom 8 a tile's pixel is 0.088 degrees, four and a half of the raster's: level 2."""
+    got = render_overviews(_pyramid(t), _tile_geo(t), 8, LEVELS, 16)
+    return got.select("raster_id", "x", "y", "py", "px", "level", "outside", "class_id", F.round("scalar", 6).alias("scalar"))
