@@ -58,6 +58,13 @@ def _strip(t: Column) -> Column:
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
+# Markup that goes.
+HEADING = r"(?m)^\s{0,3}#{1,6}\s+"
+BOLD = r"\*\*(.+?)\*\*"
+BULLET = r"(?m)^\s*[-*]\s+"
+BLANK_LINES = r"\n{3,}"
+
+
 def bind(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once, not once per use."""
     return F.transform(F.array(value), body)[0]
@@ -78,10 +85,10 @@ def strip_meta(text: Column) -> Column:
     for _ in range(3):
         t = bind(t, skip_opener)
     t = _strip(F.regexp_replace(t, PARAGRAPH, ""))
-    t = F.regexp_replace(t, r"(?m)^\s{0,3}#{1,6}\s+", "")
-    t = F.regexp_replace(t, r"\*\*(.+?)\*\*", "$1")
-    t = F.regexp_replace(t, r"(?m)^\s*[-*]\s+", "")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    t = F.regexp_replace(t, HEADING, "")
+    t = F.regexp_replace(t, BOLD, "$1")
+    t = F.regexp_replace(t, BULLET, "")
+    t = F.regexp_replace(t, BLANK_LINES, "\n\n")
     n = F.coalesce(F.length(text), F.lit(0))
     return F.when(n == 0, "").otherwise(bind(t, lambda x: F.when(
         (F.length(x) < MIN_CHARS) & (n >= MIN_CHARS), UNFINISHED).otherwise(x)))

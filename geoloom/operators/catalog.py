@@ -115,28 +115,31 @@ def task_dispatch(jobs: DataFrame, heads: DataFrame) -> DataFrame:
         "warning", F.when(pre_post & ~dated, "event date is missing").when(radar, "radar input is missing"))
 
 
+# Words of a failure, what to do about it, and the parameters of the next run.
+NO_DATA = ["empty", "all-zero", "no scenes", "no sentinel", "sentinelfetcherror", "pre-normalized"]
+WRONG_RANGE = ["outside", "dn range"]
+NOT_FINITE = ["non-finite", "nan"]
+WIDER_DATES = '{"date_range":"2024-03-01/2024-09-30"}'
+ONE_WINDOW = '{"sliding_window":false}'
+SMALLER = '{"max_size_px":128}'
+
+
 def suggest_retries(failures: DataFrame) -> DataFrame:
     """B11. Ways to run a failed request again, from the text of the failure."""
     r = F.lower(F.coalesce("reason", F.lit("")))
 
-    def has(*words: str) -> Column:
-        out = r.contains(words[0])
-        for w in words[1:]:
-            out = out | r.contains(w)
-        return out
-
-    empty = has("empty", "all-zero", "no scenes", "no sentinel", "sentinelfetcherror", "pre-normalized")
+    def has(words: Sequence[str]) -> Column:
+        return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(r, w))
 
     def option(action: str, params: str) -> Column:
         return F.struct(F.lit(action).alias("action"), F.lit(params).alias("params"))
 
     known = F.array_compact(F.array(
-        F.when(empty, option("widen_dates", '{"date_range":"2024-03-01/2024-09-30"}')),
-        F.when(empty & F.coalesce("sliding_window", F.lit(False)), option("one_window", '{"sliding_window":false}')),
-        F.when(has("outside", "dn range"), option("other_area_or_dates", "{}")),
-        F.when(has("non-finite", "nan"), option("retry_once", "{}"))))
-    generic = F.array(option("smaller_input", '{"max_size_px":128}'))
-    options = F.when(F.size(known) > 0, known).otherwise(generic)
+        F.when(has(NO_DATA), option("widen_dates", WIDER_DATES)),
+        F.when(has(NO_DATA) & F.coalesce("sliding_window", F.lit(False)), option("one_window", ONE_WINDOW)),
+        F.when(has(WRONG_RANGE), option("other_area_or_dates", "{}")),
+        F.when(has(NOT_FINITE), option("retry_once", "{}"))))
+    options = F.when(F.size(known) > 0, known).otherwise(F.array(option("smaller_input", SMALLER)))
     return failures.withColumn("_o", F.explode(options)).select(
         *failures.columns, F.col("_o.action").alias("action"), F.col("_o.params").alias("params"))
 
@@ -147,10 +150,32 @@ def first_match(task: Column, keywords: Sequence[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(t.contains(k), F.lit(m)) for k, m in keywords])
 
 
-def _substrings(text: Column, most: Column) -> Column:
-    """The different parts of a text of up to ``most`` characters."""
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(text) - i + 1, most))), lambda n: F.substr(text, i, n)))))
+GRAM = 4  # characters of the pieces by which a text is looked up inside others
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The different pieces of ``size`` characters of a text that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
+
+
+def texts_inside(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """``needle text``: which of the different ``needles`` (``needle``) occur in which of the different ``texts`` (``text``).
+
+    A text gives its pieces of ``GRAM`` characters, as many as it has characters,
+    and shorter pieces only for the lengths of needles that are shorter. A
+    needle looks for the one of its pieces that fewest texts have, and what it
+    meets there is compared directly. Empty needles are in no text.
+    """
+    needles, texts = needles.select("needle").where("needle <> ''").distinct(), texts.select("text").where("text <> ''").distinct()
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    sizes = [r.s for r in needles.select(size.alias("s")).distinct().collect()]  # GRAM different ones at most
+    pieces = texts.select("text", F.explode(F.array(*[F.lit(s) for s in sizes]).cast("array<int>")).alias("_s")).where(F.length("text") >= F.col("_s"))
+    pieces = pieces.select("text", F.explode(_grams(F.col("text"), F.col("_s"))).alias("_g"))
+    held = pieces.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = needles.select("needle", F.explode(_grams(F.col("needle"), size)).alias("_g")).join(held, "_g", "left")
+    # a piece that no text has means that no text has the needle
+    rare = own.groupBy("needle").agg(F.min_by("_g", F.coalesce("_n", F.lit(0))).alias("_g"), F.min(F.coalesce("_n", F.lit(0))).alias("_n")).where("_n > 0").drop("_n")
+    return pieces.join(rare, "_g").where(F.contains("text", "needle")).select("needle", "text")
 
 
 def recommend_model(tasks: DataFrame, catalog: DataFrame, aliases: Sequence[tuple[str, str]],
@@ -159,21 +184,20 @@ def recommend_model(tasks: DataFrame, catalog: DataFrame, aliases: Sequence[tupl
 
     ``catalog``: ``repo_id type task_key task size_tier pos``. A head matches if
     its key is in the task, or the task in its key or name; texts inside texts
-    are found by equi-joins on their parts, for each different task once, so
-    neither side is held whole. Of the aliases in the task the first whose
+    are found by their rarest piece (``texts_inside``), for each different task
+    once, so neither side is held whole. Of the aliases in the task the first whose
     model is in the catalog counts.
     """
     task = F.lower(F.trim(F.coalesce("task", F.lit(""))))
     each = tasks.select(task.alias("_t")).where("_t <> ''").distinct()
     heads = catalog.where("type = 'fine-tuned'").select(
         "pos", "repo_id", F.lower("task_key").alias("_key"), F.lower(F.coalesce("task", F.lit(""))).alias("_human")).where("_key <> ''")
-    longest_key = heads.agg(F.coalesce(F.max(F.length("_key")), F.lit(1)).alias("n")).scalar()
-    longest_task = each.agg(F.coalesce(F.max(F.length("_t")), F.lit(1)).alias("n")).scalar()
-    inside = each.withColumn("_m", longest_key).select("_t", F.explode(_substrings(F.col("_t"), F.col("_m"))).alias("_key")).join(heads.select("pos", "repo_id", "_key"), "_key")
-    around = (heads.withColumn("_m", longest_task)
-              .withColumn("_t", F.explode(F.array_union(_substrings(F.col("_key"), F.col("_m")), _substrings(F.col("_human"), F.col("_m")))))
-              .join(each, "_t"))
-    found = inside.select("_t", "pos", "repo_id").unionByName(around.select("_t", "pos", "repo_id"))
+    keys = texts_inside(heads.select(F.col("_key").alias("needle")), each.select(F.col("_t").alias("text"))).toDF("_key", "_t")
+    names = heads.select(F.col("_key").alias("text")).union(heads.select("_human"))
+    about = texts_inside(each.select(F.col("_t").alias("needle")), names).toDF("_t", "_name")
+    found = keys.join(heads, "_key").select("_t", "pos", "repo_id")
+    for name in ("_key", "_human"):
+        found = found.unionByName(about.join(heads.withColumn("_name", F.col(name)), "_name").select("_t", "pos", "repo_id"))
     head = found.groupBy("_t").agg(F.min_by("repo_id", F.struct("pos", "repo_id")).alias("_head"))
     hits = F.array_compact(F.array(*[F.when(F.contains("_t", F.lit(k)), F.struct(F.lit(i).alias("i"), F.lit(m).alias("repo_id"))) for i, (k, m) in enumerate(aliases)]))
     known = (each.select("_t", F.explode(hits).alias("_a")).select("_t", "_a.*").join(catalog.select("repo_id").distinct(), "repo_id", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from geoloom.fixtures import Tables, values_sql
@@ -80,10 +81,42 @@ def write_geojson(t: Tables):
 def read_geoparquet(t: Tables):
     path = W.scratch_path(t.spark, "geoparquet")
     W.write_geoparquet(t.fx_point.select("pid", "lon", "lat"), path)
-    got = S.decode_wkb(t.spark.read.parquet(path).select("pid", "geometry"))
+    got = S.read_geoparquet(t.spark, path)
     return got.select("pid", "geometry_type", F.round(F.col("rings")[0][0][0], 6).alias("lon"), F.round(F.col("rings")[0][0][1], 6).alias("lat"))
 
 
+_KINDS = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
+
+
+@query("A6", "read_geoparquet_kinds", f"""
+WITH k AS (SELECT poly_id, vtx, lon, lat, ['{"', '".join(_KINDS)}'][1 + poly_id % 6] AS kind, (poly_id // 6) % 4 AS d FROM fx_ring),
+v AS (SELECT k.*, p AS part FROM k, (VALUES (0), (1)) w(p) WHERE p = 0 OR kind LIKE 'Multi%' AND kind <> 'MultiPoint')
+SELECT poly_id, kind AS geometry_type, ['XY', 'XYZ', 'XYM', 'XYZM'][1 + d] AS dims, CAST(count(*) FILTER (WHERE kind <> 'Point' OR vtx = 0) AS BIGINT) AS n_positions,
+  CAST(max(CASE kind WHEN 'MultiPoint' THEN vtx ELSE part END) + 1 AS BIGINT) AS n_parts,
+  round(sum(CASE WHEN kind <> 'Point' OR vtx = 0 THEN lon + 100 * part END), 4) AS x, round(sum(CASE WHEN kind <> 'Point' OR vtx = 0 THEN lat END), 4) AS y,
+  round(CAST(sum(CASE WHEN kind <> 'Point' OR vtx = 0 THEN CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 * vtx + 7 ELSE vtx END END) AS DOUBLE), 4) AS other
+FROM v GROUP BY ALL""")
+def read_geoparquet_kinds(t: Tables):
+    """Every kind and dimension, written and read back through the reader."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("poly_id") % 6 + 1).cast("int"))
+    d = F.floor(F.col("poly_id") / 6) % 4
+    more = F.when(d == 0, F.array().cast("array<double>")).when(d == 3, F.array(F.col("vtx").cast("double"), F.col("vtx") + F.lit(7.0))).otherwise(F.array(F.col("vtx").cast("double")))
+    line = t.fx_ring.groupBy("poly_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vtx", F.concat(F.array("lon", "lat"), more).alias("p")))), lambda v: v["p"]).alias("line"))
+    moved = F.transform("line", lambda p: F.concat(F.array(p[0] + 100), F.slice(p, F.lit(2), F.size(p))))
+    parts = (F.when(kind == "Point", F.array(F.array(F.slice("line", 1, 1)))).when(kind == "MultiPoint", F.transform("line", lambda p: F.array(F.array(p))))
+             .when(kind.startswith("Multi"), F.array(F.array(F.col("line")), F.array(moved))).otherwise(F.array(F.array(F.col("line")))))
+    dims = F.element_at(F.array(*[F.lit(x) for x in ("XY", "XYZ", "XYM", "XYZM")]), (d + 1).cast("int"))
+    path = W.scratch_path(t.spark, "geometries")
+    W.write_geometries(line.select("poly_id", kind.alias("geometry_type"), dims.alias("dims"), parts.alias("parts")), path)
+    got = S.read_geoparquet(t.spark, path).withColumn("p", F.flatten("rings"))
+
+    def total(of) -> Column:
+        return F.round(F.aggregate("p", F.lit(0.0), lambda s, p: s + of(p)), 4)
+
+    return got.select("poly_id", "geometry_type", "dims", F.size("p").cast("bigint").alias("n_positions"), F.size("parts").cast("bigint").alias("n_parts"),
+                      total(lambda p: p[0]).alias("x"), total(lambda p: p[1]).alias("y"), total(lambda p: F.coalesce(F.get(p, F.lit(2)), F.lit(0.0)) + F.coalesce(F.get(p, F.lit(3)), F.lit(0.0))).alias("other"))
+
+
 @query("A8", "vector_profile", """SELECT 'Polygon' AS geometry_type, count(DISTINCT poly_id) AS feature_count, round(min(lon), 6) AS west, round(min(lat), 6) AS south,
   round(max(lon), 6) AS east, round(max(lat), 6) AS north, 'poly_id,vtx,lon,lat' AS columns, min(poly_id) AS sample_id FROM fx_ring
 UNION ALL SELECT 'LineString', count(DISTINCT poly_id), round(min(lon), 6), round(min(lat), 6), round(max(lon), 6), round(max(lat), 6), 'poly_id,vtx,lon,lat', min(poly_id) FROM fx_ring WHERE vtx < 5

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoloom.functions.geo import bbox_ring
+from geoloom.sources.wkb import decode_wkb
 
 # File extensions and their formats, leading bytes and theirs, the size cap.
 EXTENSIONS = {
@@ -160,41 +161,8 @@ def encode_point_wkb(lon: str, lat: str) -> Column:
     return F.pandas_udf(pack, T.BinaryType())(lon, lat)
 
 
-def _rings(buf: bytes) -> tuple[str | None, list | None]:
-    order = "<" if buf[0] == 1 else ">"
-    kind = struct.unpack_from(order + "I", buf, 1)[0]
-    if kind == 1:
-        return "Point", [[list(struct.unpack_from(order + "dd", buf, 5))]]
-    if kind != 3:
-        return None, None
-    n, at, rings = struct.unpack_from(order + "I", buf, 5)[0], 9, []
-    for _ in range(n):
-        k = struct.unpack_from(order + "I", buf, at)[0]
-        flat = struct.unpack_from(order + f"{2 * k}d", buf, at + 4)
-        rings.append([list(p) for p in zip(flat[::2], flat[1::2])])
-        at += 4 + 16 * k
-    return "Polygon", rings
-
-
-def decode_wkb(df: DataFrame, col: str = "geometry") -> DataFrame:
-    """A6. Points and polygons from WKB as ``geometry_type`` and ``rings``; other types give nulls."""
-    schema = T.StructType([f for f in df.schema if f.name != col]
-                          + [T.StructField("geometry_type", T.StringType()),
-                             T.StructField("rings", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
-
-    def scan(batches):
-        for pdf in batches:
-            got = [(None, None) if b is None else _rings(bytes(b)) for b in pdf[col]]
-            out = pdf.drop(columns=[col])
-            out["geometry_type"] = [g[0] for g in got]
-            out["rings"] = [g[1] for g in got]
-            yield out
-
-    return df.mapInPandas(scan, schema)
-
-
 def read_geoparquet(spark: SparkSession, path: str, col: str = "geometry") -> DataFrame:
-    """A6. Column pruning and filters on plain columns still reach the parquet scan."""
+    """A6. Geometries of any kind (``wkb.decode_wkb``). Column pruning and filters on plain columns still reach the parquet scan."""
     return decode_wkb(spark.read.parquet(path), col)
 
 

@@ -74,3 +74,10 @@ def write_geoparquet(points: DataFrame, path: str) -> None:
     from geoloom.sources.files import encode_point_wkb
 
     points.withColumn("geometry", encode_point_wkb("lon", "lat")).write.parquet(path)
+
+
+def write_geometries(features: DataFrame, path: str) -> None:
+    """Features (``geometry_type dims parts`` as ``wkb.decode_wkb`` gives them) with a WKB ``geometry`` column."""
+    from geoloom.sources.wkb import encode_wkb
+
+    features.withColumn("geometry", encode_wkb("geometry_type", "dims", "parts")).drop("geometry_type", "dims", "parts").write.parquet(path)

@@ -292,3 +292,16 @@ def test_polygons_in_wgs84_are_exact_with_holes(spark):
         assert {n: len(c) for n, c in shapes.items()} == {42: 2, 6: 1}
 
 
+
+
+def test_texts_inside_texts(spark):
+    """Against every pair; needles shorter than a piece, missing ones and one in a text that repeats its pieces."""
+    from geoloom.operators.catalog import texts_inside
+
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abc"), rng.integers(1, 40))) for _ in range(200)] + ["a" * 300, "é日本語ab", ""]
+    needles = ["a", "ab", "abc", "abca", "abcabc", "zzzz", "aaaaaaa", "日本", "語ab", "", "b" * 9] + [t[2:9] for t in texts[:40]]
+    got = texts_inside(spark.createDataFrame([(x,) for x in needles * 2], "needle string"), spark.createDataFrame([(x,) for x in texts], "text string"))
+    want = {(n, t) for n in needles if n for t in texts if n in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.count() > 200 and texts_inside(got.select("needle").limit(0), got.select("text")).count() == 0
