@@ -6,8 +6,18 @@ context that was ever seen; where the byte never followed it, an escape is paid
 and the next shorter one is asked, down to one in 256. (Escapes as in method C:
 as likely as the context has different followers; without exclusions.) The
 statistics are frozen, so a byte's code length hangs on itself and the three
-before it alone, and a text's is a sum over its runs of four bytes. The language
-of the least sum wins.
+before it alone, and a text's is a sum over its runs of four bytes.
+
+A text is cut into pieces of 128 bytes. A piece's code length under each language
+gives the languages' shares of the piece, two to the power of minus the bits over
+their sum; the language with the largest share of all bytes wins, and that share
+is the score. So a quoted passage of another language, whose bits could outweigh the
+rest of the text, counts by its length only.
+
+Null texts and those without a letter are unknown; very long ones count whole, in
+parts. Rows that repeat are judged each, and teach once. Among equal shares the
+first language by name wins. Without rows to learn from every text is unknown; no
+rows give no rows. Columns other than id, text and language play no part.
 """
 
 from __future__ import annotations

@@ -8,6 +8,10 @@ leading singular vectors of a labelled sample they are its latent-semantic
 vector. The sample's vectors are broadcast; every document's cosine with every
 one of them is computed exactly, in blocks, and the nearest vote with their
 similarity.
+
+Neighbours equally near as the last that votes have the same weight; which of them
+votes is not fixed. Very long texts count whole. Rows that repeat are scored
+each. No rows give no rows; columns other than id, text and label play no part.
 """
 
 from __future__ import annotations

@@ -12,6 +12,10 @@ bytes with ``byte_fallback``, else once.
 
 A text is cut as by the library's ``Metaspace``: spaces become ``▁``, one is put
 in front, and a unit begins at each. Counts of frequent units are kept.
+
+Rows that repeat are counted each; null and empty texts have no tokens; a very long
+text counts whole. No rows give no rows; columns other than id and text play no
+part, whatever their names.
 """
 
 from __future__ import annotations
