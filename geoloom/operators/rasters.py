@@ -22,10 +22,13 @@ def ndvi(red: Column, nir: Column) -> Column:
     return F.when(nir + red > 0, (nir - red) / (nir + red))
 
 
-def raster_profile(px: DataFrame, value: str, nodata: float | None = None, bands: Sequence[str] | None = None, geo: DataFrame | None = None) -> DataFrame:
+def raster_profile(px: DataFrame, value: str, nodata: float | None = None, bands: Sequence[str] | None = None, geo: DataFrame | None = None,
+                   overviews: DataFrame | None = None) -> DataFrame:
     """A7. Size, type, nodata, bands and value range per raster; bounds and resolution where ``geo`` has its corner and pixel size.
 
-    ``geo``: ``raster_id west north dx dy`` in degrees.
+    ``geo``: ``raster_id west north dx dy`` in degrees. ``overviews``: a
+    pyramid's ``raster_id level``; a raster with a level above 0 is cloud
+    optimised (``is_cog``), and its format is ``cog`` instead of ``geotiff``.
     """
     names = list(bands or [value])
     v = F.col(value)
@@ -36,6 +39,10 @@ def raster_profile(px: DataFrame, value: str, nodata: float | None = None, bands
         F.min(valid).alias("min_value"), F.max(valid).alias("max_value"),
     ).withColumns({"bands": F.lit(len(names)), "band_names": F.lit(",".join(names)), "dtype": F.lit(px.schema[value].dataType.simpleString()),
                    "nodata": F.lit(nodata).cast("double")})
+    if overviews is not None:
+        seen = overviews.groupBy(KEY).agg((F.max("level") > 0).alias("is_cog"))
+        got = got.join(seen, KEY, "left").withColumn("is_cog", F.coalesce("is_cog", F.lit(False)))
+        got = got.withColumn("format", F.when(F.col("is_cog"), "cog").otherwise("geotiff"))
     if geo is None:
         return got
     return (got.join(geo.select(KEY, "west", "north", "dx", "dy"), KEY)

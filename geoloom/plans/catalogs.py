@@ -85,6 +85,28 @@ def read_geoparquet(t: Tables):
     return got.select("pid", "geometry_type", F.round(F.col("rings")[0][0][0], 6).alias("lon"), F.round(F.col("rings")[0][0][1], 6).alias("lat"))
 
 
+@query("A15", "feature_collection", """
+SELECT poly_id, 'Polygon' AS geometry_type, 'surveys' AS source, CAST(count(*) AS BIGINT) AS n_positions, round(min(lon), 6) AS west, round(max(lat), 6) AS north,
+  round(sum(lon * vtx), 4) AS x, round(sum(lat * vtx), 4) AS y FROM fx_ring GROUP BY 1""")
+def feature_collection(t: Tables):
+    """Whole bodies, read back as collections, compared by their geometry."""
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("vtx", F.array("lon", "lat").alias("p")))), lambda v: v["p"])
+    rings = t.fx_ring.groupBy("poly_id").agg(F.array(ring).alias("coordinates")).select("poly_id", F.lit("Polygon").alias("geometry_type"), "coordinates")
+    path = W.scratch_path(t.spark, "collections")
+    W.write_feature_collection(rings.repartition(3), path, source="surveys", scene="S2 \"A\"")
+    got = S.read_geojson(t.spark, path).withColumn("p", F.from_json("coordinates", "array<array<array<double>>>")[0])
+
+    def over(k: int) -> Column:
+        return F.transform("p", lambda p: F.get(p, F.lit(k)))
+
+    def weighed(k: int) -> Column:
+        return F.round(F.aggregate(F.transform(over(k), lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x), 4)
+
+    return got.select(F.variant_get("properties", "$.poly_id", "bigint").alias("poly_id"), "geometry_type", F.variant_get("properties", "$.source", "string").alias("source"),
+                      F.size("p").cast("bigint").alias("n_positions"), F.round(F.array_min(over(0)), 6).alias("west"), F.round(F.array_max(over(1)), 6).alias("north"),
+                      weighed(0).alias("x"), weighed(1).alias("y"))
+
+
 _KINDS = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
 
 

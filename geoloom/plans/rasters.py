@@ -43,10 +43,14 @@ SELECT raster_id, max(r) + 1 AS height, max(c) + 1 AS width, count(*) AS n_pixel
        min(class_id) FILTER (WHERE class_id <> -1) AS min_value,
        max(class_id) FILTER (WHERE class_id <> -1) AS max_value,
        2 AS bands, 'class_id,scalar' AS band_names, 'int' AS dtype, CAST(-1 AS DOUBLE) AS nodata, CAST(10 + raster_id AS DOUBLE) AS west, CAST(45 AS DOUBLE) AS north,
-       CAST(0.02 AS DOUBLE) AS res_x, CAST(0.02 AS DOUBLE) AS res_y, round(10 + raster_id + (max(c) + 1) * 0.02::DOUBLE, 6) AS east, round(45 - (max(r) + 1) * 0.02::DOUBLE, 6) AS south
+       CAST(0.02 AS DOUBLE) AS res_x, CAST(0.02 AS DOUBLE) AS res_y, round(10 + raster_id + (max(c) + 1) * 0.02::DOUBLE, 6) AS east, round(45 - (max(r) + 1) * 0.02::DOUBLE, 6) AS south,
+       raster_id % 2 = 0 AS is_cog, CASE raster_id % 2 WHEN 0 THEN 'cog' ELSE 'geotiff' END AS format
 FROM fx_class GROUP BY raster_id""")
 def raster_profile(t: Tables):
-    got = R.raster_profile(t.fx_class, "class_id", -1, ["class_id", "scalar"], _tile_geo(t))
+    """Every second raster has overviews."""
+    path = scratch_path(t.spark, "overviews")
+    write_pyramid(t.fx_class.where("raster_id % 2 = 0"), path, 1, nearest=["class_id"])
+    got = R.raster_profile(t.fx_class, "class_id", -1, ["class_id", "scalar"], _tile_geo(t), read_pyramid(t.spark, path))
     return got.withColumns({"east": F.round("east", 6), "south": F.round("south", 6)})
 
 

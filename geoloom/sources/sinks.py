@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +21,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write_geojson(features: DataFrame, path: str, **provenance: str) -> None:
-    """A15. One GeoJSON feature per line. ``features``: ``geometry_type coordinates`` and properties."""
+def _features(features: DataFrame, provenance: dict[str, str]) -> DataFrame:
+    """``value``: each feature as text, provenance among its properties."""
     props = [F.col(c) for c in features.columns if c not in ("geometry_type", "coordinates")]
     props += [F.lit(v).alias(k) for k, v in provenance.items()]
     feature = F.struct(F.lit("Feature").alias("type"),
                        F.struct(F.col("geometry_type").alias("type"), "coordinates").alias("geometry"),
                        F.struct(*props).alias("properties"))
-    features.select(F.to_json(feature).alias("value")).write.text(path)
+    return features.select(F.to_json(feature).alias("value"))
+
+
+def write_geojson(features: DataFrame, path: str, **provenance: str) -> None:
+    """A15. One GeoJSON feature per line. ``features``: ``geometry_type coordinates`` and properties."""
+    _features(features, provenance).write.text(path)
+
+
+def write_feature_collection(features: DataFrame, path: str, **provenance: str) -> None:
+    """A15. FeatureCollections with provenance in the body and in each feature: a whole one per task, a feature per line.
+
+    One task's rows pass one by one, so a collection may be of any size; a table
+    that has to be one body is coalesced to one partition by its owner. No rows
+    make an empty collection.
+    """
+    head = json.dumps({"type": "FeatureCollection", "properties": provenance}, separators=(",", ":"))[:-1] + ',"features":['
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        held = None
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                lines = ([] if held is None else [held + ","]) + [r + "," for r in rows[:-1]]
+                held = rows[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(([] if held is None else [held]) + ["]}"], pa.string())], ["value"])
+
+    _features(features, provenance).mapInArrow(run, "value string").write.text(path)
 
 
 # The columns of a series file, after the area.
