@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from types import ModuleType
 
 import numpy as np
@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.operators.scale import exact_stats, first_per
+from geoloom.operators.scale import exact_stats, first_per, sent
+from geoloom.session import cut_lineage
 
 KEY = "raster_id"
 
@@ -247,13 +248,17 @@ _SERIES = {"ndvi_median": 0.5, "ndvi_p10": 0.1, "ndvi_p90": 0.9}
 
 
 def _series(px: DataFrame, scenes: DataFrame, spine: DataFrame, max_cloud: float,
-            keep: Column, empty: str, totals: bool = False) -> DataFrame:
+            mask: Callable[[DataFrame], DataFrame] | None, empty: str, totals: bool = False) -> DataFrame:
+    """``mask`` adds ``in_class`` to the pixels of the chosen scenes; only those are masked and read again."""
     best = first_per(scenes, ["aoi_id", "month"], [F.asc("cloud_cover"), F.asc("scene_id")])
-    base = spine.join(best, ["aoi_id", "month"], "left")
-    usable = base.where(F.col("cloud_cover") <= max_cloud).select("aoi_id", "month", "scene_id")
+    base = cut_lineage(spine.join(best, ["aoi_id", "month"], "left"))
+    usable = sent(base.where(F.col("cloud_cover") <= max_cloud).select("aoi_id", "month", "scene_id"), 64)
     seen = px.join(usable, ["aoi_id", "month", "scene_id"])
-    value = seen.withColumn("ndvi", F.when(
-        keep & (F.col("b04") > 0) & (F.col("b08") > 0), ndvi(F.col("b04"), F.col("b08"))))
+    keep = F.lit(True) if mask is None else F.col("in_class")
+    value = (seen if mask is None else mask(seen)).select("aoi_id", "month", F.when(
+        keep & (F.col("b04") > 0) & (F.col("b08") > 0), ndvi(F.col("b04"), F.col("b08"))).alias("ndvi"))
+    # three columns of the chosen scenes, written because the passes below read them several times
+    value = cut_lineage(value)
     stats = exact_stats(value, ["aoi_id", "month"], "ndvi", _SERIES).withColumnsRenamed(
         {"n": "n_pixels", "mean": "ndvi_mean"}).drop("min", "max")
     out = base.join(stats, ["aoi_id", "month"], "left")
@@ -280,7 +285,7 @@ def ndvi_timeseries(px: DataFrame, scenes: DataFrame, aois: DataFrame, anchor: C
     where there is no scene, too much cloud or no valid pixel.
     """
     spine = month_spine(aois, anchor, months)
-    return _series(px, scenes, spine, max_cloud, F.lit(True), "empty")
+    return _series(px, scenes, spine, max_cloud, None, "empty")
 
 
 def mask_by_class(px: DataFrame, class_px: DataFrame, keep: Sequence[int], height: int, width: int) -> DataFrame:
@@ -303,9 +308,11 @@ def mask_by_class(px: DataFrame, class_px: DataFrame, keep: Sequence[int], heigh
 def ndvi_masked(px: DataFrame, class_px: DataFrame, scenes: DataFrame, aois: DataFrame, anchor: Column,
                 keep: Sequence[int], grid: tuple[int, int], months: int = 12, max_cloud: float = 40.0) -> DataFrame:
     """D5. D4 over the pixels of chosen classes of the area's class raster."""
-    masked = mask_by_class(px.withColumn(KEY, F.col("aoi_id")), class_px, keep, *grid).drop(KEY)
+    def mask(seen: DataFrame) -> DataFrame:
+        return mask_by_class(seen.withColumn(KEY, F.col("aoi_id")), class_px, keep, *grid).drop(KEY)
+
     spine = month_spine(aois, anchor, months)
-    return _series(masked, scenes, spine, max_cloud, F.col("in_class"), "no_class_pixels", totals=True)
+    return _series(px, scenes, spine, max_cloud, mask, "no_class_pixels", totals=True)
 
 
 def timeseries_summary(ts: DataFrame) -> DataFrame:
