@@ -58,15 +58,17 @@ def seeds(rows: DataFrame, keys: Sequence[str], points: Sequence[str], k: int, s
     has few different points; those, combined in the tasks, are taken as they are.
     """
     keys = list(keys)
-    draw = rows.select(*keys, *points, F.xxhash64(F.lit(seed), *points).alias("_h"))
+    # single precision, as the last bits of a scaled value hang on the order in which its group was summed
+    drawn = F.xxhash64(F.lit(seed), *[(F.col(p).cast("double") + 0.0).cast("float") for p in points])
+    draw = rows.select(*keys, *points, drawn.alias("_h"))
     least = cut_lineage(draw.groupBy(*keys, F.pmod("_h", F.lit(8 * k)).alias("_slot")).agg(F.min("_h").alias("_h")))
     first = first_per(least, keys, [F.asc("_h")], k, "_rn")
     full = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("_full"))
     picked = sent(first.join(full, keys).where(F.col("_full") >= k).select(*keys, "_h", "_rn"), 64)
     several = [F.min(p).alias(p) for p in points]
     rich = draw.join(picked, [*keys, "_h"]).groupBy(*keys, "_rn").agg(*several)
-    few = draw.join(sent(full.where(F.col("_full") < k).select(*keys), 48), keys).groupBy(*keys, "_h", *points).agg(F.count(F.lit(1)).alias("_times"))
-    poor = first_per(few, keys, [F.asc("_h"), *[F.asc(p) for p in points]], k, "_rn")
+    few = draw.join(sent(full.where(F.col("_full") < k).select(*keys), 48), keys).groupBy(*keys, "_h").agg(*several)
+    poor = first_per(few, keys, [F.asc("_h")], k, "_rn")
     return rich.select(*keys, "_rn", F.array(*points).alias("p")).unionByName(poor.select(*keys, "_rn", F.array(*points).alias("p")))
 
 
