@@ -35,6 +35,6 @@ def test_sql(name, spark, con):
 def test_contract():
     found = entry_points.queries()
     assert "pipeline" in found and set(QUERIES) <= set(found)
-    assert [sum(k.startswith(f"op{n}_") for k in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(k.startswith(f"op{n}_") for k in QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(entry_points.oracle_sql()) <= set(found)
     assert [name for name, _ in corpus_pipeline.STAGES] and os.path.exists(corpus_pipeline.__file__)
