@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import authalic_edge_m2, haversine_km
-from geoloom.operators.scale import first_per
+from geoloom.operators.scale import dealt, first_per
 
 
 def outer_rings(features: DataFrame) -> DataFrame:
@@ -157,7 +157,8 @@ def neighbors_within(points: DataFrame, km: float = 1.0, k: int = 5, levels: int
     halves the cell from level to level, and each place asks at the finest
     level where its own cell alone holds ``k + 1`` points: the answer then lies
     within one cell diagonal, so the ask covers few cells, and a place in a
-    sparse part of a crowded cell has at most a handful of peers.
+    sparse part of a crowded cell has at most a handful of peers. Cells, asks
+    and lists are many times the points and are dealt, never sent.
     """
     place = (points.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n_here"), F.min("pid").alias("o_pid"))
              .withColumn("x", F.col("lon") * km_per_deg).withColumn("y", F.col("lat") * km_per_deg))
@@ -172,9 +173,9 @@ def neighbors_within(points: DataFrame, km: float = 1.0, k: int = 5, levels: int
     dense = (cells.groupBy("lv", "cx", "cy").agg(F.sum("n_here").alias("n"))
              .where(F.col("n") >= k + 1).drop("n"))
     # near a pole a cell of longitude is too narrow to ask finely
-    level = (cells.where((F.col("lv") == 0) | (cos_lat > 0.05)).join(dense, ["lv", "cx", "cy"])
+    level = (cells.where((F.col("lv") == 0) | (cos_lat > 0.05)).join(dealt(dense), ["lv", "cx", "cy"])
              .groupBy("lon", "lat").agg(F.max("lv").alias("lv")))
-    asks = (place.join(level, ["lon", "lat"], "left")
+    asks = (place.join(dealt(level), ["lon", "lat"], "left")
             .withColumn("full", F.col("lv").isNotNull()).withColumn("lv", F.coalesce("lv", F.lit(0))))
     # own cell full: within its diagonal; otherwise within the whole radius
     reach = F.least(F.lit(km), F.when(F.col("full"), size * (2 ** 0.5)).otherwise(F.lit(km)))
@@ -189,15 +190,15 @@ def neighbors_within(points: DataFrame, km: float = 1.0, k: int = 5, levels: int
     other = cells.select("lv", "cx", "cy", "o_pid", F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"))
     d = F.sqrt(F.pow((F.col("o_lon") - F.col("lon")) * km_per_deg * F.cos(F.radians("lat")), 2)
                + F.pow((F.col("o_lat") - F.col("lat")) * km_per_deg, 2))
-    near = asks.join(other, ["lv", "cx", "cy"]).withColumn("distance_km", d).where(F.col("distance_km") <= km)
+    near = asks.join(dealt(other), ["lv", "cx", "cy"]).withColumn("distance_km", d).where(F.col("distance_km") <= km)
     # k + 1 nearest places hold the k + 1 nearest points
     near = first_per(near.select("lon", "lat", "o_lon", "o_lat", "o_pid", "distance_km"), ["lon", "lat"],
                      [F.asc("distance_km"), F.asc("o_pid")], k + 1)
     o = kept.select(F.col("pid").alias("neighbor"), F.col("lon").alias("o_lon"), F.col("lat").alias("o_lat"))
-    near = near.join(o, ["o_lon", "o_lat"])
+    near = near.join(dealt(o), ["o_lon", "o_lat"])
     near = first_per(near, ["lon", "lat"], [F.asc("distance_km"), F.asc("neighbor")], k + 1)
     lists = near.groupBy("lon", "lat").agg(F.collect_list(F.struct("distance_km", "neighbor")).alias("_l"))
-    out = (points.select("pid", "lon", "lat").join(lists, ["lon", "lat"])
+    out = (points.select("pid", "lon", "lat").join(dealt(lists), ["lon", "lat"])
            .withColumn("_l", F.slice(F.array_sort(F.filter("_l", lambda s: s["neighbor"] != F.col("pid"))), 1, k)))
     return out.select("pid", F.posexplode("_l").alias("rank", "_n")).select(
         "pid", (F.col("rank") + 1).alias("rank"), F.col("_n.neighbor").alias("neighbor"),

@@ -38,6 +38,15 @@ def sent(table: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(table) if table.count() * row_bytes <= SENT else table
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """``table`` marked to be dealt by the keys of a join and not sent whole.
+
+    Spark guesses a size from the bytes of the files, which says nothing of a
+    table whose rows were multiplied or whose columns pack well on disk.
+    """
+    return table.hint("merge")
+
+
 def exact_stats(df: DataFrame, keys: Sequence[str], value: str,
                 probs: dict[str, float]) -> DataFrame:
     """Count ``n``, ``mean``, ``min``, ``max`` and exact quantiles per group.

@@ -143,6 +143,20 @@ def test_points_in_a_crowded_polygon(spark):
     assert got == {i for i, x, y in pts if inside(x, y)}
 
 
+def sends(df) -> bool:
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def spread(spark, n: int):
+    """Points of a table that Spark takes for small."""
+    return spark.range(n).selectExpr("id AS pid", "id * 7919 % 3600 / 10D - 180 AS lon", "id * 104729 % 1700 / 10D - 85 AS lat")
+
+
+def test_cells_and_lists_of_neighbours_are_dealt(spark):
+    """Multiplied rows are no small table, whatever the files' size."""
+    assert not sends(neighbors_within(spread(spark, 2000), 400.0, 5))
+
+
 def test_open_rings_are_closed(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (1, 2, 0.0, 1.0)], "poly_id int, vtx int, lon double, lat double")
     got = sorted(tuple(r) for r in ring_edges(df).select("vtx", "lon1", "lat1", "lon2", "lat2").collect())
