@@ -106,7 +106,8 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, cell_deg: float = 1.
 
     Grid cells name the polygons a point may be in; the crossings are then
     counted over the edges of the point's latitude band only. Points are
-    salted by id, so a crowded cell spreads over tasks.
+    salted by id, so a crowded cell spreads over tasks. Cells and edges are
+    many times their rings and are dealt, never sent.
     """
     box = vertex_measures(rings)
     west, east = F.floor(F.col("west") / cell_deg), F.floor(F.col("east") / cell_deg)
@@ -118,13 +119,13 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, cell_deg: float = 1.
     pts = (points.select("pid", "lon", "lat").withColumn("_cx", F.floor(F.col("lon") / cell_deg))
            .withColumn("_band", F.floor(F.col("lat") / cell_deg))
            .withColumn("_salt", F.pmod(F.xxhash64("pid"), F.lit(salts)).cast("int")))
-    near = (pts.join(cells, ["_cx", "_band", "_salt"])
+    near = (pts.join(dealt(cells), ["_cx", "_band", "_salt"])
             .where(F.col("lon").between(F.col("west"), F.col("east"))
                    & F.col("lat").between(F.col("south"), F.col("north")))
             .select("pid", "lon", "lat", "poly_id", "_band", "_salt"))
     edges = (_banded(ring_edges(rings), cell_deg)
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    hits = (near.join(edges, ["poly_id", "_band", "_salt"])
+    hits = (near.join(dealt(edges), ["poly_id", "_band", "_salt"])
             .groupBy("pid", "poly_id").agg(F.sum(_crosses().cast("int")).alias("_n")))
     return hits.where(F.col("_n") % 2 == 1).select("pid", "poly_id")
 

@@ -152,11 +152,20 @@ def spread(spark, n: int):
     return spark.range(n).selectExpr("id AS pid", "id * 7919 % 3600 / 10D - 180 AS lon", "id * 104729 % 1700 / 10D - 85 AS lat")
 
 
+def rings_of(spark, n: int):
+    return spark.range(n).selectExpr("id AS poly_id", "inline(array(struct(0, 0, 0), struct(1, 10, 0), struct(2, 15, 8), struct(3, 7, 5), struct(4, 2, 12), struct(5, 0, 0))) AS (vtx, dx, dy)").selectExpr(
+        "poly_id", "vtx", "poly_id * 37 % 340 - 170 + dx / 10D AS lon", "poly_id * 11 % 140 - 70 + dy / 10D AS lat")
+
+
 def test_cells_and_lists_of_neighbours_are_dealt(spark):
     """Multiplied rows are no small table, whatever the files' size."""
     assert not sends(neighbors_within(spread(spark, 2000), 400.0, 5))
 
 
+def test_cells_and_edges_of_polygons_are_dealt(spark):
+    assert not sends(points_in_polygons(spread(spark, 2000), rings_of(spark, 200)))
+
+
 def test_open_rings_are_closed(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 1.0, 0.0), (1, 2, 0.0, 1.0)], "poly_id int, vtx int, lon double, lat double")
     got = sorted(tuple(r) for r in ring_edges(df).select("vtx", "lon1", "lat1", "lon2", "lat2").collect())
