@@ -71,28 +71,60 @@ def polygon_stats(rings: DataFrame, elevation: DataFrame | None = None) -> DataF
     return out if elevation is None else out.join(elevation, "poly_id", "left")
 
 
-def sample_grid(rings: DataFrame, n: int, cell_deg: float = 1.0) -> DataFrame:
-    """E11. The points of an ``n x n`` lattice over each ring's box that lie inside."""
-    box = vertex_measures(rings).select("poly_id", "west", "south", "east", "north")
-    steps = F.sequence(F.lit(0), F.lit(n - 1))
+def sample_grid(rings: DataFrame, n: int) -> DataFrame:
+    """E11. The points of an ``n x n`` lattice over each ring's box that lie inside.
+
+    Points are made only where they are kept. An edge goes to the lattice rows
+    it crosses and marks the points west of its crossing as bits, 32 columns a
+    word; the marks of a row's edges, combined by exclusive or, leave the
+    points with an odd number of crossings to their east.
+    """
+    width = 32
     step = F.lit(max(n - 1, 1))
-    pts = (box.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-           .select("poly_id", "i", "j",
-                   (F.col("south") + (F.col("north") - F.col("south")) / step * F.col("i")).alias("lat"),
-                   (F.col("west") + (F.col("east") - F.col("west")) / step * F.col("j")).alias("lon")))
-    # each point meets the edges of its own polygon whose latitudes span it
-    edges = _banded(ring_edges(rings), cell_deg)
-    hits = (pts.withColumn("_band", F.floor(F.col("lat") / cell_deg)).join(edges, ["poly_id", "_band"])
-            .groupBy("poly_id", "i", "j", "lat", "lon").agg(F.sum(_crosses().cast("int")).alias("_n")))
-    return hits.where(F.col("_n") % 2 == 1).drop("_n")
+    box = vertex_measures(rings).select("poly_id", "west", "south", "east", "north")
+    lat = F.col("south") + (F.col("north") - F.col("south")) / step * F.col("i")
+
+    def lon(j: Column) -> Column:
+        return F.col("west") + (F.col("east") - F.col("west")) / step * j
+
+    # rows of the lattice between the ends of an edge, one more on either side; ``_crosses`` has the last word
+    def row(end: Column) -> Column:
+        at = (end - F.col("south")) / (F.col("north") - F.col("south")) * step
+        return F.least(F.lit(n), F.greatest(F.lit(-1), F.floor(at))).cast("int")
+
+    lo, hi = F.greatest(F.lit(0), row(F.least("lat1", "lat2")) - 1), F.least(F.lit(n - 1), row(F.greatest("lat1", "lat2")) + 1)
+    words = F.sequence(F.lit(0), F.lit((n - 1) // width))
+    columns = F.sequence(F.col("w") * width, F.least(F.col("w") * width + width, F.lit(n)) - 1)
+
+    def bit(j: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), j - F.col("w") * width)
+
+    def marks() -> Column:
+        return F.aggregate(columns, F.lit(0).cast("bigint"), lambda m, j: m + F.when(F.col("at") > lon(j), bit(j)).otherwise(F.lit(0).cast("bigint")))
+
+    met = (ring_edges(rings).where(F.col("lat1") != F.col("lat2")).join(dealt(box), "poly_id").where(F.col("north") > F.col("south"))
+           .withColumn("i", F.explode(F.sequence(lo, hi))).withColumn("lat", lat).where(_spans())
+           .withColumn("at", _crossing()).withColumn("w", F.explode(words)))
+    inside = met.groupBy("poly_id", "i", "w").agg(
+        F.bit_xor(marks()).alias("_m"), *[F.first(c).alias(c) for c in ("west", "east", "lat")])
+    return (inside.where(F.col("_m") != 0).withColumn("j", F.explode(columns)).where(F.col("_m").bitwiseAND(bit(F.col("j"))) != 0)
+            .select("poly_id", "i", "j", "lat", lon(F.col("j")).alias("lon")))
+
+
+def _spans() -> Column:
+    """The edge has one end above the point's latitude and one not."""
+    return (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
+
+
+def _crossing() -> Column:
+    """The longitude at which the edge passes the point's latitude."""
+    return ((F.col("lon1") - F.col("lon2")) * (F.col("lat") - F.col("lat2"))
+            / (F.col("lat1") - F.col("lat2") + 1e-20) + F.col("lon2"))
 
 
 def _crosses() -> Column:
     """Even-odd rule: a ray to the east from the point crosses the edge."""
-    up = (F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))
-    at = ((F.col("lon1") - F.col("lon2")) * (F.col("lat") - F.col("lat2"))
-          / (F.col("lat1") - F.col("lat2") + 1e-20) + F.col("lon2"))
-    return up & (F.col("lon") < at)
+    return _spans() & (F.col("lon") < _crossing())
 
 
 def _banded(edges: DataFrame, cell_deg: float) -> DataFrame:

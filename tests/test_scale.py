@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from geoloom.operators import labels, scale
-from geoloom.operators.polygons import neighbors_within, points_in_polygons, ring_edges
+from geoloom.operators.polygons import neighbors_within, points_in_polygons, ring_edges, sample_grid
 from geoloom.operators.vectorize import connected_regions, region_rings, region_table, simplify
 
 
@@ -166,6 +166,26 @@ def test_cells_and_edges_of_polygons_are_dealt(spark):
     assert not sends(points_in_polygons(spread(spark, 2000), rings_of(spark, 200)))
 
 
+@pytest.mark.parametrize("n", [1, 12, 70])
+def test_lattice_points_by_the_crossings_of_their_row(spark, n):
+    """The same points as edge by edge; only crossed rows of the lattice are made, and no table is sent."""
+    rings = rings_of(spark, 20)
+    got = sample_grid(rings, n)
+    assert not sends(got)
+    want = set()
+    for poly in {r["poly_id"] for r in rings.collect()}:
+        ring = [(r["lon"], r["lat"]) for r in rings.where(F.col("poly_id") == poly).orderBy("vtx").collect()]
+        west, east, south, north = min(x for x, _ in ring), max(x for x, _ in ring), min(y for _, y in ring), max(y for _, y in ring)
+        for i in range(n):
+            for j in range(n):
+                lat, lon = south + (north - south) / max(n - 1, 1) * i, west + (east - west) / max(n - 1, 1) * j
+                hits = sum((y1 > lat) != (y2 > lat) and lon < (x1 - x2) * (lat - y2) / (y1 - y2 + 1e-20) + x2
+                           for (x1, y1), (x2, y2) in zip(ring, ring[1:]))
+                if hits % 2:
+                    want.add((poly, i, j, lat, lon))
+    assert {tuple(r) for r in got.select("poly_id", "i", "j", "lat", "lon").collect()} == want
+
+
 def test_votes_and_evidence_are_dealt(spark):
     f = spark.range(2000).selectExpr("id AS pid", "concat('c', id % 3) AS class_name", "id % 10 / 10D AS confidence", "id % 10 < 6 AS needs_review")
     near = spark.range(10000).selectExpr("id % 2000 AS pid", "id * 31 % 2000 AS neighbor")
