@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,61 +99,108 @@ def usage_sessions(outcomes: DataFrame, gap: str = "30 minutes", delay: str = "1
 
 
 class _Streak(StatefulProcessor):
-    """Counts failures in a row in event-time order.
+    """Counts failures in a row in event-time order, for the jobs of a bucket at once.
 
     Rows wait in state until the watermark passes them, as order inside and
     across batches is not given; what waits is bounded by the watermark delay.
+    They wait packed, one piece a batch, and so do the streaks that run, as a
+    call into the state per row or per job is what a bucket costs.
     """
 
+    ROW = np.dtype([("job", "<i8"), ("ts", "<i8"), ("event_id", "<i8"), ("nameless", "?"), ("ok", "?")])
+    RUN = np.dtype([("job", "<i8"), ("n", "<i8"), ("nameless", "?")])
+
     def __init__(self, n: int) -> None:
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts long, event_id long, ok boolean")
-        self.streak = handle.getValueState("streak", "n long")
-
-    def _advance(self, key, rows: list, watermark: int) -> Iterator[pd.DataFrame]:
-        ready = sorted(r for r in rows if r[0] <= watermark * 1000)
-        left = [r for r in rows if r[0] > watermark * 1000]
-        n = self.streak.get()[0] if self.streak.exists() else 0
-        hits = []
-        for _, event_id, ok in ready:
-            n = 0 if ok else n + 1
-            if n == self.n:
-                hits.append(event_id)
-        self.streak.update((n,))
-        if left:
-            self.waiting.put(left)
-            # the timer is at the next row, rounded up to a whole millisecond
-            self.handle.registerTimer(min(r[0] for r in left) // 1000 + 1)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.streak = handle.getValueState("streak", "runs binary")
+
+    def _advance(self, rows: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
+        """``rows``: all that the bucket holds back and all that came."""
+        late = rows["ts"] > watermark * 1000
+        ready, left = rows[~late], rows[late]
+        if len(ready):
+            yield from self._counted(ready)
+        if len(left):
+            self.waiting.put([(left.tobytes(),)])
+            self._wake(left)
         else:
             self.waiting.clear()
-        if hits:
-            yield pd.DataFrame({"job_id": key[0], "event_id": hits})
 
-    def _held(self) -> list:
-        return [(r[0], r[1], r[2]) for r in self.waiting.get()] if self.waiting.exists() else []
+    def _wake(self, left: np.ndarray) -> None:
+        # the timer is at the next row, rounded up to a whole millisecond
+        self.handle.registerTimer(int(left["ts"].min()) // 1000 + 1)
+
+    def _counted(self, ready: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Hits among rows in order; the streaks in which the jobs end are kept."""
+        held = np.frombuffer(self.streak.get()[0], self.RUN) if self.streak.exists() else np.empty(0, self.RUN)
+        ready = ready[np.lexsort((ready["ok"], ready["event_id"], ready["ts"], ready["job"], ready["nameless"]))]
+        at = np.arange(len(ready))
+        new = np.r_[True, (ready["job"][1:] != ready["job"][:-1]) | (ready["nameless"][1:] != ready["nameless"][:-1])]
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        before = pd.DataFrame({"job": ready["job"][first], "nameless": ready["nameless"][first]})
+        runs = pd.DataFrame({c: held[c] for c in ("job", "nameless", "n")})
+        carried = before.merge(runs, "left", ["job", "nameless"])["n"].fillna(0).to_numpy(np.int64)
+        # a run begins behind the last success of its job, or as long ago as it had lasted before these rows
+        start = np.where(ready["ok"], at + 1, np.where(new, at - carried[group], np.iinfo(np.int64).min))
+        # what begins later wins within a job, and jobs follow one another
+        jobs = pd.Series(start).groupby(group)
+        length = np.where(ready["ok"], 0, at + 1 - jobs.cummax().to_numpy())
+        last = np.r_[first[1:], len(ready)] - 1
+        done = before.assign(n=length[last])
+        runs = pd.concat([done, runs]).drop_duplicates(["job", "nameless"])
+        runs = runs[runs["n"] > 0]
+        keep = np.empty(len(runs), self.RUN)
+        for c in ("job", "nameless", "n"):
+            keep[c] = runs[c].to_numpy()
+        self.streak.update((keep.tobytes(),))
+        hits = ready[length == self.n]
+        if len(hits):
+            yield pd.DataFrame({"job_id": pd.array(hits["job"], "Int64"), "event_id": hits["event_id"].astype("int64")}).mask(
+                pd.DataFrame({"job_id": hits["nameless"], "event_id": False}))
+
+    def _held(self) -> list[np.ndarray]:
+        return [np.frombuffer(r[0], self.ROW) for r in self.waiting.get()] if self.waiting.exists() else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        got = self._held()
+        came = []
         for pdf in rows:
-            micros = pdf["ts"].astype("datetime64[us]").astype("int64")
-            got += [(int(a), int(b), bool(c)) for a, b, c in zip(micros, pdf["event_id"], pdf["ok"])]
-        yield from self._advance(key, got, timerValues.getCurrentWatermarkInMs())
+            got = np.empty(len(pdf), self.ROW)
+            got["ts"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+            for c in ("job", "event_id", "nameless", "ok"):
+                got[c] = pdf[c]
+            came.append(got)
+        got, watermark = np.concatenate(came), timerValues.getCurrentWatermarkInMs()
+        if (got["ts"] > watermark * 1000).all():
+            # nothing to count yet: what waits stays as it is
+            self.waiting.appendValue((got.tobytes(),))
+            self._wake(got)
+        else:
+            yield from self._advance(np.concatenate([*self._held(), got]), watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, self._held(), timerValues.getCurrentWatermarkInMs())
+        held = self._held()
+        if held:
+            yield from self._advance(np.concatenate(held), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def streak_stream(outcomes: DataFrame, n: int = 3, delay: str = "1 hour") -> DataFrame:
-    """W5. Each event that completes ``n`` failures in a row of its job."""
-    return (outcomes.withWatermark("ts", delay).select("job_id", "ts", "event_id", "ok").groupBy("job_id")
-            .transformWithStateInPandas(_Streak(n), outputStructType="job_id long, event_id long",
-                                        outputMode="append", timeMode="eventTime"))
+def streak_stream(outcomes: DataFrame, n: int = 3, delay: str = "1 hour", buckets: int = 512) -> DataFrame:
+    """W5. Each event that completes ``n`` failures in a row of its job.
+
+    Jobs share a state row per bucket, so the calls into Python do not grow with the jobs.
+    """
+    rows = outcomes.withWatermark("ts", delay).select(
+        F.pmod(F.xxhash64("job_id"), F.lit(buckets)).alias("bucket"), F.coalesce(F.col("job_id").cast("long"), F.lit(0)).alias("job"),
+        F.col("job_id").isNull().alias("nameless"), "ts", "event_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
+        _Streak(n), outputStructType="job_id long, event_id long", outputMode="append", timeMode="eventTime")
 
 
 class _Expiry(StatefulProcessor):

@@ -333,6 +333,24 @@ def test_streak_over_many_small_files(spark):
     assert whole == parts and whole
 
 
+def test_streaks_of_jobs_in_shared_state(spark):
+    """Jobs of one bucket, one of them nameless, over several batches: each event as if counted job by job."""
+    path = sinks.scratch_path(spark, "outcomes")
+    rows = spark.range(600).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE id % 7 END AS job_id", "timestamp_micros(1700000000000000 + (id - id % 5) * 60000000) AS ts",
+                                       "id AS event_id", "xxhash64(id) % 4 = 0 AS ok")
+    held = rows.orderBy("event_id").collect()
+    for lo in range(0, 600, 200):
+        rows.where(f"event_id >= {lo} AND event_id < {lo + 200}").repartition(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = sorted((r["job_id"] or 0, r["event_id"]) for r in jobs.run_available(jobs.streak_stream(stream, 3, buckets=2), "shared").collect())
+    last, want, run = max(r["ts"] for r in held) - datetime.timedelta(hours=1), [], {}
+    for r in sorted(held, key=lambda r: (r["ts"], r["event_id"])):
+        run[r["job_id"]] = 0 if r["ok"] else run.get(r["job_id"], 0) + 1
+        if run[r["job_id"]] == 3 and r["ts"] <= last:
+            want.append((r["job_id"] or 0, r["event_id"]))
+    assert got == sorted(want) and want
+
+
 def test_no_cap_on_classes_and_ids(spark):
     """More ids than 256 and more classes than 1,024 come out whole."""
     from geoloom.operators import embeddings
