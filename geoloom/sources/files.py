@@ -138,17 +138,37 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
     Geometry coordinates and open properties stay JSON: coordinates nest to a
     different depth per geometry type, and properties have no fixed schema.
-    ``lines`` splits a large file over tasks; a collection is one task per file.
+    ``lines`` splits a large file over tasks, and so is a collection with one
+    feature per line split; one of any other form is one task per file.
     """
+    features = spark.read.schema(FEATURE).json(path)
     if lines:
-        f = spark.read.schema(FEATURE).json(path)
+        f = features
     else:
-        whole = spark.read.schema(f"type string, features array<struct<{_fields(FEATURE)}>>").json(path, multiLine=True)
-        f = whole.select(F.explode("features").alias("f")).select("f.*")
+        # the paths only, as the driver lists them anyway
+        whole = [r["file"] for r in _unlike_lines(spark.read.text(path)).collect()]
+        file = F.col("_metadata.file_path")
+        f = features.where((F.col("type") == "Feature") & ~file.isin(whole))
+        if whole:
+            bodies = spark.read.schema(f"type string, features array<struct<{_fields(FEATURE)}>>").json(path, multiLine=True)
+            f = f.unionByName(bodies.where(file.isin(whole)).select(F.explode("features").alias("f")).select("f.*"))
     return f.select(F.col("geometry.type").alias("geometry_type"), F.col("geometry.coordinates").alias("coordinates"),
                     F.parse_json("properties").alias("properties"))
 
 
+def _unlike_lines(text: DataFrame) -> DataFrame:
+    """``file``: those with a line that is neither the head of a collection, nor one whole feature, nor brackets that close it."""
+    line = F.rtrim(F.trim("value"))
+    body = F.regexp_replace(line, r"\s*,$", "")
+    only = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<struct<type string>>")
+    feature = body.startswith("{") & body.endswith("}") & (F.size(only) == 1) & (F.get(only, F.lit(0))["type"] == "Feature")
+    head = line.startswith("{") & line.rlike(r'"features"\s*:\s*\[$')
+    fits = F.coalesce(feature, F.lit(False)) | line.rlike(r"^[\s\]}]*$")
+    return (text.select(F.col("_metadata.file_path").alias("file"), head.alias("head"), (head | fits).alias("fits"))
+            .groupBy("file").agg(F.count_if("head").alias("heads"), F.count_if(~F.col("fits")).alias("others"))
+            .where((F.col("heads") != 1) | (F.col("others") > 0)).select("file"))
+
+
 def _fields(ddl: str) -> str:
     return T.StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]
 

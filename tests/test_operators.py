@@ -398,3 +398,29 @@ def test_per_raster_logistic(spark):
     got, first = run(both), run(alone)
     assert {k: v for k, v in got.items() if k[0] == 1} == first and set(k[0] for k in got) == {1, 2}
     assert sum(got[r[0], r[1]] == r[4] for r in one + two) > 115
+
+
+def test_collections_are_split_by_lines(spark, tmp_path):
+    """A feature per line is read by many tasks; any other form of body is read whole, to the same features."""
+    def feature(i: int) -> str:
+        return '{"type":"Feature","geometry":{"type":"Point","coordinates":[%d.50,1]},"properties":{"i":%d}}' % (i, i)
+
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "any").mkdir()
+    lines = '{"type":"FeatureCollection","features":[\n' + ",\n".join(feature(i) for i in range(5000)) + "\n]}\n"
+    (tmp_path / "lines" / "a.json").write_text(lines)
+    (tmp_path / "any" / "a.json").write_text(lines)
+    two = '{"type":"FeatureCollection","features":[\n%s,%s,\n%s\n]}' % tuple(feature(i) for i in range(5000, 5003))
+    (tmp_path / "any" / "two.json").write_text(two)
+    (tmp_path / "any" / "more.json").write_text('{"features":[\n%s\n],"bbox":[0,0,1,1]}' % feature(5003))
+    (tmp_path / "any" / "tall.json").write_text('{\n"features": [\n{"type": "Feature",\n"geometry": null,\n"properties": {"i": 5004}}]}')
+    (tmp_path / "any" / "none.json").write_text('{"type":"FeatureCollection","features":[\n]}\n')
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        assert files.read_geojson(spark, str(tmp_path / "lines")).rdd.getNumPartitions() > 3
+        got = files.read_geojson(spark, str(tmp_path / "any")).selectExpr("variant_get(properties, '$.i', 'int') AS i", "coordinates").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted(r["i"] for r in got) == list(range(5005))
+    assert {r["i"]: r["coordinates"] for r in got}[4999] == "[4999.50,1]"
